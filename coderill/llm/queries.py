@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import pieces
+from coderill.llm import docpairs, pieces
 from coderill.sources.tables import table
 
 
@@ -21,8 +21,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pieces(spark, sf).filter("piece_no = 1").select("chunk_id")
 
 
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and description of every documented function and method."""
+    return docpairs.pair_functions(table(spark, sf, "km_symbols"), table(spark, sf, "km_files"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols that gave a pair."""
+    return p4_pairs(spark, sf).select("symbol_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_pieces": p3_pieces, "p3_found": p3_found}
+    return {"p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
