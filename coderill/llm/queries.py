@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import docpairs, pieces
+from coderill.llm import docpairs, pieces, pii
 from coderill.sources.tables import table
 
 
@@ -31,8 +31,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).select("symbol_id")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every occurrence of personal information in the documents."""
+    found = pii.find_pii(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+    return found.select("doc_id", "pii_kind", "start_char")
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with placeholders in place of personal information."""
+    return pii.redact_pii(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found}
+    return {"p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
