@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import docpairs, pieces, pii
+from coderill.llm import docpairs, pieces, pii, secrets
 from coderill.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of files that hold a credential, in the file or in the configuration value read from it."""
+    return secrets.find_lines(table(spark, sf, "km_files"), table(spark, sf, "km_configs"))
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All files with their credentials replaced."""
+    return secrets.redact_files(table(spark, sf, "km_files"), table(spark, sf, "km_configs"))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every oversized chunk."""
     return pieces.split_chunks(table(spark, sf, "chunks"), table(spark, sf, "chunk_limits"))
@@ -43,7 +53,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
