@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import docpairs, pieces, pii, secrets
+from coderill.llm import corpus, docpairs, handwritten, pieces, pii, secrets
 from coderill.sources.tables import table
 
 
@@ -41,6 +41,21 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).select("symbol_id")
 
 
+def _code(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.files_with_language(table(spark, sf, "km_files"), table(spark, sf, "file_metadata"), handwritten.LANGUAGES)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files that were not written by hand in their repository."""
+    return handwritten.not_handwritten(_code(spark, sf), table(spark, sf, "library_files")).select("file_id")
+
+
+def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision and recall against the weak labels on held-out repositories."""
+    files, library = _code(spark, sf), table(spark, sf, "library_files")
+    return handwritten.validate(handwritten.score(files, library, handwritten.train(files, library)))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every occurrence of personal information in the documents."""
     found = pii.find_pii(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
@@ -53,7 +68,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p5_found": p5_found, "p5_validation": p5_validation, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
