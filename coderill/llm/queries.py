@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import corpus, docpairs, handwritten, pieces, pii, secrets
+from coderill.llm import corpus, docpairs, handwritten, pieces, pii, secrets, syntax
 from coderill.sources.tables import table
 
 
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.files_with_language(table(spark, sf, "km_files"), table(spark, sf, "file_metadata"), syntax.LANGUAGES)
+    return syntax.check_files(files)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are not valid in their language."""
+    return _checked(spark, sf).filter("edit_cost > 0").select("file_id")
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of invalid files per repository and language."""
+    return syntax.invalid_rates(_checked(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of files that hold a credential, in the file or in the configuration value read from it."""
     return secrets.find_lines(table(spark, sf, "km_files"), table(spark, sf, "km_configs"))
@@ -68,7 +83,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p5_found": p5_found, "p5_validation": p5_validation, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p5_found": p5_found, "p5_validation": p5_validation, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
