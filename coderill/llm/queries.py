@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coderill.llm import corpus, docpairs, handwritten, pieces, pii, secrets, syntax
+from coderill.llm import corpus, docpairs, handwritten, mixing, packing, pieces, pii, secrets, syntax
 from coderill.sources.tables import table
 
 
@@ -71,6 +71,26 @@ def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.validate(handwritten.score(files, library, handwritten.train(files, library)))
 
 
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in containers of every capacity."""
+    return packing.pack_documents(table(spark, sf, "documents"), table(spark, sf, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    return packing.fill_report(p6_pack(spark, sf))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mix as segments of documents."""
+    return mixing.mix_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every source in every mix."""
+    return mixing.share_report(p7_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every occurrence of personal information in the documents."""
     found = pii.find_pii(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
@@ -83,7 +103,8 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_pieces": p3_pieces, "p3_found": p3_found, "p4_pairs": p4_pairs, "p4_found": p4_found, "p5_found": p5_found, "p5_validation": p5_validation, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    found = (p1_found, p1_rates, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p5_validation, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
