@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coderill.functions.text import code_tokens, djb2
+from coderill.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
 # Our own table of concepts: a pair of dimensions each.
@@ -20,12 +21,13 @@ CONCEPTS = [
 
 def postings_of(items: DataFrame, key: str, text: str) -> DataFrame:
     """Term frequencies: key, term, tf; a full vocabulary, no stop words."""
-    return items.select(key, F.explode(code_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return spread(items.select(key, text)).select(key, F.explode(code_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(postings: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 10) -> DataFrame:
     """The k best items per query: query_key, key, score, rank.  ``queries`` has one row per query token; repeated tokens count
     again.  Statistics cover all items.  Ties go to the smaller key."""
+    postings = cut_lineage(postings)
     lengths = postings.groupBy(key).agg(F.sum("tf").alias("dl"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = totals["n"], totals["avgdl"] or 1.0
