@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coderill.llm.tokens import VOCABULARY, count_tokens
-from coderill.session import cut_lineage
+from coderill.session import cut_lineage, spread
 
 BLOCK_TOKENS, SHARD_SLOTS, GROUP_ROWS = 256, 4096, 20_000
 
@@ -143,7 +143,7 @@ def draw_slots(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1
 
 
 def _sized(documents: DataFrame, vocabulary: str) -> DataFrame:
-    return cut_lineage(documents.select("doc_id", clean_source("source").alias("source"), count_tokens("text", vocabulary).alias("n")))
+    return cut_lineage(spread(documents.select("doc_id", "source", "text")).select("doc_id", clean_source("source").alias("source"), count_tokens("text", vocabulary).alias("n")))
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

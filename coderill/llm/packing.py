@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coderill.llm.tokens import VOCABULARY, count_tokens
-from coderill.session import cut_lineage
+from coderill.session import cut_lineage, spread
 
 SHARD_ITEMS = 20_000
 MAX_PACKS = 64
@@ -72,19 +72,16 @@ def pack_items(items: DataFrame, packs: DataFrame, key: str, size: str, shard_it
     Items above the pack's capacity are cut into pieces of that capacity, all others stay whole.  Items of null size
     are left out; those of size 0 are placed.  Repeated keys are items of their own.  Packs without a positive
     capacity give no rows."""
-    caps = packs.filter("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct()
-    smaller = caps.select(F.col("capacity_tokens").alias("_c")).distinct()
-    ladder = caps.join(smaller, F.col("_c") <= F.col("capacity_tokens")).groupBy("pack_id", "capacity_tokens").agg(F.sort_array(F.collect_set("_c")).alias("_permitted"))
+    caps = [(r.pack_id, int(r.capacity_tokens)) for r in packs.filter("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().limit(MAX_PACKS + 1).collect()]
+    if len(caps) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} packs in one call")
+    ladder = sorted({c for _, c in caps})
     sized = items.filter(F.col(size).isNotNull()).select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size"))
     shards = max(1, -(-sized.count() // shard_items))
     # row numbers are stable because the sizes have been written before
     sharded = sized.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    offered = [r.asDict(recursive=True) for r in ladder.select("pack_id", "capacity_tokens", "_permitted").limit(MAX_PACKS + 1).collect()]
-    if len(offered) > MAX_PACKS:
-        raise ValueError(f"more than {MAX_PACKS} packs in one call")
-    offers = F.array(*[F.struct(F.lit(o["pack_id"]).cast("long").alias("pack_id"), F.lit(o["capacity_tokens"]).cast("int").alias("capacity_tokens"), F.array(*[F.lit(int(c)) for c in o["_permitted"]]).alias("_permitted")) for o in offered])
-    if not offered:
-        offers = F.lit(None).cast("array<struct<pack_id:bigint,capacity_tokens:int,_permitted:array<int>>>")
+    offer = "array<struct<pack_id:bigint,capacity_tokens:int,_permitted:array<int>>>"
+    offers = F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).alias("capacity_tokens"), F.array(*[F.lit(x) for x in ladder if x <= c]).alias("_permitted")) for p, c in caps]).cast(offer)
     wanted = sharded.withColumn("_o", F.explode(offers)).select("_key", "_size", "_shard", "_o.*")
     pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("_size") - 1) / F.col("capacity_tokens")).cast("int")))
     cut = wanted.select("pack_id", "capacity_tokens", "_permitted", "_key", "_shard", "_size", F.explode(pieces).alias("_piece"))
@@ -108,7 +105,7 @@ def pack_items(items: DataFrame, packs: DataFrame, key: str, size: str, shard_it
 
 def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """:func:`pack_items` for documents sized in tokens; documents with a null text are left out."""
-    sized = cut_lineage(documents.select("doc_id", count_tokens("text", vocabulary).alias("n")))
+    sized = cut_lineage(spread(documents.select("doc_id", "text")).select("doc_id", count_tokens("text", vocabulary).alias("n")))
     return pack_items(sized, packs, "doc_id", "n")
 
 

@@ -16,6 +16,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coderill.session import spread
+
 # ---------------------------------------------------------------------------------------------------- fixed values
 
 AT_FORMS = ("@", "＠", "[at]", "(at)", "{at}", "<at>", " at ", " @ ", "&#64;", "&#x40;", "&commat;", "%40", "\\u0040")
@@ -406,7 +408,7 @@ def find_pii(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text
             yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "start_char", "end_char", "occurrence"]).astype({"start_char": "int32", "end_char": "int32"})
 
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.length("_t") > 0)
-    return rows.mapInPandas(run, _FOUND)
+    return spread(rows).mapInPandas(run, _FOUND)
 
 
 MAX_LEXICON = 200_000
@@ -440,4 +442,4 @@ def redact_pii(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", te
 
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     kind = documents.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"_k {kind}, r string, n int").select(F.col("_k").alias(key), F.col("r").alias("redacted_text"), F.col("n").alias("pii_count"))
+    return spread(rows).mapInPandas(run, f"_k {kind}, r string, n int").select(F.col("_k").alias(key), F.col("r").alias("redacted_text"), F.col("n").alias("pii_count"))

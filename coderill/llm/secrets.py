@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coderill.session import spread
+
 # ---------------------------------------------------------------------------------------------------- fixed values
 
 COMMON_WORDS = """about access account action active admin agent alert allow api app apply archive array audit auth author auto backup
@@ -367,7 +369,7 @@ def find_in_files(files: DataFrame, words: dict[str, int]) -> DataFrame:
 
     one_line = F.transform("file_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " "))
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
-    return files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line, "\n").alias("text")).mapInPandas(run, _SPANS)
+    return spread(files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line, "\n").alias("text"))).mapInPandas(run, _SPANS)
 
 
 def line_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -433,4 +435,4 @@ def redact_files(files: DataFrame, configs: DataFrame) -> DataFrame:
 
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
     rows = files.select("file_id", ext, F.when(F.col("file_lines").isNotNull(), F.array_join("file_lines", "\n", "")).alias("text"))
-    return rows.mapInPandas(run, "file_id long, redacted_text string, redacted_count int")
+    return spread(rows).mapInPandas(run, "file_id long, redacted_text string, redacted_count int")
