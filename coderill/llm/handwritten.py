@@ -24,7 +24,7 @@ TOKENS = ("long_lines", "dense", "repeats", "few_templates", "literals", "data",
 WIDTH = (1 << GRAM_BITS) + (1 << PATH_BITS) + len(TOKENS)
 RUN = 6  # matching windows of WINDOW lines in a row that make a copy
 WINDOW = 4
-MAX_SAMPLE = 4000  # labelled rows that the machine is fitted on
+MAX_SAMPLE = 4000  # expected number of labelled rows that the machine is fitted on
 MAX_LIBRARY_LINES = 2_000_000
 
 _LEAD = re.compile(r"\A(?:﻿)?(?:\s*(?://[^\n]*|#[^\n]*|/\*.*?\*/|--[^\n]*)(?:\n|\Z)|\s*\n)+", re.S)
@@ -133,8 +133,8 @@ def _library(library_files: DataFrame) -> Library:
 
 
 def train(files: DataFrame, library_files: DataFrame, seed: int = 7, held_out: int = 5, sample: int = MAX_SAMPLE):
-    """(weights, bias) of a machine fitted on at most ``sample`` weakly labelled files of the repositories outside the
-    ``held_out``-th part, taken in the order of a hash of their ids; None where one of the labels does not occur."""
+    """(weights, bias) of a machine fitted on about ``sample`` weakly labelled files (all, where there are fewer) of the
+    repositories outside the ``held_out``-th part, drawn by a hash of their ids; None where one of the labels does not occur."""
     library = _library(library_files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,7 +144,10 @@ def train(files: DataFrame, library_files: DataFrame, seed: int = 7, held_out: i
             yield pd.DataFrame(got, columns=["file_id", "repo_id", "label", "x"]).astype({"label": "int32"})
 
     of = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("repo_id", F.lit(-1))), F.lit(held_out))
-    chosen = files.filter(of > 0).select("file_id", "repo_id", "file_path", "text").withColumn("_o", F.xxhash64(F.lit(seed), "file_id")).orderBy("_o").limit(sample).drop("_o")
+    pool = files.filter(of > 0)
+    share = sample / max(1, pool.select("file_id").count())
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "file_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    chosen = pool.filter(drawn).select("file_id", "repo_id", "file_path", "text")
     rows = chosen.repartition(8).mapInPandas(run, _FEATURES).select("label", array_to_vector("x").alias("features")).cache()
     found = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(found) < 2:
