@@ -34,8 +34,12 @@ def order_statistics(df: DataFrame, group: str, value: str, buckets: int = 1000)
     counts = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
     ranks = facts.select(group, F.explode(F.array(*[F.struct(F.lit(name).alias("what"), F.floor(expr).cast("long").alias("r")) for name, expr in (("low", (F.col("n") - 1) / 2), ("high", F.col("n") / 2), ("p90", F.col("n") * 0.9))])).alias("x")).select(group, "x.*")
     wanted = ranks.join(counts, group).filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("c"))).select(group, "b", "what", (F.col("r") - F.col("before")).alias("inner"))
-    inside = wide.join(wanted.select(group, "b").distinct(), [group, "b"], "left_semi").withColumn("inner", F.row_number().over(Window.partitionBy(group, "b").orderBy("v")) - 1)
-    found = inside.join(wanted, [group, "b", "inner"]).groupBy(group).agg(*[F.max(F.when(F.col("what") == x, F.col("v"))).alias(x) for x in ("low", "high", "p90")])
+    # equal values are counted once, so that ties do not make a bucket heavy
+    inside = wide.join(wanted.select(group, "b").distinct(), [group, "b"], "left_semi").groupBy(group, "b", "v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum("c").over(upto))
+    hit = (F.col("inner") >= F.col("upto") - F.col("c")) & (F.col("inner") < F.col("upto"))
+    found = inside.join(wanted, [group, "b"]).filter(hit).groupBy(group).agg(*[F.max(F.when(F.col("what") == x, F.col("v"))).alias(x) for x in ("low", "high", "p90")])
     return facts.join(found, group).select(group, "n", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_value"), F.col("p90").alias("p90_value"))
 
 

@@ -52,11 +52,18 @@ def tree_of(files: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def running_bytes(metadata: DataFrame, limit: int) -> DataFrame:
-    """Running total of bytes per repository in the order of file ids, and whether the limit is passed; null sizes count 0."""
+def running_bytes(metadata: DataFrame, limit: int, span: int = 4096) -> DataFrame:
+    """Running total of bytes per repository in the order of file ids, and whether the limit is passed; null sizes count 0.
+
+    File ids are cut into spans; a window runs within each span and another over the sums of the spans, so that no task sees
+    all files of a large repository."""
     one = metadata.groupBy("file_id").agg(F.max_by(F.struct("repo_id", "byte_size"), F.struct("ingested_at", "line_count")).alias("m")).select("file_id", "m.*")
-    w = Window.partitionBy("repo_id").orderBy("file_id").rowsBetween(Window.unboundedPreceding, 0)
-    return one.withColumn("total_bytes", F.sum(F.coalesce("byte_size", F.lit(0))).over(w)).select("file_id", "repo_id", "total_bytes", (F.col("total_bytes") > limit).alias("over_limit"))
+    one = one.withColumn("_b", F.coalesce("byte_size", F.lit(0))).withColumn("_s", F.floor(F.col("file_id") / span))
+    before = Window.partitionBy("repo_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = one.groupBy("repo_id", "_s").agg(F.sum("_b").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    inside = Window.partitionBy("repo_id", "_s").orderBy("file_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = one.withColumn("_in", F.sum("_b").over(inside)).join(sums, ["repo_id", "_s"]).withColumn("total_bytes", F.col("_in") + F.col("_before"))
+    return total.select("file_id", "repo_id", "total_bytes", (F.col("total_bytes") > limit).alias("over_limit"))
 
 
 def blocks_of(files: DataFrame, size: int = 35, stride: int = 30) -> DataFrame:
@@ -179,3 +186,33 @@ def block_ends(lines: DataFrame, is_start: Column) -> DataFrame:
     w = Window.partitionBy("file_id", "_level").orderBy("line_no")
     nexts = ends.withColumn("_next", F.lead("line_no").over(w)).filter(F.col("_s") & (F.col("_level") == F.col("_i")))
     return nexts.select("file_id", F.col("line_no").alias("start_line"), F.coalesce(F.col("_next") - 1, F.col("_last")).cast("int").alias("end_line"))
+
+
+def bracket_ends(files: DataFrame, opener: str = r"^[A-Z][A-Z0-9_]* *= *[\[{(]\s*$") -> DataFrame:
+    """Collections that open a bracket at the end of a line: the line on which the depth is back to 0, and an estimate of the number of
+    items (lines between that are not blank, at least 1).  A fold over the file's lines; open ends run to the last line."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("items"), F.expr("cast(array() as array<struct<start_line:int,end_line:int,item_count:int>>)").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        bare = F.regexp_replace(x["t"], "\"[^\"]*\"", "")
+        opens = F.length(F.regexp_replace(bare, r"[^\[{(]", ""))
+        closes = F.length(F.regexp_replace(bare, r"[^\]})]", ""))
+        begins = (a["depth"] == 0) & x["t"].rlike(opener)
+        depth = F.when(begins | (a["depth"] > 0), F.greatest(a["depth"] + opens - closes, F.lit(0))).otherwise(0)
+        begin = F.when(begins, x["i"]).otherwise(a["begin"])
+        ends = (a["depth"] > 0) & (depth == 0)
+        items = F.when(begins, 0).otherwise(a["items"] + ((a["depth"] > 0) & ~ends & x["t"].rlike(r"\S")).cast("int"))
+        out = F.when(ends, F.concat(a["out"], F.array(F.struct(begin.alias("start_line"), x["i"].alias("end_line"), F.greatest(items, F.lit(1)).alias("item_count"))))).otherwise(a["out"])
+        return F.struct(depth.alias("depth"), begin.alias("begin"), items.alias("items"), out.alias("out"))
+
+    numbered = F.transform("file_lines", lambda t, i: F.struct((i + 1).alias("i"), t.alias("t")))
+    return files.select("file_id", F.explode(F.aggregate(numbered, start, step)["out"]).alias("c")).select("file_id", "c.start_line", "c.end_line", "c.item_count")
+
+
+def greedy_spaced(hits: DataFrame, distance: int = 2) -> DataFrame:
+    """Lines of each file kept greedily from the top so that any two are more than ``distance`` apart; order matters, so the
+    sorted lines of a file are folded."""
+    sorted_lines = hits.groupBy("file_id").agg(F.array_sort(F.collect_set("line_no")).alias("l"))
+    start = F.expr("cast(array() as array<int>)")
+    kept = F.aggregate("l", start, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > distance), F.concat(a, F.array(x))).otherwise(a))
+    return sorted_lines.select("file_id", F.explode(kept).alias("line_no"))

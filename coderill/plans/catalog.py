@@ -655,6 +655,95 @@ def nlq_answers(s, d):
     return route.answer_counts(route.questions_of(table(s, d, "documents")), _symbols(s, d))
 
 
+# ----------------------------------------------------------------------------------- further operators
+
+
+@query(f"""WITH {LINES}, h AS (SELECT DISTINCT file_id, line_no FROM lines WHERE contains(lower(line_text), 'ledger')), l AS (SELECT file_id, list_sort(list(line_no)) AS l FROM h GROUP BY 1)
+  SELECT file_id, unnest(list_reduce(list_prepend([]::INT[], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(a) = 0 OR x[1] - a[-1] > 2 THEN list_concat(a, x) ELSE a END)) AS line_no FROM l""")
+def win_greedy_dedupe(s, d):
+    return lines.greedy_spaced(lines.grep(_lines(s, d), "ledger").select("file_id", "line_no"))
+
+
+@query()
+def ext_collections(s, d):
+    return lines.bracket_ends(_files(s, d).filter(detect.extension("file_path") == "py"))
+
+
+@query(f"""WITH {FILES}, w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]\\w*\\.(?:py|ts|js|go|java|css|json|md)\\b'))) AS ref FROM documents), r AS (SELECT doc_id, lower(ref) AS name, count(*) AS n FROM w GROUP BY 1, 2),
+  t AS (SELECT lower(list_extract(string_split(file_path, '/'), -1)) AS name, count(*) AS n_files FROM files GROUP BY 1) SELECT doc_id, r.name, coalesce(n_files, 0) AS n_files FROM r LEFT JOIN t USING (name)""")
+def ext_file_mentions(s, d):
+    refs = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]\w*\.(?:py|ts|js|go|java|css|json|md)\b"), 0))).alias("ref"))
+    counted = refs.select("doc_id", F.lower("ref").alias("name")).distinct()
+    known = _files(s, d).groupBy(F.lower(detect.basename("file_path")).alias("name")).agg(F.count("*").alias("n_files"))
+    return counted.join(known, "name", "left").select("doc_id", "name", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+@query(f"""WITH {FILES} SELECT file_id, 'module' AS chunk_kind, 1 AS start_line, least(25, len(file_lines))::INT AS end_line, array_to_string(file_lines[1:25], chr(10)) AS chunk_text FROM exts WHERE ext IN ('py','js','ts','java','go') AND len(file_lines) > 0""")
+def chk_module(s, d):
+    f = _files(s, d).filter(detect.extension("file_path").isin("py", "js", "ts", "java", "go") & (F.size("file_lines") > 0))
+    return f.select("file_id", F.lit("module").alias("chunk_kind"), F.lit(1).alias("start_line"), F.least(F.lit(25), F.size("file_lines")).alias("end_line"), F.array_join(F.slice("file_lines", 1, 25), "\n").alias("chunk_text"))
+
+
+@query(f"""WITH {FILES}, {SYMBOLS} SELECT symbol_id, array_to_string(f.file_lines[start_line:end_line], chr(10)) AS chunk_text FROM symbols s JOIN files f ON f.file_id = s.file_id WHERE start_line >= 1 AND end_line >= start_line""")
+def chk_symbols(s, d):
+    y = _symbols(s, d).filter("start_line >= 1 and end_line >= start_line").select("symbol_id", "file_id", "start_line", "end_line")
+    j = y.join(_files(s, d).select("file_id", "file_lines"), "file_id")
+    return j.select("symbol_id", F.array_join(F.slice("file_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("chunk_text"))
+
+
+@query(f"""WITH {SYMBOLS}, v AS (SELECT DISTINCT repo_id, symbol_id, unnest(list_distinct({_VOC.format('symbol_name')})) AS token FROM symbols), q AS (SELECT repo_id, symbol_id AS query_id, token FROM v WHERE symbol_id % 20 = 0),
+  h AS (SELECT q.query_id, v.symbol_id, count(*) AS n FROM q JOIN v USING (repo_id, token) WHERE v.symbol_id <> q.query_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, symbol_id)::INT AS rank FROM h) SELECT query_id, symbol_id, n, rank FROM r WHERE rank <= 5""")
+def ret_vocab_search(s, d):
+    v = _symbols(s, d).select("repo_id", "symbol_id", F.explode(text.vocabulary_tokens("symbol_name")).alias("token")).distinct()
+    q = v.filter("symbol_id % 20 = 0").withColumnRenamed("symbol_id", "query_id")
+    h = q.join(v, ["repo_id", "token"]).filter("symbol_id <> query_id").groupBy("query_id", "symbol_id").agg(F.count("*").alias("n"))
+    return retrieval.top_k(h, "query_id", "symbol_id", "n", 5)
+
+
+@query(f"""WITH {_QUESTIONS}, {SYMBOLS}, c AS (SELECT qi.doc_id, s.symbol_id, CASE WHEN s.symbol_name = qi.entity THEN 1e0 ELSE 0.9e0 END + CASE WHEN s.symbol_kind = 'class' THEN 0.25e0 WHEN s.symbol_kind = 'function' THEN 0.2e0 ELSE 0e0 END AS confidence FROM qi JOIN symbols s ON lower(s.symbol_name) = lower(qi.entity)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, symbol_id) AS k, lead(confidence) OVER (PARTITION BY doc_id ORDER BY confidence DESC, symbol_id) AS second FROM c)
+  SELECT doc_id, symbol_id, round(confidence, 6) AS confidence, coalesce(confidence - second < 0.35e0, false) AS ambiguous FROM r WHERE k = 1""")
+def ret_entity_resolution(s, d):
+    q = route.questions_of(table(s, d, "documents")).withColumn("_n", F.lower("entity"))
+    y = _symbols(s, d).select("symbol_id", "symbol_name", "symbol_kind", F.lower("symbol_name").alias("_n"))
+    boost = F.when(F.col("symbol_kind") == "class", 0.25).when(F.col("symbol_kind") == "function", 0.2).otherwise(0.0)
+    c = q.join(y, "_n").select("doc_id", "symbol_id", (F.when(F.col("symbol_name") == F.col("entity"), 1.0).otherwise(0.9) + boost).alias("confidence"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "symbol_id")
+    r = c.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("confidence").over(w)).filter("k = 1")
+    return r.select("doc_id", "symbol_id", F.round("confidence", 6).alias("confidence"), F.coalesce(F.col("confidence") - F.col("second") < 0.35, F.lit(False)).alias("ambiguous"))
+
+
+@query(f"""WITH {CALLS}, u AS (SELECT concat(file_id, ':', line_no) AS evidence_id, 0.95e0 AS score FROM calls UNION ALL SELECT concat(file_id, ':', start_line), 1e0 FROM symbols) SELECT evidence_id, max(score) AS score, count(*) AS n_sources FROM u GROUP BY 1""")
+def agg_evidence_merge(s, d):
+    key = lambda line: F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col(line).cast("string"))
+    u = _calls(s, d).select(key("line_no").alias("evidence_id"), F.lit(0.95).alias("score")).unionByName(_symbols(s, d).select(key("start_line").alias("evidence_id"), F.lit(1.0).alias("score")))
+    return u.groupBy("evidence_id").agg(F.max("score").alias("score"), F.count("*").alias("n_sources"))
+
+
+@query(f"""WITH {SYMBOLS}, {_META}, c AS (SELECT repo_id, count(*) AS n FROM symbols GROUP BY 1), k AS (SELECT repo_id, count(DISTINCT chunk_id) AS n FROM chunks GROUP BY 1), b AS (SELECT repo_id, sum(byte_size)::BIGINT AS bytes FROM m GROUP BY 1)
+  SELECT repo_id, coalesce(bytes, 0) + 512 * coalesce(k.n, 0) + 256 * coalesce(k.n, 0) + 128 * coalesce(c.n, 0) AS memory_bytes FROM b LEFT JOIN k USING (repo_id) LEFT JOIN c USING (repo_id)""")
+def eval_index_metrics(s, d):
+    c = _symbols(s, d).groupBy("repo_id").agg(F.count("*").alias("symbols"))
+    k = table(s, d, "chunks").groupBy("repo_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    b = _meta(s, d).groupBy("repo_id").agg(F.sum("byte_size").alias("bytes"))
+    j = b.join(k, "repo_id", "left").join(c, "repo_id", "left").fillna(0, ["bytes", "chunks", "symbols"])
+    return j.select("repo_id", (F.col("bytes") + F.col("chunks") * 768 + F.col("symbols") * 128).alias("memory_bytes"))
+
+
+@query(f"""WITH {FILES}, e AS (SELECT lower(symbol_name) AS name FROM km_symbols), a AS (SELECT DISTINCT lower(config_key) AS name FROM km_configs) SELECT name FROM a EXCEPT SELECT name FROM e""")
+def set_keys_except_symbols(s, d):
+    a = table(s, d, "km_configs").select(F.lower("config_key").alias("name")).distinct()
+    return a.exceptAll(a.join(table(s, d, "km_symbols").select(F.lower("symbol_name").alias("name")).distinct(), "name", "left_semi"))
+
+
+@query(f"""WITH {SYMBOLS}, t AS (SELECT symbol_id, repo_id, symbol_kind, symbol_name FROM symbols WHERE symbol_kind = 'class'), i AS (SELECT repo_id, symbol_name FROM symbols WHERE symbol_kind = 'interface' OR symbol_kind = 'class'),
+  n AS (SELECT repo_id, symbol_name, count(*) AS n FROM i GROUP BY 1, 2) SELECT t.symbol_id, n.n AS same_name FROM t JOIN n USING (repo_id, symbol_name)""")
+def agg_same_name(s, d):
+    y = _symbols(s, d)
+    n = y.filter("symbol_kind in ('class', 'interface')").groupBy("repo_id", "symbol_name").agg(F.count("*").alias("same_name"))
+    return y.filter("symbol_kind = 'class'").join(n, ["repo_id", "symbol_name"]).select("symbol_id", "same_name")
+
+
 # -------------------------------------------------------------------------------------------- streaming
 
 

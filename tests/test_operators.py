@@ -157,3 +157,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and got.count() == 5
     kept = update.delete(want, want.filter("file_id = 1"), "file_id")
     assert kept.count() == 4 and update.upsert(kept, want, "file_id").count() == 5
+
+
+def test_greedy_spacing_and_brackets(spark):
+    hits = spark.createDataFrame([(1, 1), (1, 3), (1, 5), (1, 5), (2, 9)], "file_id int, line_no int")
+    assert sorted(tuple(r) for r in lines.greedy_spaced(hits).collect()) == [(1, 1), (1, 5), (2, 9)]
+    f = files(spark, ("a.py", 'A = [\n  "x]",\n\n  {1: 2},\n]\nB = (\n)\nc = [\n1'), ("b.py", None))
+    got = [(r.start_line, r.end_line, r.item_count) for r in lines.bracket_ends(f).orderBy("start_line").collect()]
+    assert got == [(1, 5, 2), (6, 7, 1)]
+
+
+def test_running_bytes_over_spans(spark):
+    rows = [(i, i % 2, None if i % 7 == 0 else i, 1, 1) for i in range(300)] + [(5, 1, 99, 0, 1)]
+    m = spark.createDataFrame(rows, "file_id long, repo_id long, byte_size long, ingested_at long, line_count int")
+    total, want = {0: 0, 1: 0}, {}
+    for i in range(300):
+        total[i % 2] += 0 if i % 7 == 0 else i
+        want[i] = (total[i % 2], total[i % 2] > 5000)
+    got = {r.file_id: (r.total_bytes, r.over_limit) for r in lines.running_bytes(m, 5000, span=16).collect()}
+    assert got == want
