@@ -35,6 +35,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores, for heavy work per row on few input splits.  Inputs with
-    more splits than cores, as on a cluster, stay as they are."""
+    more splits than cores, as on a cluster, stay as they are.  For scans and projections: a plan with a shuffle is spread anyway."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
