@@ -134,6 +134,12 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
+def _line_start(text: str, at: int, most: int) -> int:
+    """Start of the line of ``at``, at most ``most`` characters before it."""
+    low = max(0, at - most)
+    return max(low, text.rfind("\n", low, at) + 1)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -234,7 +240,7 @@ class Finder:
         for start, end in streets:
             if start < reach:
                 continue
-            low = max(text.rfind("\n", 0, start) + 1, start - 70)
+            low = _line_start(text, start, 70)
             for m in _ADDRESS.finditer(text, low, min(len(text), end + 90)):
                 if m.start() <= end and m.end() >= start:
                     out.append((m.start(), m.end(), "address"))
@@ -322,7 +328,7 @@ class Finder:
                 if more:
                     put(self._name_at(text, more.end(), cue in ("assignee", "thanks", "danke", "merci", "gracias")))
         for start, _, _ in emails:
-            line = text.rfind("\n", 0, start) + 1
+            line = _line_start(text, start, 120)
             m = _BEFORE_MAIL.search(text, line, start)
             if m:
                 at = m.start(1)
@@ -330,7 +336,7 @@ class Finder:
                     at = t.end() + 1
                 put(self._name_at(text, at, True))
         for start in after:
-            line = max(text.rfind("\n", 0, start) + 1, start - 60)
+            line = _line_start(text, start, 60)
             m = _BEFORE_CUE.search(text, line, start)
             if m:
                 at = m.start(1)
@@ -347,7 +353,7 @@ class Finder:
             token = _TOKEN.match(text, start)
             if not self._kind(token.group()) or text[token.end() : token.end() + 1] in ("_", "@"):
                 continue
-            back = _BACK.search(text, max(0, start - 50, text.rfind("\n", 0, start) + 1), start)
+            back = _BACK.search(text, _line_start(text, start, 50), start)
             done = False
             if back and back.group() and back.group(1) and (len(back.group(1)) > 1) == (back.group(2) == ""):
                 if back.group(1).lower() not in NO_NAME:

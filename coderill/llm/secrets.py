@@ -82,7 +82,7 @@ _SCHEME = re.compile(r"(?<![\w-])(?P<key>bearer|basic|token|apikey|digest|negoti
 _FLAG = re.compile(r"(?<![\w-])--?(?P<key>[A-Za-z][\w.-]*)(?:=|\s+)(?P<value>\"[^\"\n]*\"|'[^'\n]*'|[^\s\"';|&]+)")
 _PAIR = re.compile(
     r"""(?P<q>["']?)(?<![\w$-])(?P<key>[^\W\d][\w.-]*)(?P=q)\s*\]?\s*(?::\s*[\w.\[\]<>|?]+\s*=(?=\s*["'`(])|:=|=>|=(?!=)|:(?!:))\s*(?:\(\s*)?
-        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(][^\n]*|\{\{[^\n]*)""",
+        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(][^\n]{0,2000}|\{\{[^\n]{0,2000})""",
     re.X,
 )
 _ENV = re.compile(r"^\s*ENV\s+(?P<key>\w+)\s+(?P<value>\S[^\n]*)$", re.I)
@@ -158,6 +158,23 @@ def sensitive(key: str) -> bool:
     return "motdepasse" in "".join(words) and words[-1] not in HARMLESS
 
 
+LONG_LINE, AROUND = 4000, 1200
+
+
+def _windows(text: str, start: int, end: int, cues: list[int]) -> list[tuple[int, int]]:
+    """Parts of a very long line around its cues, widened to the end of the token they would cut."""
+    out: list[tuple[int, int]] = []
+    for cue in cues:
+        a, b = max(start, cue - AROUND), min(end, cue + AROUND)
+        while b < end and (text[b].isalnum() or text[b] in "+/=_.-"):
+            b += 1
+        if out and a <= out[-1][1] and b - out[-1][0] <= LONG_LINE:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 class Detector:
     """Spans of usable credentials in the text of a file; one per task."""
 
@@ -197,12 +214,13 @@ class Detector:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         ends = [m.start() for m in re.finditer("\n", text)]
-        lines, seen = [], -1
+        lines, seen, cues = [], -1, {}
         for m in _GATE.finditer(low):
             k = bisect.bisect_left(ends, m.start())
             if k != seen:
                 lines.append(k)
                 seen = k
+            cues.setdefault(k, []).append(m.start())
         if not lines:
             return []
         found = self._keys(text)
@@ -213,7 +231,8 @@ class Detector:
             end = ends[k] if k < len(ends) else len(text)
             if any(a <= start and end <= b for a, b in blocked):
                 continue
-            found += [(start + a, start + b) for a, b in self._line(text[start:end].rstrip("\r"), quoted)]
+            for low_end, high_end in [(start, end)] if end - start <= LONG_LINE else _windows(text, start, end, cues[k]):
+                found += [(low_end + a, low_end + b) for a, b in self._line(text[low_end:high_end].rstrip("\r"), quoted)]
         found += self._joined(text, low, ends, lines)
         out: list[tuple[int, int]] = []
         for a, b in sorted(set(found)):
