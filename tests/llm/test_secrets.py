@@ -64,3 +64,9 @@ def test_operators(spark):
     red = {(r.file_id, r.redacted_text, r.redacted_count) for r in s.redact_files(files, configs).collect()}
     assert (1, "A=1\n\nPASSWORD=REDACTED\nB=2", 1) in red and (2, None, 0) in red and (3, "", 0) in red
     assert s.find_lines(files.limit(0), configs.limit(0)).count() == 0
+
+
+def test_very_long_line(detector):
+    text = "var a=b.c;" * 3000 + 'x={token:"a2t6iBGiphXnTfCh6Ao1cN"};' + "d=e;" * 3000
+    assert s.redact(text, detector.spans(text, "js")).count("REDACTED") == 1
+    assert detector.spans("auth=x;a=b;" * 2000, "js") == []
