@@ -11,6 +11,7 @@ REGISTRY = [
     ("go", "Go", "source"), ("rs", "Rust", "source"), ("c", "C", "source"), ("h", "C", "source"), ("cpp", "C++", "source"), ("sh", "Shell", "source"), ("sql", "SQL", "source"), ("html", "HTML", "source"), ("css", "CSS", "source"),
     ("json", "JSON", "configuration"), ("yaml", "YAML", "configuration"), ("yml", "YAML", "configuration"), ("toml", "TOML", "configuration"), ("env", "Env", "configuration"), ("ini", "INI", "configuration"), ("md", "Markdown", "documentation"), ("rst", "reStructuredText", "documentation"), ("csv", "CSV", "data"),
 ]
+# Directories that ingestion leaves out.
 IGNORED = ["node_modules", ".git", "dist", "build", "coverage", "venv", ".venv", "env", "__pycache__", "vendor", "target", ".idea", ".vscode", "out", "bin", "obj", ".next", ".cache", "tmp"]
 READABLE = sorted({e for e, _, _ in REGISTRY} | {"txt", "xml", "cfg"})
 
