@@ -36,6 +36,11 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.redact_files(table(spark, sf, "km_files"), table(spark, sf, "km_configs"))
 
 
+def p2_redacted_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """All configuration values with their credentials replaced."""
+    return secrets.redact_configs(table(spark, sf, "km_files"), table(spark, sf, "km_configs"))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every oversized chunk."""
     return pieces.split_chunks(table(spark, sf, "chunks"), table(spark, sf, "chunk_limits"))
@@ -103,7 +108,7 @@ def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_rates, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p5_validation, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)
+    found = (p1_found, p1_rates, p2_found, p2_redacted, p2_redacted_configs, p3_found, p3_pieces, p4_found, p4_pairs, p5_found, p5_validation, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)
     return {f.__name__: f for f in found}
 
 

@@ -373,8 +373,8 @@ def corpus_words(files: DataFrame, configs: DataFrame, least: int = 3, most: int
 _SPANS = "file_id long, line_no int, start_char int, end_char int"
 
 
-def find_in_files(files: DataFrame, words: dict[str, int]) -> DataFrame:
-    """Credential spans of every line: file_id, line_no, start_char and end_char (exclusive) within the line.
+def find_in_files(files: DataFrame, words: dict[str, int], keep: bool = False) -> DataFrame:
+    """Credential spans of every line: file_id, line_no, start_char and end_char (exclusive) within the line, with ``keep`` line_text.
 
     A null or empty line list gives none, null elements count as empty lines.  Repeated deliveries give repeated rows."""
 
@@ -383,12 +383,14 @@ def find_in_files(files: DataFrame, words: dict[str, int]) -> DataFrame:
         for b in batches:
             rows = []
             for file_id, ext, text in zip(b["file_id"], b["ext"], b["text"]):
-                rows += [(file_id, *r) for r in line_spans(text, detector.spans(text, ext))]
-            yield pd.DataFrame(rows, columns=["file_id", "line_no", "start_char", "end_char"]).astype({"line_no": "int32", "start_char": "int32", "end_char": "int32"})
+                found = line_spans(text, detector.spans(text, ext))
+                parts = text.split("\n") if keep and found else []
+                rows += [(file_id, *r, *([parts[r[0] - 1]] if keep else [])) for r in found]
+            yield pd.DataFrame(rows, columns=["file_id", "line_no", "start_char", "end_char", *["line_text"] * keep]).astype({"line_no": "int32", "start_char": "int32", "end_char": "int32"})
 
     one_line = F.transform("file_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " "))
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
-    return spread(files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line, "\n").alias("text"))).mapInPandas(run, _SPANS)
+    return spread(files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line, "\n").alias("text"))).mapInPandas(run, _SPANS + ", line_text string" * keep)
 
 
 def line_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -410,20 +412,28 @@ def line_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int,
     return out
 
 
+_CONFIG_SPANS = "config_id long, file_id long, line_no int, config_value string, start_char int, end_char int"
+
+
+def _config_spans(detector: Detector, key: str | None, value: str | None) -> list[tuple[int, int]]:
+    """Credential spans within a configuration value, read beside its key."""
+    head = f"{key or 'value'}="
+    return [(max(a - len(head), 0), e - len(head)) for a, e in detector.spans(head + (value or "").replace("\n", " "), "env") if e > len(head)]
+
+
 def find_in_configs(configs: DataFrame, words: dict[str, int]) -> DataFrame:
-    """Lines whose configuration value holds a credential: file_id, line_no, config_id, start_char and end_char within the value."""
+    """Lines whose configuration value holds a credential: file_id, line_no, config_id, config_value, start_char and end_char within the value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = Detector(words)
         for b in batches:
             rows = []
             for config_id, file_id, line, key, value in b.itertuples(index=False, name=None):
-                head = f"{key or 'value'}="
-                rows += [(config_id, file_id, line, a - len(head), e - len(head)) for a, e in detector.spans(head + value.replace("\n", " "), "env") if e > len(head)]
-            yield pd.DataFrame(rows, columns=["config_id", "file_id", "line_no", "start_char", "end_char"]).astype({"line_no": "Int32", "start_char": "int32", "end_char": "int32"})
+                rows += [(config_id, file_id, line, value, *span) for span in _config_spans(detector, key, value)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CONFIG_SPANS.split(", ")]).astype({"config_id": "Int64", "file_id": "Int64", "line_no": "Int32", "start_char": "int32", "end_char": "int32"})
 
     rows = configs.select("config_id", "file_id", "line_no", "config_key", "config_value").filter(F.length("config_value") > 5)
-    return rows.mapInPandas(run, "config_id long, file_id long, line_no int, start_char int, end_char int")
+    return rows.mapInPandas(run, _CONFIG_SPANS)
 
 
 def find_lines(files: DataFrame, configs: DataFrame) -> DataFrame:
@@ -442,16 +452,89 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> s
     return "".join(out) + text[at:]
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif b > a:
+            out.append((a, b))
+    return out
+
+
+def _occurrences(text: str, part: str) -> list[int]:
+    return [m.start() for m in re.finditer(re.escape(part), text)] if part else []
+
+
+def in_line(line: str, value: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the span of a configuration value stands in the line it was read from; the literal alone where the value was changed in reading."""
+    whole = [(at + start, at + end) for at in _occurrences(line, value)]
+    return whole or [(at, at + end - start) for at in _occurrences(line, value[start:end])]
+
+
+def in_value(value: str, line: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The part of a line's span that lies in the configuration value read from the line; the literal alone where the value was changed in reading."""
+    starts = _occurrences(line, value)
+    if not starts:
+        return [(at, at + end - start) for at in _occurrences(value, line[start:end])]
+    cut = [(max(start - at, 0), min(end - at, len(value))) for at in starts]
+    return [(a, b) for a, b in cut if b > a]
+
+
 def redact_files(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every file with ``redacted_text`` (lines joined by newlines) and ``redacted_count``; null lines stay null."""
+    """Every file with ``redacted_text`` (lines joined by newlines) and ``redacted_count``; null lines stay null.
+
+    What only the configuration values give away is redacted in their lines too."""
     words = corpus_words(files, configs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = Detector(words)
         for b in batches:
-            spans = [detector.spans(t, e) if t else [] for t, e in zip(b["text"], b["ext"])]
-            yield pd.DataFrame({"file_id": b["file_id"], "redacted_text": [t if t is None else redact(t, s) for t, s in zip(b["text"], spans)], "redacted_count": [len(s) for s in spans]})
-
+            rows = []
+            for file_id, ext, text, sizes, told in zip(b["file_id"], b["ext"], b["text"], b["sizes"], b["told"]):
+                spans = detector.spans(text, ext) if text else []
+                if text and told is not None:
+                    starts = [0]
+                    for n in sizes:
+                        starts.append(starts[-1] + n + 1)
+                    for t in told:
+                        if 0 < t["line_no"] < len(starts):
+                            at = starts[t["line_no"] - 1]
+                            line = text[at : starts[t["line_no"]] - 1]
+                            spans = spans + [(at + x, at + y) for x, y in in_line(line, t["config_value"], t["start_char"], t["end_char"])]
+                    spans = _merged(spans)
+                rows.append((file_id, text if text is None else redact(text, spans), len(spans)))
+            yield pd.DataFrame(rows, columns=["file_id", "redacted_text", "redacted_count"]).astype({"file_id": "Int64"})
+
+    told = find_in_configs(configs, words).filter("line_no is not null and file_id is not null")
+    told = told.groupBy("file_id").agg(F.collect_set(F.struct("line_no", "config_value", "start_char", "end_char")).alias("told"))
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
-    rows = files.select("file_id", ext, F.when(F.col("file_lines").isNotNull(), F.array_join("file_lines", "\n", "")).alias("text"))
-    return spread(rows).mapInPandas(run, "file_id long, redacted_text string, redacted_count int")
+    rows = files.select("file_id", ext, F.when(F.col("file_lines").isNotNull(), F.array_join("file_lines", "\n", "")).alias("text"), F.transform("file_lines", lambda x: F.coalesce(F.length(x), F.lit(0))).alias("sizes"))
+    rows = rows.join(told, "file_id", "left").select("file_id", "ext", "text", F.when(F.col("told").isNotNull(), F.col("sizes")).alias("sizes"), "told")
+    return rows.mapInPandas(run, "file_id long, redacted_text string, redacted_count int")
+
+
+def redact_configs(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """Every configuration entry with ``redacted_value`` and ``redacted_count``; null values stay null.
+
+    What only the entry's line in the file gives away, as in a key of many lines, is redacted in the value too."""
+    words = corpus_words(files, configs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detector = Detector(words)
+        for b in batches:
+            rows = []
+            for config_id, key, value, told in zip(b["config_id"], b["config_key"], b["config_value"], b["told"]):
+                spans = _config_spans(detector, key, value) if value and len(value) > 5 else []
+                for t in told if value and told is not None else []:
+                    spans = spans + in_value(value, t["line_text"], t["start_char"], t["end_char"])
+                spans = _merged(spans)
+                rows.append((config_id, value if value is None else redact(value, spans), len(spans)))
+            yield pd.DataFrame(rows, columns=["config_id", "redacted_value", "redacted_count"]).astype({"config_id": "Int64"})
+
+    asked = configs.select("file_id").filter("file_id is not null").distinct()
+    lined = files.filter("file_lines is not null").join(asked, "file_id", "left_semi")
+    spans = find_in_files(lined, words, keep=True)
+    told = spans.groupBy("file_id", "line_no").agg(F.collect_set(F.struct("line_text", "start_char", "end_char")).alias("told"))
+    rows = configs.select("config_id", "file_id", "line_no", "config_key", "config_value").join(told, ["file_id", "line_no"], "left")
+    return rows.select("config_id", "config_key", "config_value", "told").mapInPandas(run, "config_id long, redacted_value string, redacted_count int")

@@ -70,3 +70,19 @@ def test_very_long_line(detector):
     text = "var a=b.c;" * 3000 + 'x={token:"a2t6iBGiphXnTfCh6Ao1cN"};' + "d=e;" * 3000
     assert s.redact(text, detector.spans(text, "js")).count("REDACTED") == 1
     assert detector.spans("auth=x;a=b;" * 2000, "js") == []
+
+
+def test_redacts_configs_and_their_lines(spark):
+    files = spark.createDataFrame(
+        [(1, "a.json", ['{"a": 1,', '"x": "pass", "y": "Zk39dk20dkK"', "}"]), (2, "k.yml", ["k: -----BEGIN RSA PRIVATE KEY-----", "  b: abc", "  -----END RSA PRIVATE KEY-----"]), (None, "c.txt", ["é Zk39dk20dkK"])],
+        "file_id long, file_path string, file_lines array<string>",
+    )
+    configs = spark.createDataFrame(
+        [(1, 1, 2, "api_key", "Zk39dk20dkK"), (2, 1, 2, "x", "pass"), (3, 2, 2, "b", "abc"), (4, None, None, "token", "x9Kq2Lm8z77"), (5, 1, 99, "token", "x9Kq2Lm8z77"), (6, 1, None, None, None), (7, 1, 1, "a", "")],
+        "config_id long, file_id long, line_no int, config_key string, config_value string",
+    )
+    text = {r.file_id: (r.redacted_text, r.redacted_count) for r in s.redact_files(files, configs).collect()}
+    assert text[1] == ('{"a": 1,\n"x": "pass", "y": "REDACTED"\n}', 1) and text[None] == ("é Zk39dk20dkK", 0)
+    value = {r.config_id: r.redacted_value for r in s.redact_configs(files, configs).collect()}
+    assert value == {1: "REDACTED", 2: "pass", 3: "REDACTED", 4: "REDACTED", 5: "REDACTED", 6: None, 7: ""}
+    assert s.redact_configs(files.limit(0), configs.limit(0)).count() == 0 and s.redact_files(files.limit(0), configs.limit(0)).count() == 0
