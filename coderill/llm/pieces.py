@@ -1,6 +1,6 @@
 """Problem 3: oversized items cut into pieces at natural boundaries, range by range.
 
-An item is looked at in ranges of ``range_chars`` characters with a halo of one limit on either side.  Every range owns the
+An item is looked at in ranges of ``range_chars`` characters with a halo of one limit (3 characters at least) on either side.  Every range owns the
 text from the first good boundary at or after its nominal start to that of the next range.  Both boundaries lie within
 the halo, so neighbouring workers find the same one without talking to each other, and an item of any length is cut in
 parallel.  Line numbers come from the prefix sum of the newline counts of the ranges before.
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 RANGE_CHARS = 1 << 17
+LEAST_HALO = 3  # what :func:`boundary_rank` looks at before a line
 _LINE = re.compile(r"\n")
 _SPACE = re.compile(r"\s")
 _CLOSER = ")]}"
@@ -79,7 +80,7 @@ def cut_range(text: str, halo_left: int, body: int, last: bool, limit: int, over
     ``shared`` lines repeat the end of the piece before it.  Sharing is given up line by line where the shared lines
     would take more than half of the limit, and at a cut inside a line, where there is no whole line to share."""
     starts = [m.end() for m in _LINE.finditer(text)]
-    reach = max(1, min(limit, body) // 2)
+    reach = max(1, limit // 2)  # whatever the body, so that the neighbour on either side looks as far
     begin = 0 if halo_left == 0 else _owned_start(text, starts, halo_left, reach)
     stop = len(text) if last else _owned_start(text, starts, halo_left + body, reach)
     pieces, at = [], begin
@@ -144,11 +145,12 @@ def split_column(items: DataFrame, key: str, text: str, first_line: str, limit:
     src = src.withColumn("_size", size.cast("int")).withColumn("_counts", counts)
     ranges = src.select("*", F.posexplode("_counts").alias("_range", "_newlines"))
     start = F.col("_range") * F.col("_size")
-    left = F.least(start, F.col("_limit"))
+    halo = F.greatest(F.col("_limit"), F.lit(LEAST_HALO))
+    left = F.least(start, halo)
     before = F.aggregate(F.slice(F.col("_counts"), F.lit(1), F.col("_range")), F.lit(0), lambda a, x: a + x)
     body = F.least(F.col("_size"), n - start)
     struct = F.struct(
-        F.substring(F.col("_text"), (start - left + 1).cast("int"), (left + F.col("_size") + F.col("_limit")).cast("int")).alias("text"),
+        F.substring(F.col("_text"), (start - left + 1).cast("int"), (left + F.col("_size") + halo).cast("int")).alias("text"),
         left.cast("int").alias("left"),
         body.cast("int").alias("body"),
         (F.col("_range") == F.size("_counts") - 1).alias("last"),
@@ -203,33 +205,36 @@ def split_files(spark: SparkSession, files: DataFrame, range_bytes: int = 1 << 2
 
     Pass one reads each range and counts its newlines; the counts, a few bytes a range, are summed up by a window; pass
     two reads each range with its halo by offset and emits the pieces.  No task ever holds a whole file."""
+    # At least a limit of characters, or boundaries of neighbours could cross
+    size = F.greatest(F.lit(range_bytes), F.col("max_chars") * 4).cast("long")
     ranges = files.filter("byte_size > 0 and max_chars >= 1").select(
-        "path", "byte_size", "max_chars", F.coalesce("overlap_lines", F.lit(0)).alias("overlap_lines"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("byte_size") - 1) / range_bytes).cast("int"))).alias("range_no"),
+        "path", "byte_size", "max_chars", F.coalesce("overlap_lines", F.lit(0)).alias("overlap_lines"), size.alias("size"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("byte_size") - 1) / size).cast("int"))).alias("range_no"),
     )
     ranges = ranges.repartition(F.col("path"), F.col("range_no"))
 
     @F.pandas_udf("long")
-    def newlines(path: pd.Series, no: pd.Series) -> pd.Series:
-        return pd.Series([_read_range(p, int(i) * range_bytes, (int(i) + 1) * range_bytes).count(b"\n") for p, i in zip(path, no)])
+    def newlines(path: pd.Series, no: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([_read_range(p, int(i) * int(n), (int(i) + 1) * int(n)).count(b"\n") for p, i, n in zip(path, no, size)])
 
-    counted = ranges.withColumn("_n", newlines("path", "range_no"))
+    counted = ranges.withColumn("_n", newlines("path", "range_no", "size"))
     w = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     lined = counted.withColumn("_line", F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):
-                a, halo = r.range_no * range_bytes, 4 * r.max_chars
-                left = _read_range(r.path, max(0, a - halo), a).decode("utf-8", "replace")[-r.max_chars :] if a else ""
-                body = _read_range(r.path, a, a + range_bytes).decode("utf-8", "replace")
-                last = a + range_bytes >= r.byte_size
-                right = "" if last else _read_range(r.path, a + range_bytes, a + range_bytes + halo).decode("utf-8", "replace")[: r.max_chars]
+                chars = max(r.max_chars, LEAST_HALO)
+                a, halo = r.range_no * r.size, 4 * chars
+                left = _read_range(r.path, max(0, a - halo), a).decode("utf-8", "replace")[-chars:] if a else ""
+                body = _read_range(r.path, a, a + r.size).decode("utf-8", "replace")
+                last = a + r.size >= r.byte_size
+                right = "" if last else _read_range(r.path, a + r.size, a + r.size + halo).decode("utf-8", "replace")[:chars]
                 out = _range_pieces(left + body + right, len(left), len(body), last, r.max_chars, r.overlap_lines, 0, r.line)
                 yield pd.DataFrame([(r.path, r.range_no, t, a_, b_, s) for t, _, _, a_, b_, s in out], columns=["path", "range_no", "piece_text", "start_line", "end_line", "shared_lines"])
 
     schema = "path string, range_no int, piece_text string, start_line int, end_line int, shared_lines int"
-    return lined.select("path", "byte_size", "max_chars", "overlap_lines", "range_no", F.col("_line").alias("line")).mapInPandas(emit, schema)
+    return lined.select("path", "byte_size", "max_chars", "overlap_lines", "size", "range_no", F.col("_line").alias("line")).mapInPandas(emit, schema)
 
 
 def split_chunks(chunks: DataFrame, limits: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:

@@ -83,3 +83,31 @@ def test_files_by_offset(spark, tmp_path):
         covered.update(range(r.start_line, r.end_line + 1))
         assert r.piece_text.split("\n")[0] in lines[r.start_line - 1]
     assert covered == set(range(1, len(lines) + 1)) or covered == set(range(1, len(lines)))
+
+
+def fresh_text(rows):
+    """The text of pieces in order without their shared lines."""
+    return "".join("".join(r.piece_text.splitlines(keepends=True)[r.shared_lines :]) for r in rows)
+
+
+def test_neighbours_share_every_boundary(spark, tmp_path):
+    texts = [sample(100 + i, n)[:n] for i, n in enumerate([4389, 8389, 12001, 16002, 4400, 8600, 12389, 4999] * 3)]
+    rows = [(i, t, lim) for i, t in enumerate(texts) for lim in [1000]] + [(100 + i, t, lim) for i, t in enumerate(texts[:3]) for lim in [1]]
+    df = spark.createDataFrame([(i, t, 1, lim, 2) for i, t, lim in rows], "id long, t string, line int, lim int, ov int")
+    got = pieces.split_column(df, "id", "t", "line", "lim", "ov", 4000).collect()
+    for i, t, lim in rows:
+        mine, at = sorted((r for r in got if r.id == i), key=lambda r: r.piece_no), 0
+        for r in mine:
+            shared = sum(map(len, r.piece_text.splitlines(keepends=True)[: r.shared_lines]))
+            assert r.char_start + shared == at and r.char_end - r.char_start <= lim
+            at = r.char_end
+        assert at == len(t) and fresh_text(mine) == t
+    paths = []
+    for i, t in enumerate(texts[:8]):
+        paths.append(str(tmp_path / f"{i}.txt"))
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    files = spark.createDataFrame([(p, len(t.encode()), 1000, 2) for p, t in zip(paths, texts)], "path string, byte_size long, max_chars int, overlap_lines int")
+    got = pieces.split_files(spark, files, 3000).rdd.mapPartitionsWithIndex(lambda k, rows: ((r, n) for n, r in enumerate(rows))).collect()
+    for p, t in zip(paths, texts):
+        mine = [r for r, n in sorted((x for x in got if x[0].path == p), key=lambda x: (x[0].range_no, x[1]))]
+        assert fresh_text(mine) == t
