@@ -74,7 +74,8 @@ def calls_of(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def config_entries(lines: DataFrame) -> DataFrame:
-    """Keys and values of YAML, env, TOML and Dockerfile lines."""
+    """Keys and values of YAML, env, TOML and Dockerfile ENV lines, env files by their last extension only, as its SQL has it;
+    :func:`all_config_entries` reads every format."""
     t = F.col("line_text")
     yaml, env, docker = r"^\s*([A-Za-z_][\w.-]*): *(.*)$", r"^(?:export +)?([A-Za-z_]\w*)=(.*)$", r"^ENV +(\w+)[ =](.*)$"
     toml = r"^([A-Za-z_][\w.-]*) *= *(.*)$"
@@ -85,6 +86,27 @@ def config_entries(lines: DataFrame) -> DataFrame:
     return rows.select("file_id", "line_no", pick(1).alias("config_key"), F.regexp_replace(F.trim(pick(2)), "^[\"']|[\"']$", "").alias("config_value")).filter("config_key <> ''")
 
 
+def all_config_entries(lines: DataFrame) -> DataFrame:
+    """Keys and values of YAML, TOML, JSON and Dockerfile (ENV, EXPOSE) lines and of files with '.env' in their path, such as
+    .env.prod; comments and blank lines give none.  The key of an exposed port is 'port', the value of an empty YAML key '(section)'."""
+    t, path = F.trim(F.regexp_replace("line_text", r"^\s+|\s+$", "")), F.lower("file_path")
+    docker = path.endswith("dockerfile")
+    rules = [
+        (_is("yaml", "yml"), r"^([A-Za-z0-9_.-]+)\s*:\s*(.*)$"), (path.contains(".env"), r"^(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*)$"), (_is("toml"), r"^([A-Za-z0-9_.-]+)\s*=\s*(.*)$"),
+        (docker, r"(?i)^ENV\s+(\w+)(?:\s*=\s*|\s+)(.*)$"), (_is("json"), r'^[{\s]*"([A-Za-z0-9_.-]+)"\s*:\s*(.*)$'), (docker, r"(?i)^(EXPOSE)\s+([0-9]+)"),
+    ]
+    key, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for where, pattern in reversed(rules):
+        hit = where & t.rlike(pattern)
+        key, value = F.when(hit, F.regexp_extract(t, pattern, 1)).otherwise(key), F.when(hit, F.regexp_extract(t, pattern, 2)).otherwise(value)
+    value = F.when(_is("json"), F.regexp_replace(value, r"[,}]$", "")).otherwise(value)
+    key = F.when(docker & (F.lower(key) == "expose"), "port").otherwise(key)
+    value = F.regexp_replace(F.trim(value), "^[\"']|[\"']$", "")
+    value = F.when(_is("yaml", "yml") & (value == ""), "(section)").otherwise(value)
+    rows = lines.filter(~F.coalesce(t, F.lit("")).rlike("^(?:#|//|$)")).select("file_id", "line_no", key.alias("config_key"), value.alias("config_value"))
+    return rows.filter("config_key is not null")
+
+
 def env_references(lines: DataFrame) -> DataFrame:
     """Environment variables that code reads."""
     pattern = r"(?:process\.env\.|os\.environ\[\"|os\.environ\.get\(\"|os\.getenv\(\"|os\.Getenv\(\"|System\.getenv\(\")([A-Z_][A-Z0-9_]*)"

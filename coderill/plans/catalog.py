@@ -271,6 +271,12 @@ def ext_config_keys(s, d):
     return structure.config_entries(_lines(s, d))
 
 
+@query()
+def ext_config_entries(s, d):
+    """The entries of every format; ``ext_config_keys`` stays at what its SQL states."""
+    return structure.all_config_entries(_lines(s, d))
+
+
 @query(f"""WITH {LINES} SELECT file_id, line_no, unnest(regexp_extract_all(line_text, '(?:process\\.env\\.|os\\.environ\\["|os\\.environ\\.get\\("|os\\.getenv\\("|os\\.Getenv\\("|System\\.getenv\\(")([A-Z_][A-Z0-9_]*)', 1)) AS env_name FROM lines WHERE ext IN ('py','js','ts','java','go')""")
 def ext_env_refs(s, d):
     return structure.env_references(_lines(s, d))

@@ -176,3 +176,19 @@ def test_running_bytes_over_spans(spark):
         want[i] = (total[i % 2], total[i % 2] > 5000)
     got = {r.file_id: (r.total_bytes, r.over_limit) for r in lines.running_bytes(m, 5000, span=16).collect()}
     assert got == want
+
+
+def test_config_entries_of_every_format(spark):
+    f = files(spark, ("a/.env.prod", "export A=\"x\"\n# B=2\n C = 3"), ("b/.env", "D="), ("c.json", '{\n  "port": 3000,\n  "db": {\n  "u-v": "w",'), ("x/Dockerfile", "FROM a\nENV K v w\nexpose 8080/tcp\nENV L=1"), ("d.yml", "s:\n  k.a: 'v'\n- z"), ("e.toml", "[t]\na-b = \"c\""), ("f.py", "a = 1"))
+    got = {(r.file_id, r.line_no, r.config_key, r.config_value) for r in structure.all_config_entries(lines.lines_of(f)).collect()}
+    want = {(0, 1, "A", "x"), (0, 3, "C", "3"), (1, 1, "D", ""), (2, 2, "port", "3000"), (2, 3, "db", "{"), (2, 4, "u-v", "w"), (3, 2, "K", "v w"), (3, 3, "port", "8080"), (3, 4, "L", "1"), (4, 1, "s", "(section)"), (4, 2, "k.a", "v"), (5, 2, "a-b", "c")}
+    assert got == want
+
+
+def test_config_entries_hold_the_config_table(spark):
+    from coderill.plans import catalog
+    from coderill.sources.tables import table
+
+    folder = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["ext_config_entries"](spark, folder).select("file_id", "line_no", "config_key")
+    assert table(spark, folder, "km_configs").select("file_id", "line_no", "config_key").subtract(got).count() == 0
