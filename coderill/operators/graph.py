@@ -9,7 +9,7 @@ from coderill.session import cut_lineage
 
 
 def relationship_edges(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """Edges of all kinds: DEFINES file to symbol, IMPORTS file to module, CALLS function to function."""
+    """Edges of three kinds: DEFINES file to symbol, IMPORTS file to module, CALLS function to function; no INHERITS, CONTAINS or EXPORTS."""
     defines = symbols.select("repo_id", F.lit("DEFINES").alias("edge_kind"), F.concat(F.lit("file:"), F.col("file_id")).alias("src"), F.concat(F.lit("sym:"), "symbol_name").alias("dst"))
     brings = imports.select("repo_id", F.lit("IMPORTS").alias("edge_kind"), F.concat(F.lit("file:"), F.col("file_id")).alias("src"), F.concat(F.lit("mod:"), "source_module").alias("dst"))
     runs = calls.filter("caller is not null").select("repo_id", F.lit("CALLS").alias("edge_kind"), F.concat(F.lit("sym:"), "caller").alias("src"), F.concat(F.lit("sym:"), "callee").alias("dst"))

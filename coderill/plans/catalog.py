@@ -386,6 +386,7 @@ def join_imported_by(s, d):
 @query(f"""WITH {CALLS}, {IMPORTS.split(LINES + ', ')[1]}, u AS (SELECT repo_id, lower(callee) AS name, file_id, line_no, 'call' AS ref_type, 2 AS prio FROM calls UNION ALL SELECT repo_id, lower(imported_name), file_id, line_no, 'import', 3 FROM imports
   UNION ALL SELECT repo_id, lower(symbol_name), file_id, start_line, 'definition', 1 FROM symbols), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, name, file_id, line_no ORDER BY prio) AS k FROM u) SELECT repo_id, name, file_id, line_no, ref_type FROM r WHERE k = 1""")
 def join_references_union(s, d):
+    """Definitions, calls and imports only; the README lists the branches that are missing."""
     cols = ["repo_id", "name", "file_id", "line_no", "ref_type", "prio"]
     calls = _calls(s, d).select("repo_id", F.lower("callee").alias("name"), "file_id", "line_no", F.lit("call").alias("ref_type"), F.lit(2).alias("prio"))
     brought = structure.imports_of(_lines(s, d)).select("repo_id", F.lower("imported_name").alias("name"), "file_id", "line_no", F.lit("import").alias("ref_type"), F.lit(3).alias("prio"))
@@ -583,6 +584,7 @@ def ret_vocab_build(s, d):
 @query(f"""WITH {CALLS}, {IMPORTS.split(LINES + ', ')[1]}, e AS (SELECT repo_id, 'DEFINES' AS edge_kind, concat('file:', file_id) AS src, concat('sym:', symbol_name) AS dst FROM symbols UNION SELECT repo_id, 'IMPORTS', concat('file:', file_id), concat('mod:', source_module) FROM imports UNION SELECT repo_id, 'CALLS', concat('sym:', caller), concat('sym:', callee) FROM calls WHERE caller IS NOT NULL)
   SELECT repo_id, edge_kind, count(*) AS n_edges, count(DISTINCT src) AS n_sources FROM e GROUP BY 1, 2""")
 def gra_edge_counts(s, d):
+    """DEFINES, IMPORTS and CALLS only; the README lists the kinds that are missing."""
     e = graph.relationship_edges(_symbols(s, d), structure.imports_of(_lines(s, d)), _calls(s, d))
     return e.groupBy("repo_id", "edge_kind").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
 
