@@ -359,6 +359,7 @@ def chk_brace_blocks(s, d):
 
 @query(f"""WITH {CALLS}, a AS (SELECT DISTINCT lower(symbol_name) AS n FROM symbols WHERE symbol_id % 20 = 0) SELECT DISTINCT callee, caller, file_id, line_no FROM calls WHERE lower(callee) IN (SELECT n FROM a)""")
 def join_callers(s, d):
+    """A search, not the whole join: callers of the stated query set, the names of every 20th symbol (symbol_id % 20 = 0)."""
     return structure.callers(_calls(s, d), _symbols(s, d).filter("symbol_id % 20 = 0"))
 
 
@@ -367,6 +368,7 @@ def join_callers(s, d):
   lo AS (SELECT DISTINCT a.repo_id, a.asked, c.callee, 'folded' AS how FROM a JOIN calls c ON c.repo_id = a.repo_id AND lower(c.caller) = lower(a.asked))
   SELECT * FROM ex UNION ALL SELECT * FROM lo WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.repo_id = lo.repo_id AND ex.asked = lo.asked)""")
 def join_callees_fallback(s, d):
+    """A search, not the whole join: callees of the stated query set, every 20th symbol (symbol_id % 20 = 0)."""
     calls = _calls(s, d).select("repo_id", "caller", "callee").distinct()
     asked = _symbols(s, d).filter("symbol_kind in ('function', 'method') and symbol_id % 20 = 0").select("repo_id", F.col("symbol_name").alias("asked")).distinct()
     exact = asked.join(calls.withColumnRenamed("caller", "asked"), ["repo_id", "asked"]).select("repo_id", "asked", "callee", F.lit("exact").alias("how")).distinct()
