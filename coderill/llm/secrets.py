@@ -82,7 +82,7 @@ _SCHEME = re.compile(r"(?<![\w-])(?P<key>bearer|basic|token|apikey|digest|negoti
 _FLAG = re.compile(r"(?<![\w-])--?(?P<key>[A-Za-z][\w.-]*)(?:=|\s+)(?P<value>\"[^\"\n]*\"|'[^'\n]*'|[^\s\"';|&]+)")
 _PAIR = re.compile(
     r"""(?P<q>["']?)(?<![\w$-])(?P<key>[^\W\d][\w.-]*)(?P=q)\s*\]?\s*(?::\s*[\w.\[\]<>|?]+\s*=(?=\s*["'`(])|:=|=>|=(?!=)|:(?!:))\s*(?:\(\s*)?
-        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(][^\n]{0,2000}|\{\{[^\n]{0,2000})""",
+        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(][^\n]*|\{\{[^\n]*)""",
     re.X,
 )
 _ENV = re.compile(r"^\s*ENV\s+(?P<key>\w+)\s+(?P<value>\S[^\n]*)$", re.I)
@@ -98,8 +98,9 @@ _STRING = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
 _OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _CLOSE = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"\"\"|''')|\s(?:#|//|--)\s")
+_HEADER = re.compile(r"(?i)authorization|header")
 _GATE = re.compile(
-    r"pass|pwd|pw\b|secret|token|key|auth|bearer|basic |cred|kennwort|clave|contrase|mdp|geheim|senha|wachtwoord|://[^\s/]*:[^\s/]*@|hook|gh[pousr]_|glpat-|[sr]k_|akia|asia|aiza|xox[abeoprs]-|_pat_|eyj|npm_|pypi-|zugang|prod|staging|login|was|\buse |\bold |\btry |acc[eè]s|sg\.|hvs\.|sk-|_live_|_prod_"
+    r"pass|pwd|pw\b|secret|token|key|auth|bearer|basic |cred|kennwort|clave|contrase|mdp|geheim|senha|wachtwoord|://[^\s/]*:[^\s/]*@|hook|gh[pousr]_|glpat-|[sr]k_|akia|asia|aiza|xox[abeoprs]-|_pat_|eyj|npm_|pypi-|zugang|prod|staging|login|was|\buse |\bold |\btry |acc[eè]s|sg\.|hvs\.|sk-|_live_|_prod_|dop_v1_|ya29\."
 )
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _QUOTED_LANGUAGES = frozenset("py js ts jsx tsx mjs cjs go java css c h cpp rs rb php kt swift scala sql csv".split())
@@ -231,8 +232,15 @@ class Detector:
             end = ends[k] if k < len(ends) else len(text)
             if any(a <= start and end <= b for a, b in blocked):
                 continue
-            for low_end, high_end in [(start, end)] if end - start <= LONG_LINE else _windows(text, start, end, cues[k]):
-                found += [(low_end + a, low_end + b) for a, b in self._line(text[low_end:high_end].rstrip("\r"), quoted)]
+            if end - start <= LONG_LINE:
+                found += [(start + a, start + b) for a, b in self._line(text[start:end].rstrip("\r"), quoted)]
+                continue
+            # What the whole line says about its parts: where a comment begins, whether it is about a header
+            comment = _COMMENT.search(text[start:end])
+            header = bool(_HEADER.search(text, start, end))
+            for low_end, high_end in _windows(text, start, end, cues[k]):
+                told = (comment and max(0, start + comment.start() - low_end), header)
+                found += [(low_end + a, low_end + b) for a, b in self._line(text[low_end:high_end].rstrip("\r"), quoted, told)]
         found += self._joined(text, low, ends, lines)
         out: list[tuple[int, int]] = []
         for a, b in sorted(set(found)):
@@ -255,7 +263,12 @@ class Detector:
             out.append((m.start(), body.end()))
         return out
 
-    def _line(self, line: str, quoted: bool) -> Iterator[tuple[int, int]]:
+    def _line(self, line: str, quoted: bool, told: tuple[int | None, bool] | None = None) -> Iterator[tuple[int, int]]:
+        """Spans in a line, or in a window of a long one; ``told`` is what the long line says: start of a comment, about a header."""
+        if told is None:
+            mark = _COMMENT.search(line)
+            told = (mark and mark.start(), bool(_HEADER.search(line)))
+        comment, header = told
         for m in _TOKENS.finditer(line):
             if not _PLACEHOLDER.search(m.group()):
                 yield m.span()
@@ -270,7 +283,7 @@ class Detector:
                 yield m.span("value")
         for m in _SCHEME.finditer(line):
             v = m.group("value")
-            if m.group("key").lower() in ("token", "digest") and not re.search(r"(?i)authorization|header", line):
+            if m.group("key").lower() in ("token", "digest") and not header:
                 continue
             if self.usable(v, True):
                 yield m.span("value")
@@ -278,25 +291,24 @@ class Detector:
             got = self._value(line, m, False)
             if got and sensitive(m.group("key")):
                 yield got
-        comment = _COMMENT.search(line)
         at = 0
         while m := _PAIR.search(line, at):
             at = m.start("value") if m.group("value")[0] not in "\"'`" else m.end()
             at = max(at, m.start() + 1)
-            if sensitive(m.group("key")) and (got := self._value(line, m, quoted and not comment)):
+            if sensitive(m.group("key")) and (got := self._value(line, m, quoted and comment is None)):
                 yield got
         if (m := _ENV.match(line)) and sensitive(m.group("key")) and (got := self._value(line, m, False)):
             yield got
         for m in _CALL.finditer(line):
             if sensitive(m.group("key")) and (got := self._value(line, m, True)):
                 yield got
-        if comment:
+        if comment is not None:
             for m in _LOOSE.finditer(line):
                 v = m.group("value")
                 if sensitive(m.group("key")) and (got := self._value(line, m, False)):
                     if any(c.isdigit() for c in v) and self.words.residual(v.strip("\"'`")) >= 2:
                         yield got
-            for m in _HINT.finditer(line, comment.start()):
+            for m in _HINT.finditer(line, comment):
                 v = m.group("value").rstrip(".)!?*/") if not m.group("value").rstrip().endswith("!") else m.group("value")
                 mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
                 shaped = any(not c.isalnum() for c in v) or any(c.isupper() for c in v) and any(c.islower() for c in v)
@@ -328,11 +340,11 @@ class Detector:
 
     def _joined(self, text: str, low: str, ends: list[int], lines: list[int]) -> Iterator[tuple[int, int]]:
         """Literals put together from parts: the parts count as one literal, on every line that holds one of them."""
+        chains = [[(s.start() + 1, s.end() - 1) for s in _STRING.finditer(text, m.start(), m.end())] for m in _JOINED.finditer(text)]
+        lasts = [c[-1][1] for c in chains]
         for k in lines:
             start = ends[k - 1] + 1 if k else 0
-            stop = ends[min(k + 6, len(ends) - 1)] if ends else len(text)
             line_end = ends[k] if k < len(ends) else len(text)
-            region = text[start : max(stop, line_end)]
             head = text[start:line_end]
             opened = re.match(r"""\s*(?:[\w$]+\s+)*?(?P<key>[\w.$-]+)["']?\s*(?::\s*[\w.\[\]<>|]+\s*)?(?::=|=|:)\s*\(?\s*\\?\s*$""", head)
             if opened and sensitive(opened.group("key")):
@@ -342,14 +354,14 @@ class Detector:
                     if self.usable("".join(text[a:b] for a, b in parts), True):
                         yield from parts
                 continue
-            for m in _JOINED.finditer(region):
-                if start + m.start() > line_end:
+            for i in range(bisect.bisect_left(lasts, start), len(chains)):
+                parts = chains[i][bisect.bisect_left(chains[i], (start, start)) :]
+                if not parts or parts[0][0] - 1 > line_end:
                     break
-                parts = [(start + s.start() + 1, start + s.end() - 1) for s in _STRING.finditer(region, m.start(), m.end())]
-                value = "".join(text[a:b] for a, b in parts)
-                if len(value) > 400 or len(parts) > 8:
+                if len(parts) < 2:
                     continue
-                before = region[: m.start()].rsplit("\n", 1)[-1]
+                value = "".join(text[a:b] for a, b in parts)
+                before = text[start : parts[0][0] - 1]
                 key = re.search(r"""(?P<key>[\w.$-]+)["']?\s*(?::\s*[\w.\[\]<>|]+\s*)?(?::=|=|:|,)\s*\(?\s*$""", before)
                 strong = bool(key and sensitive(key.group("key")))
                 if self.usable(value, strong) or _SCHEME.fullmatch(value) and self.usable(value.split()[-1], True):

@@ -86,3 +86,18 @@ def test_redacts_configs_and_their_lines(spark):
     value = {r.config_id: r.redacted_value for r in s.redact_configs(files, configs).collect()}
     assert value == {1: "REDACTED", 2: "pass", 3: "REDACTED", 4: "REDACTED", 5: "REDACTED", 6: None, 7: ""}
     assert s.redact_configs(files.limit(0), configs.limit(0)).count() == 0 and s.redact_files(files.limit(0), configs.limit(0)).count() == 0
+
+
+def test_long_literals_and_lines(detector):
+    part = "a2t6iBGiphXnTfCh6Ao1cN9vQz4LrWk8"
+    joined = 'api_key = (\n    "x' + part + '" +\n' + "".join(f'    "{part}{i}" +\n' for i in range(20)) + '    "z9")'
+    assert s.redact(joined, detector.spans(joined, "py")).count("REDACTED") == 22
+    joined = 'api_key = "x' + part + '" + \\\n' + "".join(f'    "{part}{i}" + \\\n' for i in range(20)) + '    "z9"'
+    assert s.redact(joined, detector.spans(joined, "py")).count("REDACTED") == 22
+    bare = "API_KEY=" + part * 90
+    assert s.redact(bare, detector.spans(bare, "env")) == "API_KEY=REDACTED"
+    for n in (3000, 5000):
+        noted = "# " + "x y " * (n // 4) + "pass: a2t6iBGiphXnTfCh6Ao1cN"
+        assert s.redact(noted, detector.spans(noted, "py")).endswith("pass: REDACTED")
+    for text in ("k = dop_v1_" + "0a1b2c3d" * 5, "k = 'ya29." + part + "'"):
+        assert "REDACTED" in s.redact(text, detector.spans(text, "py"))
