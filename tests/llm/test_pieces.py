@@ -29,7 +29,7 @@ def test_round_trip_over_ranges(spark):
     texts = [sample(i, n) for i, n in enumerate([50, 400, 3000, 20000])] + ["z" * 5000, "a b " * 900, "\n" * 700, ""]
     rows = [(i, t, 10, lim, ov) for i, t in enumerate(texts) for lim, ov in [(100, 2)]]
     df = spark.createDataFrame(rows, "id long, t string, line int, lim int, ov int").withColumn("piece_no", F.lit("clash"))
-    for size in (400, 1 << 17):
+    for size in (400, 1 << 17, pieces.RANGE_CHARS):
         got = pieces.split_column(df, "id", "t", "line", "lim", "ov", size).collect()
         for i, t in enumerate(texts):
             mine = [r for r in got if r.id == i]
@@ -70,44 +70,67 @@ def test_chunks_swapped_lines_and_repeats(spark):
     assert max(r.end_line for r in got if r.chunk_id == "a") == 30
 
 
-def test_files_by_offset(spark, tmp_path):
-    t = sample(7, 30000)
-    path = tmp_path / "big.txt"
-    path.write_bytes(t.encode())
-    files = spark.createDataFrame([(str(path), path.stat().st_size, 120, 2)], "path string, byte_size long, max_chars int, overlap_lines int")
-    got = sorted(pieces.split_files(spark, files, 1000).collect(), key=lambda r: (r.range_no, r.start_line, r.end_line))
-    assert len({r.range_no for r in got}) > 10 and all(len(r.piece_text) <= 120 for r in got)
-    lines = t.split("\n")
-    covered = set()
-    for r in got:
-        covered.update(range(r.start_line, r.end_line + 1))
-        assert r.piece_text.split("\n")[0] in lines[r.start_line - 1]
-    assert covered == set(range(1, len(lines) + 1)) or covered == set(range(1, len(lines)))
-
-
 def fresh_text(rows):
     """The text of pieces in order without their shared lines."""
     return "".join("".join(r.piece_text.splitlines(keepends=True)[r.shared_lines :]) for r in rows)
 
 
-def test_neighbours_share_every_boundary(spark, tmp_path):
-    texts = [sample(100 + i, n)[:n] for i, n in enumerate([4389, 8389, 12001, 16002, 4400, 8600, 12389, 4999] * 3)]
-    rows = [(i, t, lim) for i, t in enumerate(texts) for lim in [1000]] + [(100 + i, t, lim) for i, t in enumerate(texts[:3]) for lim in [1]]
-    df = spark.createDataFrame([(i, t, 1, lim, 2) for i, t, lim in rows], "id long, t string, line int, lim int, ov int")
-    got = pieces.split_column(df, "id", "t", "line", "lim", "ov", 4000).collect()
-    for i, t, lim in rows:
-        mine, at = sorted((r for r in got if r.id == i), key=lambda r: r.piece_no), 0
-        for r in mine:
-            shared = sum(map(len, r.piece_text.splitlines(keepends=True)[: r.shared_lines]))
-            assert r.char_start + shared == at and r.char_end - r.char_start <= lim
-            at = r.char_end
-        assert at == len(t) and fresh_text(mine) == t
-    paths = []
-    for i, t in enumerate(texts[:8]):
-        paths.append(str(tmp_path / f"{i}.txt"))
-        (tmp_path / f"{i}.txt").write_bytes(t.encode())
-    files = spark.createDataFrame([(p, len(t.encode()), 1000, 2) for p, t in zip(paths, texts)], "path string, byte_size long, max_chars int, overlap_lines int")
-    got = pieces.split_files(spark, files, 3000).rdd.mapPartitionsWithIndex(lambda k, rows: ((r, n) for n, r in enumerate(rows))).collect()
-    for p, t in zip(paths, texts):
-        mine = [r for r, n in sorted((x for x in got if x[0].path == p), key=lambda x: (x[0].range_no, x[1]))]
-        assert fresh_text(mine) == t
+def check_pieces(mine, t, limit, first=1):
+    """Pieces touch without gap or overlap but for their shared lines, keep the limit, and tell right offsets and lines."""
+    mine, at = sorted(mine, key=lambda r: r.piece_no), 0
+    assert [r.piece_no for r in mine] == list(range(1, len(mine) + 1)) and {r.piece_count for r in mine} == {len(mine)}
+    for r in mine:
+        shared = sum(map(len, r.piece_text.splitlines(keepends=True)[: r.shared_lines]))
+        assert r.char_start + shared == at and r.piece_text == t[r.char_start : r.char_end] and len(r.piece_text) <= limit
+        assert r.start_line == first + t.count("\n", 0, r.char_start) and r.end_line == first + t.count("\n", 0, r.char_end - 1)
+        at = r.char_end
+    assert at == len(t) and fresh_text(mine) == t
+
+
+def test_every_tail_and_overlap(spark):
+    """Lengths around the ends of ranges, last ranges shorter than limit and reach, several overlaps."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        limit = rnd.choice([1, 2, 7, 50, 250, 1000])
+        size = max(400, 4 * limit)
+        n = max(limit + 1, size * rnd.randint(1, 4) + rnd.choice([-1, 0, 1, 2, limit // 4, limit // 2, limit // 2 + 1, limit - 1, limit + 1]))
+        rows.append((i, sample(i, n)[:n], rnd.randint(1, 9), limit, rnd.randint(0, 4)))
+    df = spark.createDataFrame(rows, "id long, t string, line int, lim int, ov int")
+    got = {}
+    for r in pieces.split_column(df, "id", "t", "line", "lim", "ov", 400).collect():
+        got.setdefault(r.id, []).append(r)
+    for i, t, line, limit, _ in rows:
+        check_pieces(got[i], t, limit, line)
+
+
+def test_repeated_keys(spark):
+    t = sample(5, 9000)
+    df = spark.createDataFrame([(1, t, 1, 200, 1)] * 2, "id long, t string, line int, lim int, ov int")
+    got = pieces.split_column(df, "id", "t", "line", "lim", "ov", 400).collect()
+    assert len(got) % 2 == 0 and {r.piece_count for r in got} == {len(got) // 2}
+
+
+def test_files_by_offset(spark, tmp_path):
+    texts = [sample(100 + i, n)[:n] for i, n in enumerate([30000, 4389, 8389, 12001, 16002, 4400, 8600, 12389, 4999, 90, 3])] + ["é😀" * 4000, "\n" * 9000]
+    rows = []
+    for i, t in enumerate(texts):
+        path = tmp_path / f"{i}.txt"
+        path.write_bytes(t.encode())
+        rows.append((str(path) if i % 2 else f"file://{path}", path.stat().st_size, 120, i % 4))
+    (tmp_path / "empty").touch()
+    rows += [(str(tmp_path / "empty"), 0, 120, 1), (str(tmp_path / "empty"), None, 120, 1)]
+    files = spark.createDataFrame(rows, "path string, byte_size long, max_chars int, overlap_lines int")
+    got = {}
+    for r in pieces.split_files(files, 1000).collect():
+        got.setdefault(r.path, []).append(r)
+    assert len(got) == len(texts)
+    for (path, *_), t in zip(rows, texts):
+        check_pieces(got[path], t, 120)
+
+
+def test_files_with_invalid_bytes(spark, tmp_path):
+    data = b"ab\xff\xfe\n\x80cd\n" * 3000
+    (tmp_path / "x").write_bytes(data)
+    got = pieces.split_files(spark.createDataFrame([(str(tmp_path / "x"), len(data), 100, 0)], "path string, byte_size long, max_chars int, overlap_lines int"), 1600).collect()
+    assert "".join(r.piece_text for r in sorted(got, key=lambda r: r.piece_no)) == data.decode("utf-8", "replace")
