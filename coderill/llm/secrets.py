@@ -64,43 +64,47 @@ _PLACEHOLDER = re.compile(
     |change[-_]?(?:me|it)|replace[-_]?me|placeholder|example|redacted|dummy|sample|not[-_]?set|unset|todo|fixme|tbd|fake|foobar|lorem|^x{3,}|^\*{3,}|^\.{3,}|^-+$|x{6,}|\*{4,}|^0+$|^(?:null|none|nil|undefined|true|false|yes|no|on|off|test|testing|secret|password|passwd|token|n/?a|empty|default)$|123456(?:78(?:90?)?)?$""",
     re.X | re.I,
 )
+# Fixed patterns: hashes that name their own kind are no credentials anywhere; bare hexadecimal ones only beside a key that names one.
+_DIGEST = re.compile(r"^(?:\$(?:1|2[abxy]?|5|6|y|argon2\w*|scrypt|pbkdf2[\w-]*)\$|\{(?:SSHA|SHA|MD5|CRYPT)\d*\}|(?:sha\d+|md5|blake\w+|crc\d*|pbkdf2_sha\d+|bcrypt)[-:=$_])", re.I)
 _HASH = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
-_TOKENS = re.compile(
-    r"""(?<![A-Za-z0-9_/+-])(?:
-      (?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{16,} | glpat-[\w-]{16,} | (?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,} | (?:AKIA|ASIA)[0-9A-Z]{12,}
-    | AIza[\w-]{20,} | xox[abeoprs]-[\w-]{12,} | [a-z]{2,8}_(?:pat|key|token|secret|live|prod)_[A-Za-z0-9]{16,} | npm_[A-Za-z0-9]{24,} | pypi-[\w-]{24,}
-    | SG\.[\w-]{12,}\.[\w-]{12,} | hvs\.[\w-]{20,} | dop_v1_[0-9a-f]{32,} | ya29\.[\w-]{20,} | sk-[A-Za-z0-9_-]{24,}
-    | eyJ[\w-]{8,}\.[\w-]{6,}\.[\w-]{10,}
-    )""",
-    re.X,
-)
-_PREFIX = re.compile(r"^(?:gh[pousr]_|github_pat_|glpat-|[sr]k_live_|AKIA|ASIA|AIza|xox[abeoprs]-|[a-z]{2,8}_pat_|eyJ[\w-]{4,})")
+# Fixed patterns: how tokens of well-known kinds begin, and what follows.
+TOKEN_SHAPES = [
+    (r"gh[pousr]_", r"[A-Za-z0-9_]{16,}"), (r"github_pat_", r"[A-Za-z0-9_]{16,}"), (r"glpat-", r"[\w-]{16,}"), (r"[srp]k_(?:live|test)_", r"[A-Za-z0-9]{10,}"), (r"(?:AKIA|ASIA)", r"[0-9A-Z]{12,}"), (r"AIza", r"[\w-]{20,}"),
+    (r"xox[abeoprs]-", r"[\w-]{12,}"), (r"[a-z]{2,8}_(?:pat|key|token|secret|live|prod)_", r"[A-Za-z0-9]{16,}"), (r"npm_", r"[A-Za-z0-9]{24,}"), (r"pypi-", r"[\w-]{24,}"), (r"SG\.", r"[\w-]{12,}\.[\w-]{12,}"), (r"hvs\.", r"[\w-]{20,}"),
+    (r"dop_v1_", r"[0-9a-f]{32,}"), (r"ya29\.", r"[\w-]{20,}"), (r"sk-", r"[A-Za-z0-9_-]{24,}"), (r"eyJ", r"[\w-]{8,}\.[\w-]{6,}\.[\w-]{10,}"),
+]
+_TOKENS = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(f"(?:{head}){body}" for head, body in TOKEN_SHAPES) + ")")
+_SHAPE = re.compile("(?:" + "|".join(head for head, _ in TOKEN_SHAPES) + ")")
 _HOOK = re.compile(r"https?://(?:hooks?|webhooks?)\.[\w.-]+/(\S*?[A-Za-z0-9]{16,}[^\s\"'`;,)]*)", re.I)
 _URL = re.compile(r"(?P<scheme>[a-z][a-z0-9+.-]{1,20})://(?P<user>[^\s:/@\"'`<>{}]*):(?P<pass>[^\s/@\"'`]{3,})@(?=[\w\[{$<-])", re.I)
 _QUERY = re.compile(r"[?&;](?P<key>[\w.-]+)=(?P<value>[^\s&;\"'`<>)]{6,})")
 _SCHEME = re.compile(r"(?<![\w-])(?P<key>bearer|basic|token|apikey|digest|negotiate)[ ]+(?P<value>[A-Za-z0-9][A-Za-z0-9+/=._~!@#$%^*-]{7,})", re.I)
 _FLAG = re.compile(r"(?<![\w-])--?(?P<key>[A-Za-z][\w.-]*)(?:=|\s+)(?P<value>\"[^\"\n]*\"|'[^'\n]*'|[^\s\"';|&]+)")
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?<![\w$-])(?P<key>[^\W\d][\w.-]*)(?P=q)\s*\]?\s*(?::\s*[\w.\[\]<>|?]+\s*=(?=\s*["'`(])|:=|=>|=(?!=)|:(?!:))\s*(?:\(\s*)?
-        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(][^\n]*|\{\{[^\n]*)""",
+    r"""(?P<q>["']?)(?<![\w$-])(?<!\w\.)(?P<key>[^\W\d][\w.-]*+)(?P=q)\s*+(?:\]\s*+)?(?::\s*+[\w.\[\]<>|?]++\s*+=(?=\s*+["'`(])|:=|=>|=(?!=)|:(?!:))\s*+(?:\(\s*+)?
+        (?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`{\[(]|\{\{)""",
     re.X,
 )
 _ENV = re.compile(r"^\s*ENV\s+(?P<key>\w+)\s+(?P<value>\S[^\n]*)$", re.I)
-_CALL = re.compile(r"""(?P<key>[\w.]+)["']?\s*,\s*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
-_LOOSE = re.compile(r"(?:^|[\s#/*;!-])(?P<key>[^\W\d][\w-]*)\s*(?:is|was|:|=|->)?\s+(?P<value>[\"'`]?[^\s\"'`,;]{6,})", re.U)
+_CALL = re.compile(r"""(?<![\w.])(?P<key>[\w.]+)["']?\s*,\s*(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
+_LOOSE = re.compile(r"(?:^|[\s#/*;!]|(?<!\w)-)(?P<key>[^\W\d][\w-]*+)(?:\s*+(?:is|was|:|=|->))?\s++(?P<value>[\"'`]?[^\s\"'`,;]{6,})", re.U)
 _JOINED = re.compile(r"""(?P<first>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?P<rest>(?:[ \t]*\\?\n?[ \t]*[+.]?[ \t]*\\?\n?[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))+)""")
+_ASSIGNED = re.compile(r"""(?<![\w.$-])(?P<key>[\w.$-]++)["']?\s*+(?::\s*+[\w.\[\]<>|]++\s*+)?(?::=|=|:|,)\s*+(?:\(\s*+)?(?=["'])""")
 _HINT = re.compile(
     r"""(?:(?:\b(?:zugang|access|login|logon|prod|production|staging|was|old|former|current|live|temp|test\w*|acceso|acc[eè]s|connexion|key|value|creds?|user)\b[^:=>\n]{0,30}?(?::|->|=>?|\bwas\b|\bis\b))|\buse\b|\btry\b)\s+
         ["'`]?(?P<value>[^\s"'`,;]{7,})""",
     re.X | re.I,
 )
+_STOP = re.compile(r"(?<!\s)\s++(?:#|//|&&|\|\||;)|[,;]\s*+$|[\"'`]|(?<!\s)\s*+[)}\]]++[;,]?+\s*+$")
 _STRING = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
 _OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _CLOSE = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(?:[\s\"'+#*/>|,\\n]*+[A-Za-z0-9+/=]{24,}+[\"',+\\]*+)*+(?:[\s\"'+#*/>|,\\n]*+[A-Za-z0-9+/]++={0,2}(?=[\"'`\s,+\\]*+\Z))?")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"\"\"|''')|\s(?:#|//|--)\s")
 _HEADER = re.compile(r"(?i)authorization|header")
 _GATE = re.compile(
-    r"pass|pwd|pw\b|secret|token|key|auth|bearer|basic |cred|kennwort|clave|contrase|mdp|geheim|senha|wachtwoord|://[^\s/]*:[^\s/]*@|hook|gh[pousr]_|glpat-|[sr]k_|akia|asia|aiza|xox[abeoprs]-|_pat_|eyj|npm_|pypi-|zugang|prod|staging|login|was|\buse |\bold |\btry |acc[eè]s|sg\.|hvs\.|sk-|_live_|_prod_|dop_v1_|ya29\."
+    r"pass|pwd|pw\b|secret|token|key|auth|bearer|basic |cred|kennwort|clave|contrase|mdp|geheim|senha|wachtwoord|://[^\s/:]*+:[^\s/]*@|hook|zugang|prod|staging|login|was|\buse |\bold |\btry |acc[eè]s|"
+    + "|".join(head if "\\w" in head else head.lower() for head, _ in TOKEN_SHAPES)
 )
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _QUOTED_LANGUAGES = frozenset("py js ts jsx tsx mjs cjs go java css c h cpp rs rb php kt swift scala sql csv".split())
@@ -123,11 +127,14 @@ class Dictionary:
         self.memo: dict[str, int] = {}
 
     def residual(self, text: str) -> int:
-        if text not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            self.memo[text] = self._residual(text.lower())
-        return self.memo[text]
+        got = self.memo.get(text)
+        if got is None:
+            got = self._residual(text.lower())
+            if len(text) <= 256:  # longer ones are segmented anew, so that memory stays bounded
+                if len(self.memo) > 50_000:
+                    self.memo.clear()
+                self.memo[text] = got
+        return got
 
     def _residual(self, text: str) -> int:
         best: list[tuple[float, int]] = [(0.0, 0)]
@@ -159,21 +166,15 @@ def sensitive(key: str) -> bool:
     return "motdepasse" in "".join(words) and words[-1] not in HARMLESS
 
 
-LONG_LINE, AROUND = 4000, 1200
+# Words of prose, which no passphrase has.
+PROSE = frozenset("a an and are as at be by can do does for from has have if in is it its may must no not of on one only or set should than that the them then this to use used uses was when will with you your".split())
+PHRASED = frozenset("password passwd passphrase passwort passcode pwd kennwort contrasena contraseña clave secret".split())
 
 
-def _windows(text: str, start: int, end: int, cues: list[int]) -> list[tuple[int, int]]:
-    """Parts of a very long line around its cues, widened to the end of the token they would cut."""
-    out: list[tuple[int, int]] = []
-    for cue in cues:
-        a, b = max(start, cue - AROUND), min(end, cue + AROUND)
-        while b < end and (text[b].isalnum() or text[b] in "+/=_.-"):
-            b += 1
-        if out and a <= out[-1][1] and b - out[-1][0] <= LONG_LINE:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        elif not out or b > out[-1][1]:
-            out.append((a, b))
-    return out
+def passphrase(value: str) -> bool:
+    """Four or more plain words in a row that make no sentence."""
+    words = value.split()
+    return len(words) >= 4 and all(w.isalpha() and w.islower() and len(w) > 2 for w in words) and not PROSE & set(words) and len(set(words)) == len(words)
 
 
 class Detector:
@@ -183,30 +184,35 @@ class Detector:
         self.words = Dictionary(words)
 
     def usable(self, value: str, strong: bool) -> bool:
-        """Whether a literal is a credential; ``strong`` beside a sensitive key, otherwise only by its own shape."""
+        """Whether a literal is a credential, by what its segmentation leaves unexplained; ``strong`` beside a sensitive key, otherwise
+        only in the shape of a token.  Literals below six characters are none, nor are those in the format of a hash; a bare
+        hexadecimal one beside a sensitive key is a hexadecimal key."""
         v = value.strip()
-        if len(v) < 6 or _REFERENCE.match(v) or "://" in v or " " in v and not strong:
+        if len(v) < 6 or _REFERENCE.match(v) or _DIGEST.match(v) or "://" in v or " " in v and not strong:
             return False
+        left = self.words.residual(v)
         if _TOKENS.fullmatch(v):
-            return True
-        if _PLACEHOLDER.search(v) or v.count("${") or "{{" in v:
-            return False
-        if not strong:
+            return left >= 6
+        if _PLACEHOLDER.search(v) or v.count("${") or "{{" in v or not strong:
             return False
+        if " " in v:
+            return passphrase(v)
         if _HASH.match(v):
-            return True
-        if len(v.split()) > 1:
-            return False
+            return left >= 6
         digits = sum(c.isdigit() for c in v)
-        left = self.words.residual(v)
         if v.isdigit():
-            return len(v) >= 8
+            return left >= 8
         if v.isalpha():
             return left >= 6 and (len(v) >= 16 or any(c.isupper() for c in v[1:]) and any(c.islower() for c in v)) and left > 0.6 * len(v)
         if not digits and left < 0.4 * sum(c.isalnum() for c in v):
             return False
         return left >= 2 and len(v) >= 7 or left >= 6
 
+    def in_address(self, v: str) -> bool:
+        """Whether the password of an address is one: no reference or placeholder, and more than a word that only says so."""
+        named = v.lower() in ("pass", "password", "pwd", "pw", "secret", "token", "user")
+        return not (_REFERENCE.match(v) or _PLACEHOLDER.search(v) or "{" in v or v[:1] == "$" or named) and (self.words.residual(v) >= 2 or len(v) >= 6)
+
     def spans(self, text: str, ext: str) -> list[tuple[int, int]]:
         """(start, end) of every credential in the text, in order; spans of multi-line keys cover all of their lines."""
         if not text:
@@ -215,13 +221,7 @@ class Detector:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         ends = [m.start() for m in re.finditer("\n", text)]
-        lines, seen, cues = [], -1, {}
-        for m in _GATE.finditer(low):
-            k = bisect.bisect_left(ends, m.start())
-            if k != seen:
-                lines.append(k)
-                seen = k
-            cues.setdefault(k, []).append(m.start())
+        lines = list(dict.fromkeys(bisect.bisect_left(ends, m.start()) for m in _GATE.finditer(low)))
         if not lines:
             return []
         found = self._keys(text)
@@ -232,15 +232,7 @@ class Detector:
             end = ends[k] if k < len(ends) else len(text)
             if any(a <= start and end <= b for a, b in blocked):
                 continue
-            if end - start <= LONG_LINE:
-                found += [(start + a, start + b) for a, b in self._line(text[start:end].rstrip("\r"), quoted)]
-                continue
-            # What the whole line says about its parts: where a comment begins, whether it is about a header
-            comment = _COMMENT.search(text[start:end])
-            header = bool(_HEADER.search(text, start, end))
-            for low_end, high_end in _windows(text, start, end, cues[k]):
-                told = (comment and max(0, start + comment.start() - low_end), header)
-                found += [(low_end + a, low_end + b) for a, b in self._line(text[low_end:high_end].rstrip("\r"), quoted, told)]
+            found += [(start + a, start + b) for a, b in self._line(text[start:end].rstrip("\r"), quoted)]
         found += self._joined(text, low, ends, lines)
         out: list[tuple[int, int]] = []
         for a, b in sorted(set(found)):
@@ -250,33 +242,34 @@ class Detector:
                 out.append((a, b))
         return out
 
-    @staticmethod
-    def _keys(text: str) -> list[tuple[int, int]]:
+    def _keys(self, text: str) -> list[tuple[int, int]]:
+        """Private keys from their opening to their closing line, or to where the key breaks off; their body is unexplained too."""
         out = []
-        for m in _OPEN.finditer(text):
-            close = _CLOSE.search(text, m.end())
-            again = _OPEN.search(text, m.end())
-            if close and (not again or close.start() < again.start()):
-                out.append((m.start(), close.end()))
-                continue
-            body = re.compile(r"(?:[\s\"'+#*/>|,\\n]*[A-Za-z0-9+/=]{24,}[\"',+\\]*)*").match(text, m.end())
-            out.append((m.start(), body.end()))
+        opens, closes = list(_OPEN.finditer(text)), list(_CLOSE.finditer(text))
+        starts = [c.start() for c in closes]
+        for m, again in zip(opens, [*opens[1:], None]):
+            k = bisect.bisect_left(starts, m.end())
+            if k < len(closes) and (again is None or starts[k] < again.start()):
+                end, body = closes[k].end(), text[m.end() : starts[k]]
+            else:
+                end = _BODY.match(text, m.end()).end()
+                body = text[m.end() : end]
+            if self.words.residual(body) >= 6:
+                out.append((m.start(), end))
         return out
 
-    def _line(self, line: str, quoted: bool, told: tuple[int | None, bool] | None = None) -> Iterator[tuple[int, int]]:
-        """Spans in a line, or in a window of a long one; ``told`` is what the long line says: start of a comment, about a header."""
-        if told is None:
-            mark = _COMMENT.search(line)
-            told = (mark and mark.start(), bool(_HEADER.search(line)))
-        comment, header = told
+    def _line(self, line: str, quoted: bool) -> Iterator[tuple[int, int]]:
+        """Spans in a line of any length; every pattern reads it once."""
+        mark = _COMMENT.search(line)
+        comment, header = mark and mark.start(), bool(_HEADER.search(line))
         for m in _TOKENS.finditer(line):
-            if not _PLACEHOLDER.search(m.group()):
+            if not _PLACEHOLDER.search(m.group()) and self.words.residual(m.group()) >= 6:
                 yield m.span()
         for m in _HOOK.finditer(line):
-            yield m.span(1)
+            if self.words.residual(m.group(1)) >= 6:
+                yield m.span(1)
         for m in _URL.finditer(line):
-            v = m.group("pass")
-            if not _REFERENCE.match(v) and not _PLACEHOLDER.search(v) and "{" not in v and "$" not in v[:1] and v.lower() not in ("pass", "password", "pwd", "pw", "secret", "token", "user"):
+            if self.in_address(m.group("pass")):
                 yield m.span("pass")
         for m in _QUERY.finditer(line):
             if sensitive(m.group("key")) and self.usable(m.group("value"), True):
@@ -288,14 +281,12 @@ class Detector:
             if self.usable(v, True):
                 yield m.span("value")
         for m in _FLAG.finditer(line):
-            got = self._value(line, m, False)
-            if got and sensitive(m.group("key")):
+            if sensitive(m.group("key")) and (got := self._value(line, m, False)):
                 yield got
         at = 0
         while m := _PAIR.search(line, at):
-            at = m.start("value") if m.group("value")[0] not in "\"'`" else m.end()
-            at = max(at, m.start() + 1)
-            if sensitive(m.group("key")) and (got := self._value(line, m, quoted and comment is None)):
+            at = max(m.start() + 1, m.end() if m.group("value")[0] in "\"'`" else m.start("value"))
+            if sensitive(m.group("key")) and (got := self._value(line, m, quoted and comment is None, True)):
                 yield got
         if (m := _ENV.match(line)) and sensitive(m.group("key")) and (got := self._value(line, m, False)):
             yield got
@@ -315,24 +306,25 @@ class Detector:
                 if mixed and (shaped or _HASH.match(v) and len(v) < 65) and not re.search(r"[()\\:<>\[\]]|\w\.[a-z]\w{0,3}$", v) and not ("/" in v and len(v) < 30) and self.usable(v, True):
                     yield m.start("value"), m.start("value") + len(v)
 
-    def _value(self, line: str, m: re.Match, quoted: bool) -> tuple[int, int] | None:
-        """The span of the literal of a pair if it is usable.  In code only a quoted literal is one."""
+    def _value(self, line: str, m: re.Match, quoted: bool, rest: bool = False) -> tuple[int, int] | None:
+        """The span of the literal of a pair if it is usable.  In code only a quoted literal is one.  With ``rest`` the pattern has
+        only found where an unquoted one starts."""
         start, end = m.span("value")
-        v = line[start:end]
-        if v[0] in "\"'`" and len(v) > 1 and v[-1] == v[0]:
+        if line[start] in "\"'`" and end - start > 1 and line[end - 1] == line[start]:
             start, end = start + 1, end - 1
         elif quoted:
             return None
         else:
-            stop = re.search(r"\s+(?:#|//|&&|\|\||;)|[,;]\s*$|[\"'`]|\s*[)}\]]+[;,]?\s*$", v)
-            first = v.split()[0] if v.split() else v
-            cut = len(v[: stop.start()].rstrip()) if stop else len(v.rstrip())
-            v = v[:cut]
+            v = line[start:] if rest else line[start:end]
+            stop = _STOP.search(v)
+            first = v.split(None, 1)[0] if v.strip() else v
+            whole = v
+            v = v[: stop.start()].rstrip() if stop else v.rstrip()
             if ";" in v and re.search(r";\s*\w+=", v) or re.match(r"[^\s;]+;", v):
                 v = v.split(";")[0]
             if " " in v:
-                v = first if re.search(r"\s(?:&&|\|\||;)", m.group("value")) else v
-            start, end = m.start("value"), m.start("value") + len(v)
+                v = first if re.search(r"\s(?:&&|\|\||;)", whole) else v
+            end = start + len(v)
             if start and v[:1] in "\"'`":
                 start += 1
         v = line[start:end]
@@ -354,6 +346,7 @@ class Detector:
                     if self.usable("".join(text[a:b] for a, b in parts), True):
                         yield from parts
                 continue
+            keys = {m.end(): m.group("key") for m in _ASSIGNED.finditer(text, start, line_end)}
             for i in range(bisect.bisect_left(lasts, start), len(chains)):
                 parts = chains[i][bisect.bisect_left(chains[i], (start, start)) :]
                 if not parts or parts[0][0] - 1 > line_end:
@@ -361,30 +354,34 @@ class Detector:
                 if len(parts) < 2:
                     continue
                 value = "".join(text[a:b] for a, b in parts)
-                before = text[start : parts[0][0] - 1]
-                key = re.search(r"""(?P<key>[\w.$-]+)["']?\s*(?::\s*[\w.\[\]<>|]+\s*)?(?::=|=|:|,)\s*\(?\s*$""", before)
-                strong = bool(key and sensitive(key.group("key")))
+                strong = sensitive(keys.get(parts[0][0] - 1, ""))
                 if self.usable(value, strong) or _SCHEME.fullmatch(value) and self.usable(value.split()[-1], True):
                     yield from ((a, b) for a, b in parts if b > a)
 
 
 # ------------------------------------------------------------------------------------------------------ operators
 
-MAX_WORDS = 60_000
+LEAST_SHARE = 1e-5
 
 
-def corpus_words(files: DataFrame, configs: DataFrame, least: int = 3, most: int = MAX_WORDS) -> dict[str, int]:
-    """The dictionary: words of all paths and configuration keys that occur at least ``least`` times, the ``most`` most frequent
-    ones (ties by word) - the size of a model, whatever the size of the corpus."""
+def corpus_words(files: DataFrame, configs: DataFrame, least: int = 3, share: float = LEAST_SHARE) -> dict[str, int]:
+    """The dictionary: words of all paths and configuration keys that make up at least ``share`` of all of their words, and occur
+    ``least`` times.  No more than 1 / ``share`` words can, whatever the size of the corpus."""
     texts = files.select(F.col("file_path").alias("t")).unionByName(configs.select(F.col("config_key").alias("t")))
     words = texts.select(F.explode(F.split(F.regexp_replace("t", "([a-z0-9])([A-Z])", "$1 $2"), r"[^\p{L}]+")).alias("w"))
-    counts = words.filter(F.length("w").between(3, 20)).groupBy(F.lower("w").alias("w")).count().filter(F.col("count") >= least)
-    return {r["w"]: r["count"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()}
+    counts = words.filter(F.length("w").between(3, 20)).groupBy(F.lower("w").alias("w")).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return {r["w"]: r["count"] for r in counts.filter(F.col("count") >= max(least, share * total)).collect()}
 
 
 _SPANS = "file_id long, line_no int, start_char int, end_char int"
 
 
+def one_line():
+    """The lines of a file without newlines in them."""
+    return F.transform("file_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " "))
+
+
 def find_in_files(files: DataFrame, words: dict[str, int], keep: bool = False) -> DataFrame:
     """Credential spans of every line: file_id, line_no, start_char and end_char (exclusive) within the line, with ``keep`` line_text.
 
@@ -400,9 +397,8 @@ def find_in_files(files: DataFrame, words: dict[str, int], keep: bool = False) -
                 rows += [(file_id, *r, *([parts[r[0] - 1]] if keep else [])) for r in found]
             yield pd.DataFrame(rows, columns=["file_id", "line_no", "start_char", "end_char", *["line_text"] * keep]).astype({"line_no": "int32", "start_char": "int32", "end_char": "int32"})
 
-    one_line = F.transform("file_lines", lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " "))
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
-    return spread(files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line, "\n").alias("text"))).mapInPandas(run, _SPANS + ", line_text string" * keep)
+    return spread(files.filter("file_lines is not null").select("file_id", ext, F.array_join(one_line(), "\n").alias("text"))).mapInPandas(run, _SPANS + ", line_text string" * keep)
 
 
 def line_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -494,7 +490,7 @@ def in_value(value: str, line: str, start: int, end: int) -> list[tuple[int, int
 
 
 def redact_files(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every file with ``redacted_text`` (lines joined by newlines) and ``redacted_count``; null lines stay null.
+    """Every file once, its last delivery, with ``redacted_text`` (lines joined by newlines) and ``redacted_count``; null lines stay null.
 
     What only the configuration values give away is redacted in their lines too."""
     words = corpus_words(files, configs)
@@ -503,8 +499,8 @@ def redact_files(files: DataFrame, configs: DataFrame) -> DataFrame:
         detector = Detector(words)
         for b in batches:
             rows = []
-            for file_id, ext, text, sizes, told in zip(b["file_id"], b["ext"], b["text"], b["sizes"], b["told"]):
-                spans = detector.spans(text, ext) if text else []
+            for file_id, ext, text, flat, sizes, told in zip(b["file_id"], b["ext"], b["text"], b["flat"], b["sizes"], b["told"]):
+                spans = detector.spans(text if flat is None else flat, ext) if text else []
                 if text and told is not None:
                     starts = [0]
                     for n in sizes:
@@ -520,14 +516,17 @@ def redact_files(files: DataFrame, configs: DataFrame) -> DataFrame:
 
     told = find_in_configs(configs, words).filter("line_no is not null and file_id is not null")
     told = told.groupBy("file_id").agg(F.collect_set(F.struct("line_no", "config_value", "start_char", "end_char")).alias("told"))
+    last = files.groupBy("file_id").agg(F.max_by(F.struct("file_path", "file_lines"), F.struct("ingested_at", F.xxhash64("file_lines"))).alias("f")).select("file_id", "f.*")
     ext = F.lower(F.coalesce(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit(""))).alias("ext")
-    rows = files.select("file_id", ext, F.when(F.col("file_lines").isNotNull(), F.array_join("file_lines", "\n", "")).alias("text"), F.transform("file_lines", lambda x: F.coalesce(F.length(x), F.lit(0))).alias("sizes"))
-    rows = rows.join(told, "file_id", "left").select("file_id", "ext", "text", F.when(F.col("told").isNotNull(), F.col("sizes")).alias("sizes"), "told")
+    # as find_in_files reads it: a newline within an element is no line end
+    flat = F.when(F.exists("file_lines", lambda x: x.contains("\n")), F.array_join(one_line(), "\n"))
+    sizes = F.transform("file_lines", lambda x: F.coalesce(F.length(x), F.lit(0)))
+    rows = last.join(told, "file_id", "left").select("file_id", ext, F.when(F.col("file_lines").isNotNull(), F.array_join("file_lines", "\n", "")).alias("text"), flat.alias("flat"), F.when(F.col("told").isNotNull(), sizes).alias("sizes"), "told")
     return rows.mapInPandas(run, "file_id long, redacted_text string, redacted_count int")
 
 
 def redact_configs(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every configuration entry with ``redacted_value`` and ``redacted_count``; null values stay null.
+    """Every configuration entry once, its last delivery, with ``redacted_value`` and ``redacted_count``; null values stay null.
 
     What only the entry's line in the file gives away, as in a key of many lines, is redacted in the value too."""
     words = corpus_words(files, configs)
@@ -548,5 +547,7 @@ def redact_configs(files: DataFrame, configs: DataFrame) -> DataFrame:
     lined = files.filter("file_lines is not null").join(asked, "file_id", "left_semi")
     spans = find_in_files(lined, words, keep=True)
     told = spans.groupBy("file_id", "line_no").agg(F.collect_set(F.struct("line_text", "start_char", "end_char")).alias("told"))
-    rows = configs.select("config_id", "file_id", "line_no", "config_key", "config_value").join(told, ["file_id", "line_no"], "left")
+    columns = ["file_id", "line_no", "config_key", "config_value"]
+    last = configs.groupBy("config_id").agg(F.max_by(F.struct(*columns), F.struct("ingested_at", F.xxhash64(*columns))).alias("c")).select("config_id", "c.*")
+    rows = last.join(told, ["file_id", "line_no"], "left")
     return rows.select("config_id", "config_key", "config_value", "told").mapInPandas(run, "config_id long, redacted_value string, redacted_count int")
