@@ -1,9 +1,10 @@
 """Problem 5: generated, minified, copied and data files, by a linear support-vector machine.
 
-Features are hashed character n-grams of the whole text with leading comment headers masked, hashed path components, and a few
-tokens for shape and origin (overlap with library files, a library's notice).  Weak labels come from the headers that the
-features cannot see, from shape and from origin.  Training uses a bounded sample of labelled rows of the training
-repositories; validation uses other repositories; prediction covers every file.
+Features are hashed character n-grams of the whole text with leading comment headers masked, hashed path components with giveaway
+name parts masked, measures of shape, and how long a run of lines a known library has too.  Weak labels come from what the features do
+not see - what tools and libraries write into headers, giveaway name parts - and from origin: long runs of a library's lines, a folder
+that bears a library's name.  Shape never makes a label.  Training uses a bounded sample of labelled rows of the training repositories;
+validation uses the headers of other repositories; prediction covers every file.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coderill.llm import corpus
+
 LANGUAGES = ["python", "javascript", "typescript", "go", "java", "css"]
-GRAM_BITS, PATH_BITS = 12, 8
-TOKENS = ("long_lines", "dense", "repeats", "few_templates", "literals", "data", "copied", "noticed")
-WIDTH = (1 << GRAM_BITS) + (1 << PATH_BITS) + len(TOKENS)
+GRAM_BITS, PATH_BITS = 12, 11
+SHAPES = ("longest line", "mean line", "blanks", "commonest template", "templates", "literals", "library run")
+WIDTH = (1 << GRAM_BITS) + (1 << PATH_BITS) + len(SHAPES)
 RUN = 6  # matching windows of WINDOW lines in a row that make a copy
 WINDOW = 4
 MAX_SAMPLE = 4000  # expected number of labelled rows that the machine is fitted on
@@ -35,6 +38,8 @@ _MARK = re.compile(
     |^\W*source:\s+\S+\.(?:proto|idl|g4|xsd|thrift)""",
     re.X | re.I | re.M,
 )
+# Fixed patterns: parts of file names that builds and tools add; the features see only the extension.
+_GIVEAWAY = re.compile(r"\.min\.\w+$|_pb2\.py$|\.pb\.go$|\.(?:gen|generated)\.\w+$|_(?:generated|data|assets|table)\.\w+$")
 _DECOY = re.compile(r"@generated\s+markers|generated\s+reports|removed\s+in\s+favou?r", re.I)
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Za-z_$]+")
@@ -51,8 +56,9 @@ class Library:
             kept = self.clean(lines)
             self.lines.update(kept)
             self.windows.update(tuple(kept[i : i + WINDOW]) for i in range(len(kept) - WINDOW + 1))
-        found = sorted({re.escape(n.lower()) for n in names if n})
-        self.notice = re.compile(r"(?:^|\W)(" + "|".join(found) + r")\W{1,3}v?\d+\.\d+", re.I) if found else re.compile(r"(?!)")
+        found = "|".join(sorted({re.escape(n.lower()) for n in names if n})) or r"(?!)"
+        self.notice = re.compile(rf"(?:^|\W)(?:{found})\W{{1,3}}v?\d+\.\d+", re.I)
+        self.folder = re.compile(rf"(?:^|/)(?:{found})(?:[^a-z_/][^/]*)?/")
 
     @staticmethod
     def clean(lines: list[str]) -> list[str]:
@@ -72,10 +78,18 @@ class Library:
         return best
 
 
-def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int | None]:
-    """Feature vector and weak label (1 not written by hand, 0 written by hand, None unclear) of one file."""
+def _hash(part: str) -> int:
+    h = 0
+    for c in part.encode():
+        h = (h * 33 + c) & 0xFFFFFFFF
+    return (h * 2654435761 & 0xFFFFFFFF) // (1 << (32 - PATH_BITS))
+
+
+def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int | None, bool]:
+    """Feature vector, weak label (1 not written by hand, 0 written by hand, None unclear) and whether the header says so, of one file."""
+    path = (path or "").lower()
     lead = _LEAD.match(text)
-    header, body = (lead.group()[:2000], text[lead.end() :]) if lead else ("", text)
+    header, body = (lead.group(), text[lead.end() :]) if lead else ("", text)
     x = np.zeros(WIDTH, dtype=np.float64)
     masked = _DIGITS.sub("0", body)
     raw = np.frombuffer(masked.encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
@@ -84,19 +98,17 @@ def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int |
         counts = np.bincount((grams * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS), minlength=1 << GRAM_BITS)
         got = np.log1p(counts)
         x[: 1 << GRAM_BITS] = got / (np.sqrt((got * got).sum()) or 1.0)
-    for part in set((path or "").lower().split("/")[:-1]) | {"." + p for p in (path or "").lower().rsplit("/", 1)[-1].split(".")[1:]}:
-        h = 0
-        for c in part.encode():
-            h = (h * 33 + c) & 0xFFFFFFFF
-        x[(1 << GRAM_BITS) + (h * 2654435761 & 0xFFFFFFFF) // (1 << (32 - PATH_BITS))] = 0.25
+    folders, name = path.split("/")[:-1], path.rsplit("/", 1)[-1]
+    for part in {*folders, *map("/".join, zip(folders, folders[1:])), "." + name.rsplit(".", 1)[-1]}:
+        x[(1 << GRAM_BITS) + _hash(part)] = 0.25
     full = [y for y in map(str.strip, body.split("\n")) if y]
-    longest, mean = max(map(len, full), default=0), len(body) / max(1, len(full))
+    n = max(1, len(full))
+    longest, mean = max(map(len, full), default=0), len(body) / n
     shapes: dict[str, int] = {}
     for y in _NAME.sub("w", _STRING.sub("s", masked)).split("\n"):
         y = y.strip()
         if y:
             shapes[y] = shapes.get(y, 0) + 1
-    n = max(1, len(full))
     templates, top = len(shapes) / n, max((c for y, c in shapes.items() if len(y) > 2), default=0) / n
     bare = _STRING.sub("", body)
     kinds = np.bincount(np.frombuffer(bare.encode("utf-8", "replace"), dtype=np.uint8), minlength=256)
@@ -105,22 +117,14 @@ def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int |
     literal = inside / max(1, len(body) - blank - int(kinds[44] + kinds[43] + kinds[45]))
     spaces = blank / max(1, len(body))
     run = library.longest_run(text.split("\n"))
-    noticed = library.notice.search(header) if header else None
-    named = bool(noticed) and noticed.group(1).lower() in (path or "").lower()
-    on = (longest > 300 and mean > 80, spaces < 0.06 and len(body) > 200, top > 0.3 and n > 8, templates < 0.12 and n > 20, literal > 0.6, literal > 0.85 and n > 3, run >= RUN, named)
-    x[WIDTH - len(TOKENS) :] = np.array(on, dtype=np.float64)
-    minified = on[0] and (on[1] or spaces < 0.1)
-    data = literal > 0.85 and n > 3
+    sized = min(1.0, n / 20)  # shares of a few lines say little
+    x[WIDTH - len(SHAPES) :] = (min(1.5, longest / 300), min(1.5, mean / 80), max(0.0, 1 - spaces / 0.12) * min(1.0, len(body) / 200), top * sized, max(0.0, 1 - templates / 0.12) * sized, max(0.0, literal - 0.4) * 2 * min(1.0, n / 4), min(1.5, run / RUN))
     marked = bool(header and _MARK.search(header)) and not _DECOY.search(header)
-    repeated = templates < 0.2 and top > 0.15 and n > 12
-    if run >= RUN or named or marked or minified or data:
-        return x, 1
-    if repeated or noticed or _MARK.search(text[:600]):
-        return x, None
-    return x, 0
-
-
-_FEATURES = "file_id long, repo_id long, label int, x array<double>"
+    noticed = bool(header and library.notice.search(header))
+    if marked or run >= RUN or library.folder.search(path) or _GIVEAWAY.search(name):
+        return x, 1, marked
+    doubtful = noticed or _MARK.search(text) or longest > 300 or literal > 0.6 or templates < 0.08 and n > 12
+    return x, None if doubtful else 0, marked
 
 
 def _library(library_files: DataFrame) -> Library:
@@ -132,35 +136,44 @@ def _library(library_files: DataFrame) -> Library:
     return Library([[y or "" for y in r.file_lines] for r in got], [r.lib_name for r in got])
 
 
-def train(files: DataFrame, library_files: DataFrame, seed: int = 7, held_out: int = 5, sample: int = MAX_SAMPLE):
-    """(weights, bias) of a machine fitted on about ``sample`` weakly labelled files (all, where there are fewer) of the
-    repositories outside the ``held_out``-th part, drawn by a hash of their ids; None where one of the labels does not occur."""
+def _part(seed: int, held_out: int):
+    """The part of its repository; part 0 is held out."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("repo_id", F.lit(-1))), F.lit(held_out))
+
+
+def sample_of(files: DataFrame, metadata: DataFrame, seed: int = 7, held_out: int = 5, sample: int = MAX_SAMPLE) -> DataFrame:
+    """The rows of the file table that are drawn for training: about ``sample`` files of the repositories outside of part 0, by a hash of
+    their ids.  The share is told by the metadata, so that no text is read or moved for it."""
+    known = metadata.filter(corpus.language_of().isin(LANGUAGES) & (_part(seed, held_out) > 0)).count()
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "file_id"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, known)) * 1_000_000)
+    return files.filter(drawn & (_part(seed, held_out) > 0))
+
+
+def train(chosen: DataFrame, library_files: DataFrame):
+    """(weights, bias) of a machine fitted on the weakly labelled ones of the files drawn; None where one of the labels does not occur."""
     library = _library(library_files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(f, r, *describe(p, t, library)) for f, r, p, t in zip(b["file_id"], b["repo_id"], b["file_path"], b["text"])]
-            got = [(f, r, y, x) for f, r, x, y in got if y is not None]
-            yield pd.DataFrame(got, columns=["file_id", "repo_id", "label", "x"]).astype({"label": "int32"})
-
-    of = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("repo_id", F.lit(-1))), F.lit(held_out))
-    pool = files.filter(of > 0)
-    share = sample / max(1, pool.select("file_id").count())
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "file_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    chosen = pool.filter(drawn).select("file_id", "repo_id", "file_path", "text")
-    rows = chosen.repartition(8).mapInPandas(run, _FEATURES).select("label", array_to_vector("x").alias("features")).cache()
-    found = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(found) < 2:
+            got = [describe(p, t, library)[:2] for p, t in zip(b["file_path"], b["text"])]
+            got = [(y, i := np.flatnonzero(x), x[i]) for x, y in got if y is not None]
+            yield pd.DataFrame(got, columns=["label", "i", "v"]).astype({"label": "int32"})
+
+    sparse = F.udf(lambda i, v: Vectors.sparse(WIDTH, i, v), VectorUDT())  # the rows of the bounded sample only
+    rows = chosen.select("file_path", "text").mapInPandas(run, "label int, i array<int>, v array<double>").select("label", sparse("i", "v").alias("features")).cache()
+    try:
+        found = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        if len(found) < 2:
+            return None
+        weighted = rows.withColumn("w", F.when(F.col("label") == 1, F.lit(found[0] / found[1]) ** 0.5).otherwise(F.lit(1.0)))
+        model = LinearSVC(maxIter=25, tol=1e-4, regParam=2e-4, standardization=False, weightCol="w").fit(weighted)
+        return np.array(model.coefficients.toArray()), float(model.intercept)
+    finally:
         rows.unpersist()
-        return None
-    weighted = rows.withColumn("w", F.when(F.col("label") == 1, F.lit(found[0] / found[1]) ** 0.5).otherwise(F.lit(1.0)))
-    model = LinearSVC(maxIter=25, tol=1e-4, regParam=2e-4, standardization=False, weightCol="w").fit(weighted)
-    rows.unpersist()
-    return np.array(model.coefficients.toArray()), float(model.intercept)
 
 
 def score(files: DataFrame, library_files: DataFrame, model) -> DataFrame:
-    """Margin and weak label of every file; positive margins are files that were not written by hand."""
+    """file_id, repo_id, margin, weak_label and header_says of every file; positive margins are files that were not written by hand."""
     library = _library(library_files)
     weights, bias = model if model is not None else (np.zeros(WIDTH), -1.0)
 
@@ -168,30 +181,28 @@ def score(files: DataFrame, library_files: DataFrame, model) -> DataFrame:
         for b in batches:
             got = []
             for f, r, p, t in zip(b["file_id"], b["repo_id"], b["file_path"], b["text"]):
-                x, y = describe(p, t, library)
-                got.append((f, r, float(x @ weights) + bias, y))
-            yield pd.DataFrame(got, columns=["file_id", "repo_id", "margin", "weak_label"]).astype({"weak_label": "Int32"})
+                x, y, says = describe(p, t, library)
+                got.append((f, r, float(x @ weights) + bias, y, says))
+            yield pd.DataFrame(got, columns=["file_id", "repo_id", "margin", "weak_label", "header_says"]).astype({"weak_label": "Int32"})
 
-    return files.select("file_id", "repo_id", "file_path", "text").mapInPandas(run, "file_id long, repo_id long, margin double, weak_label int")
+    return files.select("file_id", "repo_id", "file_path", "text").mapInPandas(run, "file_id long, repo_id long, margin double, weak_label int, header_says boolean")
 
 
 def validate(scored: DataFrame, seed: int = 7, held_out: int = 5) -> DataFrame:
-    """Precision and recall against the weak labels on the held-out repositories."""
-    of = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("repo_id", F.lit(-1))), F.lit(held_out))
-    hit, is_one = F.col("margin") > 0, F.col("weak_label") == 1
-    got = scored.filter(of == 0).filter("weak_label is not null")
-    return got.agg(
-        F.count("*").alias("files"), F.count_if(is_one).alias("positives"),
-        (F.count_if(hit & is_one) / F.nullif(F.count_if(hit), F.lit(0))).alias("precision"),
-        (F.count_if(hit & is_one) / F.nullif(F.count_if(is_one), F.lit(0))).alias("recall"),
+    """On the held-out repositories: recall of the files whose header says that a tool wrote them, which no feature sees, and
+    the share of the files that are flagged although nothing gives them away."""
+    hit, is_one = F.col("margin") > 0, F.col("header_says")
+    plain = F.coalesce(F.col("weak_label") == 0, F.lit(False))
+    share = lambda a, b: F.count_if(a & b) / F.nullif(F.count_if(b), F.lit(0))
+    return scored.filter(_part(seed, held_out) == 0).agg(
+        F.count("*").alias("files"), F.count_if(is_one).alias("header_says"), share(hit, is_one).alias("header_recall"), F.count_if(plain).alias("plain"), share(hit, plain).alias("plain_flagged")
     )
 
 
-def not_handwritten(files: DataFrame, library_files: DataFrame) -> DataFrame:
-    """file_id and margin of the files that were not written by hand; ``files`` as of ``corpus.files_with_language``.
+def not_handwritten(files: DataFrame, chosen: DataFrame, library_files: DataFrame) -> DataFrame:
+    """file_id and margin of the files that were not written by hand; ``files`` and ``chosen``, those of them to train with, as of
+    ``corpus.files_with_language``.
 
-    Empty files and files of null text are hand-written.  Where the corpus shows only one label nothing can be learned,
-    and the weak labels decide."""
-    model = train(files, library_files)
-    scored = score(files, library_files, model)
-    return scored.filter("margin > 0" if model is not None else "weak_label = 1").select("file_id", "margin")
+    Empty files and files of null text are hand-written.  Where the sample shows only one label nothing can be learned, and no
+    file is flagged."""
+    return score(files, library_files, train(chosen, library_files)).filter("margin > 0").select("file_id", "margin")

@@ -61,19 +61,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).select("symbol_id")
 
 
-def _code(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.files_with_language(table(spark, sf, "km_files"), table(spark, sf, "file_metadata"), handwritten.LANGUAGES)
+def _code(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All code files, and those of them to train with."""
+    files, metadata = table(spark, sf, "km_files"), table(spark, sf, "file_metadata")
+    read = lambda rows: corpus.files_with_language(rows, metadata, handwritten.LANGUAGES)
+    return read(files), read(handwritten.sample_of(files, metadata))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Source files that were not written by hand in their repository."""
-    return handwritten.not_handwritten(_code(spark, sf), table(spark, sf, "library_files")).select("file_id")
+    return handwritten.not_handwritten(*_code(spark, sf), table(spark, sf, "library_files")).select("file_id")
 
 
 def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Precision and recall against the weak labels on held-out repositories."""
-    files, library = _code(spark, sf), table(spark, sf, "library_files")
-    return handwritten.validate(handwritten.score(files, library, handwritten.train(files, library)))
+    """How the machine does on held-out repositories, by headers that it does not see."""
+    files, chosen = _code(spark, sf)
+    library = table(spark, sf, "library_files")
+    return handwritten.validate(handwritten.score(files, library, handwritten.train(chosen, library)))
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:

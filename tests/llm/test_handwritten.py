@@ -31,15 +31,21 @@ def corpus_rows():
     for i in range(240):
         kind = ["hand", "hand", "hand", "hand", "generated", "data", "minified", "copied"][i % 8]
         kinds[i] = kind
-        rows.append((i, i % 12, f"src/r{i % 12}/f{i}.{'js' if kind == 'minified' else 'py'}", made(kind, i)))
+        end = {"minified": ".min.js" if i % 3 else ".js", "data": "_data.py" if i % 3 else ".py"}.get(kind, ".py")
+        rows.append((i, i % 12, f"src/r{i % 12}/f{i}{end}", made(kind, i)))
     return rows, kinds
 
 
 def test_masking_and_shape():
     lib = h.Library([LIB], ["tarnlib"])
-    plain, _ = h.describe("a.py", "x = 1\ny = 2\n", lib)
-    headed, label = h.describe("a.py", "# Code generated by toolx. DO NOT EDIT.\nx = 1\ny = 2\n", lib)
-    assert label == 1 and np.allclose(plain, headed)
+    plain, _, _ = h.describe("a.py", "x = 1\ny = 2\n", lib)
+    headed, label, says = h.describe("a.py", "# Code generated by toolx. DO NOT EDIT.\nx = 1\ny = 2\n", lib)
+    assert label == 1 and says and np.allclose(plain, headed)
+    licence = "".join(f"# clause {i} of a long licence text that goes on and on\n" for i in range(200))
+    assert h.describe("a.py", licence + "# Code generated by toolx. DO NOT EDIT.\nx = 1\n", lib)[1:] == (1, True)
+    named, label, says = h.describe("src/a_pb2.py", "x = 1\ny = 2\n", lib)
+    assert label == 1 and not says and np.allclose(named, h.describe("src/b.py", "x = 1\ny = 2\n", lib)[0])
+    assert h.describe("src/a.py", "x" * 400, lib)[1] is None  # shape makes no label
     assert h.describe("a.py", "", lib)[1] == 0 and h.describe(None, "\n", lib)[1] == 0
     assert lib.longest_run(["  " + x for x in LIB[:20]]) == 17 and lib.longest_run([]) == 0
     assert h.describe("deps/tarnlib/a.py", "# tarnlib 1.2.3 | authors\nx = 1", lib)[1] == 1
@@ -49,15 +55,19 @@ def test_found(spark):
     rows, kinds = corpus_rows()
     files = spark.createDataFrame(rows, "file_id long, repo_id long, file_path string, file_lines array<string>").selectExpr("*", "1 as ingested_at", "'x' as text")
     files = files.union(files.limit(3))
-    meta = spark.createDataFrame([(i, "Python" if i % 2 else None, 1) for i in range(240)], "file_id long, detected_language string, ingested_at long")
+    meta = spark.createDataFrame([(i, r, p, "Python" if i % 2 else None, 1) for i, r, p, _ in rows], "file_id long, repo_id long, file_path string, detected_language string, ingested_at long")
     library = spark.createDataFrame([("tarnlib", LIB), (None, None)], "lib_name string, file_lines array<string>")
     code = corpus.files_with_language(files, meta, h.LANGUAGES)
     assert code.count() == 240
-    got = {r.file_id for r in h.not_handwritten(code, library).collect()}
+    chosen = corpus.files_with_language(h.sample_of(files, meta), meta, h.LANGUAGES)
+    assert 0 < chosen.count() < 240 and h.sample_of(files, meta, sample=60).count() < 120
+    got = {r.file_id for r in h.not_handwritten(code, chosen, library).collect()}
     want = {i for i, k in kinds.items() if k != "hand"}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
     none = code.limit(0)
-    assert h.not_handwritten(none, library).count() == 0
+    assert h.not_handwritten(none, none, library).count() == 0 and h.not_handwritten(code, none, library).count() == 0
+    told = h.validate(h.score(code, library, h.train(chosen, library)), held_out=2).first()
+    assert told.header_recall == 1.0 and told.plain_flagged < 0.1
 
 
 def test_languages(spark):
