@@ -12,7 +12,7 @@ def made(kind, seed):
     rnd = random.Random(seed)
     word = lambda: rnd.choice("berth crane davit ferry gauge hinge ledger mash orchard pallet quota rotor".split())
     if kind == "generated":
-        head = ["# Code generated by toolx. DO NOT EDIT."] if seed % 2 else []
+        head = ["# Code generated by toolx. DO NOT EDIT."] if seed % 3 else []
         return head + [x for i in range(30) for x in (f"class {word()}{i}(_Message):", f'    __slots__ = ("f{i}",)', f"    FIELD_{i} = {i}", "")]
     if kind == "data":
         return ["T = ["] + ["  " + ", ".join(str(rnd.randint(0, 255)) for _ in range(12)) + "," for _ in range(20)] + ["]"]
