@@ -1,12 +1,14 @@
 """Problem 8: personal information in free text, by anchor expansion.
 
 One Aho-Corasick automaton finds anchors in the lower-cased text: at-signs and their spelled-out and escaped forms, street words,
-cues of identity numbers and of persons, and the words of the name lexicon.  Small deterministic parsers then expand
-each anchor to the left and right, validate what they find and fix its bounds.  Digit runs anchor phones and numbers.
+digits, cues of persons, and the words of the name lexicon.  Small deterministic parsers then expand each anchor to the left and
+right, validate what they find and fix its bounds: an anchor's first digit may be preceded by the letters of a number, a plus sign
+or a bracket.  No parser looks at a fixed number of characters: they end with the words, the line or the form that they read.
 """
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 
@@ -72,13 +74,12 @@ _ADDRESS = re.compile(
     rf"""(?<![\w/.:-])(?:
       (?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|House)\s\d+\p{{L}}?,\s)?\d{{1,5}}\p{{L}}?\s(?:{_U}\s){{1,3}}(?:{STREET_EN})\b\.?(?:,\s(?:Flat|Apt\.?|Apartment|Unit|Suite)\s\w+)?{_TOWN}
     | \d{{1,5}}(?:\s?(?:bis|ter|quater))?,?\s(?:{STREET_FR})\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’]|la\s|le\s|les\s)?{_U}(?:[\s-]{_U})*{_TOWN}
-    | \p{{Lu}}\p{{L}}*(?:{STREET_DE})\s\d{{1,4}}\s?[a-z]?\b{_TOWN}
-    | (?:\p{{Lu}}\p{{L}}+[\s-]){{1,2}}(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm|Ufer)\s\d{{1,4}}\s?[a-z]?\b{_TOWN}
+    | \p{{Lu}}\p{{L}}*(?:{STREET_DE})\s\d{{1,4}}(?:\s?[a-z])?\b{_TOWN}
+    | (?:\p{{Lu}}\p{{L}}+[\s-]){{1,2}}(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm|Ufer)\s\d{{1,4}}(?:\s?[a-z])?\b{_TOWN}
     | (?i:{STREET_ES})\s?(?:de\s)?(?:las?\s|los\s|el\s|del\s)?{_U}(?:\s{_U})*,?\s(?:n[º°.]\s?)?\d{{1,4}}(?:,\s\d{{1,2}}[º°ª]\s?\p{{L}}?)?{_TOWN}
     )""",
     re.X,
 )
-_LEFT = re.compile(r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*$", re.U)
 _HOST = re.compile(r"\s?((?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\sdot\s|&#46;))+\p{L}{2,})", re.I)
 _NUMBER = re.compile(
     r"""(?<![\w.@/#%&+-])(?<![\w]['’])(?<!\d[\s.,:;/-])(?:
@@ -119,6 +120,8 @@ _BACK = re.compile(r"(?<![\p{L}\p{N}_.-])(?:(\p{Lu}[\p{L}\p{M}’'-]*)(\.?)[ ])?
 _BEFORE_MAIL = re.compile(r"(?<![\p{L}.-])((?:(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'-]*,?)[ ](?:(?:van|von|de)[ ])?){0,3}(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'-]*))[ ][<(]$")
 _BEFORE_CUE = re.compile(r"(?<![\p{L}-])((?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'-]+),?(?:[ ](?:van|von|de|\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'-]+)){0,3})$")
 _GAP = re.compile(r"""[ \t]*(?:,|:|!)?[ \t]*\n?[ \t]*['"(]?""")
+_BREAK = re.compile("\n")
+_SCHEME_BACK = re.compile(r"://\S*$")
 _AND = re.compile(r"[ ](?:and|und|et|y|->|&)[ ]")
 
 
@@ -134,10 +137,14 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def _line_start(text: str, at: int, most: int) -> int:
-    """Start of the line of ``at``, at most ``most`` characters before it."""
-    low = max(0, at - most)
-    return max(low, text.rfind("\n", low, at) + 1)
+def _words_back(text: str, at: int, low: int, n: int) -> int:
+    """Where the ``n``-th word before ``at`` begins, not before ``low``."""
+    for _ in range(n):
+        blank = text.rfind(" ", low, at)
+        if blank < 0:
+            return low
+        at = blank
+    return at + 1
 
 
 def _luhn(digits: str) -> bool:
@@ -168,6 +175,8 @@ class Finder:
                 self.role.setdefault(fold(word), set()).add(role or "")
                 anchors.setdefault(_lower(word.strip()), set()).add("word")
                 anchors.setdefault(fold(word), set()).add("word")
+        for digit in "0123456789":
+            anchors.setdefault(digit, set()).add("digit")
         for text, kinds in anchors.items():
             self.machine.add_word(text, (text, tuple(kinds)))
         self.machine.make_automaton()
@@ -176,12 +185,18 @@ class Finder:
         """Occurrences as (start, end, kind), in order and without overlap."""
         if not text:
             return []
-        low, spans, streets = _lower(text), [], []
+        low, spans, streets, runs = _lower(text), [], [], []
         words, before, after = [], [], []
+        breaks = [m.start() for m in _BREAK.finditer(text)]
+        run_end = -1
         for end, (form, kinds) in self.machine.iter(low):
             start = end + 1 - len(form)
             for kind in kinds:
-                if kind == "at":
+                if kind == "digit":
+                    if start != run_end:
+                        runs.append(start)
+                    run_end = start + 1
+                elif kind == "at":
                     got = self._email(text, low, start, end + 1, form)
                     if got:
                         spans.append((*got, "email"))
@@ -194,17 +209,18 @@ class Finder:
                     before.append((start, end + 1))
                 else:
                     after.append(start)
-        spans += self._addresses(text, streets)
+        if streets and runs:
+            spans += self._addresses(text, streets, runs, breaks)
         taken = sorted(spans)
-        for m in _ID.finditer(text):
+        for m in self._numbers(text, runs, _ID, 3):
             if self._identity(m.group()):
                 taken.append((m.start(), m.end(), "id_number"))
-        for m in _NUMBER.finditer(text):
+        for m in self._numbers(text, runs, _NUMBER, 1):
             if self._phone(m.group()):
                 open_end = m.group().endswith(")") and m.group().count(")") > m.group().count("(")
                 taken.append((m.start(), m.end() - open_end, "phone"))
         emails = [s for s in spans if s[2] == "email"]
-        taken += self._names(text, low, words, before, after, emails)
+        taken += self._names(text, low, words, before, after, emails, breaks)
         order = {"email": 0, "address": 1, "id_number": 2, "phone": 3, "name": 4}
         out: list[tuple[int, int, str]] = []
         cover = bytearray(len(text) + 1)
@@ -216,18 +232,23 @@ class Finder:
 
     def _email(self, text: str, low: str, start: int, end: int, form: str) -> tuple[int, int] | None:
         left = start - 1 if start and text[start - 1] == " " and form.strip()[0] in "[({<" else start
-        local = _LEFT.search(text, max(0, left - 80), left)
-        host = _HOST.match(text, end, min(len(text), end + 120))
-        if not local or not host:
+        host = _HOST.match(text, end)
+        if not host:
+            return None
+        first = left
+        while first and (text[first - 1].isalnum() or text[first - 1] in "._%+'-"):
+            first -= 1
+        while first < left and not text[first].isalnum():
+            first += 1
+        if first == left:
             return None
         if form == " at " and not re.search(r"\sdot\s|\[dot\]|\(dot\)", host.group(), re.I):
             return None
-        name = local.group().lower()
+        name = text[first:left].lower()
         stop = host.end()
         if name in SHARED or name in STATED or "placeholder" in low[stop : stop + 24]:
             return None
-        first = local.start()
-        if first and text[first - 1] in "/:" and "://" in text[max(0, first - 60) : first]:
+        if first and text[first - 1] in "/:" and _SCHEME_BACK.search(text[_words_back(text, first, 0, 1) : first]):
             return None
         if text[stop : stop + 1] == ":" and text[stop + 1 : stop + 2] not in ("", " ", "\n") or text[stop : stop + 1] == "/":
             return None
@@ -235,17 +256,39 @@ class Finder:
             return None
         return first, stop
 
-    def _addresses(self, text: str, streets: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        out, reach = [], 0
-        for start, end in streets:
-            if start < reach:
+    @staticmethod
+    def _numbers(text: str, runs: list[int], pattern: re.Pattern, before: int) -> Iterator[re.Match]:
+        """What the pattern reads at the digit runs, from up to ``before`` characters ahead of them, leftmost first and without overlap."""
+        reach = 0
+        for run in runs:
+            if run < reach:
                 continue
-            low = _line_start(text, start, 70)
-            for m in _ADDRESS.finditer(text, low, min(len(text), end + 90)):
-                if m.start() <= end and m.end() >= start:
-                    out.append((m.start(), m.end(), "address"))
+            for start in range(max(reach, run - before), run + 1):
+                if m := pattern.match(text, start):
+                    yield m
                     reach = m.end()
                     break
+
+    @staticmethod
+    def _addresses(text: str, streets: list[tuple[int, int]], runs: list[int], breaks: list[int]) -> list[tuple[int, int, str]]:
+        """Addresses around street words; a line with street words is read once, and the line after it for how an address goes on."""
+        out, seen = [], -1
+        lines: dict[int, list[tuple[int, int]]] = {}
+        for start, end in streets:
+            lines.setdefault(bisect.bisect_left(breaks, start), []).append((start, end))
+        for k, words in lines.items():
+            low, line_end = breaks[k - 1] + 1 if k else 0, breaks[k] if k < len(breaks) else len(text)
+            stop = breaks[k + 1] if k + 1 < len(breaks) else len(text)
+            r = bisect.bisect_left(runs, low)
+            if r == len(runs) or runs[r] >= stop:
+                continue
+            for m in _ADDRESS.finditer(text, max(low, seen), stop):
+                if m.start() > line_end:
+                    break
+                i = bisect.bisect_left(words, (m.start(), 0))
+                if any(m.start() <= e and m.end() >= s for s, e in words[max(0, i - 1) : i + 2]):
+                    out.append((m.start(), m.end(), "address"))
+                    seen = m.end()
         return out
 
     @staticmethod
@@ -300,9 +343,13 @@ class Finder:
             return start, at
         return None
 
-    def _names(self, text, low, words, before, after, emails):
+    def _names(self, text, low, words, before, after, emails, breaks):
         out: dict[int, int] = {}
 
+        def back_from(at: int, n: int) -> int:
+            k = bisect.bisect_left(breaks, at)
+            return _words_back(text, at, breaks[k - 1] + 1 if k else 0, n)
+
         def put(got):
             if got:
                 out[got[0]] = max(out.get(got[0], 0), got[1])
@@ -328,16 +375,14 @@ class Finder:
                 if more:
                     put(self._name_at(text, more.end(), cue in ("assignee", "thanks", "danke", "merci", "gracias")))
         for start, _, _ in emails:
-            line = _line_start(text, start, 120)
-            m = _BEFORE_MAIL.search(text, line, start)
+            m = _BEFORE_MAIL.search(text, back_from(start, 8), start)
             if m:
                 at = m.start(1)
                 while at < m.end(1) and (t := _TOKEN.match(text, at)) and t.group().lower() in NO_NAME:
                     at = t.end() + 1
                 put(self._name_at(text, at, True))
         for start in after:
-            line = _line_start(text, start, 60)
-            m = _BEFORE_CUE.search(text, line, start)
+            m = _BEFORE_CUE.search(text, back_from(start, 6), start)
             if m:
                 at = m.start(1)
                 while at < start and (t := _TOKEN.match(text, at)) and t.group().lower() in NO_NAME:
@@ -353,7 +398,7 @@ class Finder:
             token = _TOKEN.match(text, start)
             if not self._kind(token.group()) or text[token.end() : token.end() + 1] in ("_", "@"):
                 continue
-            back = _BACK.search(text, _line_start(text, start, 50), start)
+            back = _BACK.search(text, back_from(start, 6), start)
             done = False
             if back and back.group() and back.group(1) and (len(back.group(1)) > 1) == (back.group(2) == ""):
                 if back.group(1).lower() not in NO_NAME:

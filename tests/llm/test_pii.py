@@ -56,3 +56,22 @@ def test_operators(spark):
     red = {(r.doc_id, r.redacted_text, r.pii_count) for r in pii.redact_pii(docs, lexicon).collect()}
     assert red == {(1, "Hi [NAME],", 1), (None, "x [EMAIL]", 1), (2, None, 0), (3, "", 0)}
     assert pii.find_pii(docs.limit(0), lexicon.limit(0)).count() == 0
+
+
+def test_no_windows(finder):
+    local, host = "a" * 500, ".".join(["b" * 60] * 6) + ".example"
+    assert [finder.find(f"x {local}@{host}, y")[0][:2]] == [(2, 3 + len(local) + len(host))]
+    assert finder.find("https://" + "p/" * 90 + "u@a.test/x") == []
+    street = "zu " + "Salz" * 40 + "straße 15 heute"
+    assert [street[s:e] for s, e, k in finder.find(street) if k == "address"] == [street[3:-6]]
+    name = "Reviewed " + "Q" + "u" * 80 + " V" + "a" * 80 + " <orvela@a.test>"
+    assert [k for *_, k in finder.find(name)] == ["name", "email"]
+
+
+def test_many_anchors_in_linear_time(finder):
+    import time
+
+    for text in ("a@" * 60_000, "1 Close " * 40_000, "street 1 " * 40_000, "://" * 60_000 + "x@a.test", "Orvela" + " Marsh" * 40_000, "+1" * 60_000, "9" * 200_000):
+        began = time.perf_counter()
+        finder.find(text)
+        assert time.perf_counter() - began < 6, text[:20]
