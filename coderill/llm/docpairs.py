@@ -3,7 +3,8 @@
 One recursive pattern per language family captures comment, signature and balanced body of a symbol together; strings,
 comments and regular-expression literals are matched as units, so brackets inside them do not count.  Documentation is the
 docstring column; where that is blank the literal that opens the body, or else the comment directly above the symbol.
-Symbols that bring a docstring never touch the file table; only the others are joined with their file's lines.
+Symbols that bring a docstring never touch the file table; for the others each file is walked once, with the lines on which they start,
+and gives the comments that end right above them.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderill.session import spread
-
 _BRACES = regex.compile(
     r"""(?(DEFINE)
       (?P<str>"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`)
@@ -27,7 +26,7 @@ _BRACES = regex.compile(
       (?P<curly>\{(?:[^{}"'`/]++|(?&str)|(?&rem)|(?&rex)|/|["'`]|(?&curly))*+\})
     )
     (?P<comment>(?:[ \t]*+(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)[ \t\r]*+\n)*+)
-    (?P<sig>(?:[^{}()"'`/;]++|(?&str)|(?&rem)|(?&round)|/|\{(?=[^{}\n]*\}[^\n]*\{)[^{}\n]*+\})*?)
+    (?P<sig>(?:[^{}()"'`/;]++|(?&str)|(?&rem)|(?&round)|/(?![/*])|\{(?=[^{}\n]*\}[^\n]*\{)[^{}\n]*+\})*?)
     (?P<body>(?&curly))""",
     regex.X | regex.S,
 )
@@ -120,11 +119,12 @@ def is_trivial(text: str, name: str, params: list[str] | None) -> bool:
     rest = " ".join(_TAG.sub(" ", line) for line in lines)
     if len(_WIDE.findall(rest)) >= 4:
         return False
+    tokens = re.findall(r"[\w’']+", rest)
     told = 0
-    for token in re.findall(r"[\w’']+", rest):
+    for token in tokens:
         words = {w.lower() for w in _WORD.findall(token)} if token.islower() else _parts(token)
         told += any(w not in FILLER and w not in known and _stem(w) not in stems and len(w) > 1 for w in words)
-    return told < 2
+    return told < 2 and not (told == len(tokens) == 1 and len(tokens[0]) > 5)  # a lone word such as "Idempotent." says something
 
 
 def comment_above(lines: list[str], start: int) -> str:
@@ -146,24 +146,21 @@ def comment_above(lines: list[str], start: int) -> str:
 
 
 def capture(path: str, above: str, snippet: str) -> dict[str, str]:
-    """Comment, signature, opening literal and balanced body of one symbol; body and signature are empty and the whole snippet
-    is the code where the pattern does not fit (broken code)."""
-    text = (above + "\n" if above else "") + (snippet or "").replace("\r", "")
+    """Comment, signature, opening literal and balanced body of one symbol.  Where the pattern does not fit - a symbol without a body in
+    braces, or broken code - the comment is what stands above, the signature the first line, and there is no body."""
+    snippet = (snippet or "").replace("\r", "")
+    text = (above + "\n" if above else "") + snippet
     pattern = _INDENTED if (path or "").lower().endswith((".py", ".pyi")) else _BRACES
-    try:
-        hit = pattern.match(text, timeout=20) if text else None
-    except TimeoutError:  # a pathological text counts as code that does not fit
-        hit = None
-    got = hit.groupdict() if hit else {}
-    return {k: got.get(k) or "" for k in ("comment", "sig", "literal", "body")}
+    hit = pattern.match(text) if text else None
+    if hit is None:
+        return {"comment": above, "sig": snippet.strip().split("\n")[0], "literal": "", "body": ""}
+    return {k: hit.group(k) or "" if k in hit.re.groupindex else "" for k in ("comment", "sig", "literal", "body")}
 
 
-def _pairs(rows: list[tuple], above: list[list[str]] | None = None) -> Iterator[tuple]:
-    """Pairs of the rows; ``above`` has the lines of the file before each symbol, where they may hold its documentation."""
-    for k, (symbol_id, file_id, path, name, params, docstring, _, snippet) in enumerate(rows):
+def _pairs(rows: list[tuple]) -> Iterator[tuple]:
+    for symbol_id, file_id, path, name, params, docstring, snippet, above in rows:
         docstring = docstring or ""
-        before = [] if above is None or docstring.strip() else [x.rstrip("\r") for x in above[k]]
-        got = capture(path, comment_above(before, len(before) + 1), snippet)
+        got = capture(path, "" if docstring.strip() else above or "", snippet)
         doc = docstring if docstring.strip() else got["literal"] or got["comment"]
         params = None if params is None else list(params)
         if doc.strip() and not is_trivial(doc, name or "", params):
@@ -171,39 +168,46 @@ def _pairs(rows: list[tuple], above: list[list[str]] | None = None) -> Iterator[
 
 
 _SCHEMA = "symbol_id long, file_id long, symbol_name string, description string, code string, signature string, is_balanced boolean"
-_COLUMNS = ["symbol_id", "file_path", "symbol_name", "param_names", "docstring", "start_line", "snippet"]
+_COLUMNS = ["symbol_id", "file_id", "file_path", "symbol_name", "param_names", "docstring", "snippet"]
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(found, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-def _with_docstring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _make_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield _frame(list(_pairs(list(b.itertuples(index=False, name=None)))))
 
 
-def _from_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _comments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """file_id, start_line and the comment right above it, of the lines asked for that have one; one walk through each file."""
     for b in batches:
-        rows = list(b.drop(columns="above").itertuples(index=False, name=None))
-        yield _frame(list(_pairs(rows, [[] if x is None else x.split("\n") for x in b["above"]])))
+        rows = []
+        for file_id, text, starts in zip(b["file_id"], b["text"], b["starts"]):
+            lines = [x.rstrip("\r") for x in text.split("\n")]
+            rows += [(file_id, k, above) for k in starts if (above := comment_above(lines, k))]
+        yield pd.DataFrame(rows, columns=["file_id", "start_line", "above"]).astype({"start_line": "int32"})
 
 
 def pair_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Code and description of every function and method whose documentation is not trivial, one row per symbol_id.
 
     Rows with a null symbol_id, name, path, snippet or start line are judged by what is left of them; a null file_id or
-    a file without lines means that only the docstring and the body's literal count.  Repeated deliveries of a symbol
-    give one row.  Symbols of other kinds, and blank documentation, give none."""
-    s = symbols.filter(F.col("symbol_kind").isin("function", "method")).select("file_id", *_COLUMNS)
+    a file without lines means that only the docstring and the body's literal count.  Of repeated deliveries of a symbol the last
+    counts.  Symbols of other kinds, and blank documentation, give none."""
+    columns = [*_COLUMNS[1:], "start_line"]
+    s = symbols.filter(F.col("symbol_kind").isin("function", "method")).select("symbol_id", *columns, "ingested_at")
+    s = s.groupBy("symbol_id").agg(F.max_by(F.struct(*columns), F.struct("ingested_at", F.xxhash64("snippet", "docstring"))).alias("s")).select("symbol_id", "s.*")
     blank = ~F.coalesce(F.col("docstring"), F.lit("")).rlike(r"\S")
-    joins = blank & F.col("file_id").isNotNull() & (F.col("start_line") > 1)
-    columns = ["symbol_id", "file_id", *_COLUMNS[1:]]
-    told = spread(s.filter(~F.coalesce(joins, F.lit(False))).select(*columns)).mapInPandas(_with_docstring, _SCHEMA)
+    joins = F.coalesce(blank & F.col("file_id").isNotNull() & (F.col("start_line") > 1), F.lit(False))
+    told = s.filter(~joins).select(*_COLUMNS, F.lit(None).cast("string").alias("above"))
+    # no more distinct start lines than a file has lines, however many symbols stand on them
+    asked = symbols.filter(F.col("symbol_kind").isin("function", "method") & joins).groupBy("file_id").agg(F.collect_set("start_line").alias("starts"))
     ends = F.coalesce(F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1)), F.lit(""))
-    # Symbols meet their file one by one, so that a file with very many of them is no group to be held by one task
-    lines = files.filter(~ends.isin("json", "md", "csv", "yaml", "yml", "toml", "env", "sql")).select("file_id", "file_lines", "ingested_at")
+    lines = files.filter(~ends.isin("json", "md", "csv", "yaml", "yml", "toml", "env", "sql") & F.col("file_lines").isNotNull()).select("file_id", "file_lines", "ingested_at")
     lines = lines.groupBy("file_id").agg(F.max_by("file_lines", "ingested_at").alias("file_lines"))
-    above = F.array_join(F.slice("file_lines", F.lit(1), F.col("start_line") - 1), "\n", "").alias("above")
-    joined = s.filter(joins).select(*columns).join(lines, "file_id", "left").select(*columns, above)
-    return told.unionByName(joined.mapInPandas(_from_lines, _SCHEMA)).dropDuplicates(["symbol_id"])
+    walked = lines.join(asked, "file_id").select("file_id", F.array_join("file_lines", "\n", "").alias("text"), "starts")
+    above = walked.mapInPandas(_comments, "file_id long, start_line int, above string")
+    joined = s.filter(joins).join(above, ["file_id", "start_line"], "left").select(*_COLUMNS, "above")
+    return told.unionByName(joined).mapInPandas(_make_pairs, _SCHEMA)

@@ -60,3 +60,34 @@ def test_long_and_broken_code():
     got = d.capture("a.js", "", "function f() {" + 'if (a) { b("}"); }' * 2000 + "}")
     assert got["body"].endswith("}") and got["sig"].startswith("function f")
     assert d.capture("a.js", "", "function f() {" + '{ "(' * 2000)["body"] == ""
+
+
+def test_symbols_without_a_body():
+    got = d.capture("a.ts", "// Opens the gate at dawn.", "abstract open(x: string): void;")
+    assert got["comment"] == "// Opens the gate at dawn." and got["sig"].startswith("abstract open") and got["body"] == ""
+    got = d.capture("a.ts", "/** Opens the gate at dawn. */", "const f = (x) => x + 1;")
+    assert "dawn" in got["comment"] and got["body"] == ""
+    assert d.capture("A.java", "// Opens the gate.", "void f() { if (x) {")["comment"] == "// Opens the gate."
+
+
+def test_lone_words():
+    assert not d.is_trivial("Idempotent.", "f", []) and not d.is_trivial("Réentrante", "f", None)
+    assert d.is_trivial("Harbor", "f_harbor", []) and d.is_trivial("TODO", "f", []) and d.is_trivial("Helper", "f", [])
+
+
+def test_last_delivery_and_shared_start_lines(spark):
+    schema = "symbol_id long, file_id long, file_path string, symbol_name string, symbol_kind string, param_names array<string>, docstring string, start_line int, snippet string, ingested_at long"
+    rows = [(1, 7, "a.js", "f", "function", [], "Old words about nothing.", 2, "function f() {}", 1), (1, 7, "a.js", "f", "function", [], "Opens the gate at dawn.", 2, "function f() {}", 2)]
+    rows += [(k, 7, "a.js", "g", "method", [], None, 2, "g() {}", 1) for k in range(2, 40)] + [(50, 7, "a.js", "g", "method", [], None, 99, "g() {}", 1)]
+    files = spark.createDataFrame([(7, "a.js", ["// Counts the boats in the harbour.", "function f() {}"], 1), (8, None, None, 1)], "file_id long, file_path string, file_lines array<string>, ingested_at long")
+    got = {r.symbol_id: r.description for r in d.pair_functions(spark.createDataFrame(rows, schema), files).collect()}
+    assert got == {1: "Opens the gate at dawn.", **{k: "Counts the boats in the harbour." for k in range(2, 40)}}
+
+
+def test_unbalanced_code_in_linear_time():
+    import time
+
+    for text in ("function f() {" + "{" * 100_000, "function f() {" + '{ "' * 60_000, "f" + "{}" * 60_000 + "(", "(" * 100_000, "/" * 200_000):
+        began = time.perf_counter()
+        d.capture("a.js", "", text)
+        assert time.perf_counter() - began < 4, text[:20]
