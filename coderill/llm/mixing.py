@@ -65,25 +65,35 @@ def plan(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     return found.withColumn("_room", room).select("mix_id", "source", "share", F.col("max_repeats").cast("int").alias("max_repeats"), "n_blocks", F.least(F.round(exact), F.col("max_repeats") * F.col("n_blocks")).cast("long").alias("quota"))
 
 
-def draw_counts(quotas: np.ndarray, sizes: np.ndarray, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, offsets) of the sources in one of the output shards of the given sizes.
+def draw_without_replacement(have: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among ``take`` of ``have`` items drawn without replacement; exact for counts of any size.
+
+    Every item is drawn by itself with the probability that gives ``take`` on average.  Whatever number that makes, its members are a
+    random set of that size, so the few that are missing are drawn from the rest, or the few too many from those drawn."""
+    total = int(have.sum())
+    if 2 * take > total:
+        return have - draw_without_replacement(have, total - take, rng)
+    if take <= 32:
+        out = np.zeros_like(have)
+        for k in range(take):
+            out[np.searchsorted(np.cumsum(have - out), rng.integers(total - k), side="right")] += 1
+        return out
+    drawn = rng.binomial(have, take / total)
+    more = take - int(drawn.sum())
+    return drawn + draw_without_replacement(have - drawn, more, rng) if more > 0 else drawn - draw_without_replacement(drawn, -more, rng)
+
+
+def draw_counts(quotas: np.ndarray, shard_slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, offsets) of the sources in one output shard; all shards have ``shard_slots`` slots but the last, which has the rest.
 
     The shards are halved again and again, every half draws its counts from what its parent has; each shard finds its
     own counts, and the counts of all shards before it, by walking down without seeing any other shard."""
-    low, high, have = 0, len(sizes), quotas.astype(np.int64)
-    offsets = np.zeros_like(have)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    have = quotas.astype(np.int64)
+    offsets, total = np.zeros_like(have), int(have.sum())
+    low, high = 0, -(-total // shard_slots)
     while high - low > 1:
         middle = (low + high) // 2
-        take = int(ends[middle] - ends[low])
-        rng = np.random.default_rng([seed, low, high])
-        total = int(have.sum())
-        if total < 1_000_000_000:
-            left = rng.multivariate_hypergeometric(have, take, method="marginals")
-        else:  # beyond numpy's range the draw is indistinguishable from its expectation
-            left = np.minimum(have, np.floor(have * (take / total)).astype(np.int64))
-            for k in np.argsort(-(have - left))[: take - int(left.sum())]:
-                left[k] += 1
+        left = draw_without_replacement(have, min(middle * shard_slots, total) - low * shard_slots, np.random.default_rng([seed, low, high]))
         if shard < middle:
             high, have = middle, left
         else:
@@ -121,11 +131,9 @@ def draw_slots(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for mix, sources, n, shard in zip(b["mix_id"], b["s"], b["n"], b["shard_id"]):
-                sizes = np.full(-(-n // shard_slots), shard_slots, dtype=np.int64)
-                sizes[-1] = n - shard_slots * (len(sizes) - 1)
+            for mix, sources, shard in zip(b["mix_id"], b["s"], b["shard_id"]):
                 base = (seed * 1_000_003 + int(mix if mix is not None else -1)) & 0x7FFFFFFF
-                counts, offsets = draw_counts(np.array([s["quota"] for s in sources]), sizes, int(shard), base)
+                counts, offsets = draw_counts(np.array([s["quota"] for s in sources]), shard_slots, int(shard), base)
                 for k, s in enumerate(sources):
                     slots = np.arange(offsets[k], offsets[k] + counts[k], dtype=np.int64)
                     if not len(slots):
@@ -138,7 +146,7 @@ def draw_slots(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 1
                     yield pd.DataFrame({"mix_id": pd.array([mix] * len(slots), dtype="Int64"), "shard_id": int(shard), "slot_no": slots, "source": s["source"], "block_no": block, "repeat_no": repeat})
 
     schema = "mix_id long, shard_id int, slot_no long, source string, block_no long, repeat_no long"
-    slots = shards.select("mix_id", "s", "n", "shard_id").mapInPandas(run, schema)
+    slots = shards.select("mix_id", "s", "shard_id").mapInPandas(run, schema)
     return slots.withColumn("slot_key", F.xxhash64(F.lit(seed), "mix_id", "source", "slot_no"))
 
 

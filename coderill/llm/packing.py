@@ -1,7 +1,7 @@
 """Problem 6: items packed into containers of permitted capacities, by variable-capacity best fit.
 
-Items are spread over shards of bounded size, so that no task ever packs more than ``SHARD_ITEMS`` of them; what a shard
-leaves over is at most a few containers.  In a shard, items go largest first into the open container with the least
+Items above the capacity fill whole containers by themselves and leave a rest; rests and all other items are spread over shards of
+bounded size, so that no task ever packs more than some ``SHARD_ITEMS`` of them; what a shard leaves over is at most a few containers.  In a shard, items go largest first into the open container with the least
 sufficient space; where none has, the permitted capacity is opened that leaves least unused given the items still to come.
 In the end every container shrinks to the smallest permitted capacity that holds its contents.
 """
@@ -69,7 +69,8 @@ def pack_items(items: DataFrame, packs: DataFrame, key: str, size: str, shard_it
     container_offset.
 
     ``packs`` has pack_id and capacity_tokens; a pack may use its own capacity and every smaller one in the table.
-    Items above the pack's capacity are cut into pieces of that capacity, all others stay whole.  Items of null size
+    Items above the pack's capacity are cut into pieces of that capacity, all others stay whole; containers that a piece
+    fills have negative numbers.  Items of null size
     are left out; those of size 0 are placed.  Repeated keys are items of their own.  Packs without a positive
     capacity give no rows."""
     caps = [(r.pack_id, int(r.capacity_tokens)) for r in packs.filter("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().limit(MAX_PACKS + 1).collect()]
@@ -82,11 +83,14 @@ def pack_items(items: DataFrame, packs: DataFrame, key: str, size: str, shard_it
     sharded = sized.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     offer = "array<struct<pack_id:bigint,capacity_tokens:int,_permitted:array<int>>>"
     offers = F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).alias("capacity_tokens"), F.array(*[F.lit(x) for x in ladder if x <= c]).alias("_permitted")) for p, c in caps]).cast(offer)
-    wanted = sharded.withColumn("_o", F.explode(offers)).select("_key", "_size", "_shard", "_o.*")
-    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("_size") - 1) / F.col("capacity_tokens")).cast("int")))
-    cut = wanted.select("pack_id", "capacity_tokens", "_permitted", "_key", "_shard", "_size", F.explode(pieces).alias("_piece"))
-    start = F.col("_piece") * F.col("capacity_tokens").cast("long")
-    cut = cut.select("pack_id", "_permitted", "_key", "_shard", "_piece", start.alias("_start"), F.least(F.col("_size") - start, F.col("capacity_tokens").cast("long")).alias("_n"))
+    wanted = sharded.withColumn("_o", F.explode(offers)).select("_key", "_size", "_shard", "_o.*", F.floor(F.col("_size") / F.col("capacity_tokens")).cast("int").alias("_whole"))
+    whole = wanted.filter("_whole > 0").select("pack_id", "capacity_tokens", "_key", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)).alias("piece_no"))
+    start = lambda no: F.col(no) * F.col("capacity_tokens").cast("long")
+    full = whole.select(
+        "pack_id", (-1 - F.monotonically_increasing_id()).alias("container_id"), "capacity_tokens", "_key", "piece_no", start("piece_no").alias("start_token"), F.col("capacity_tokens").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("container_offset")
+    )
+    rest = wanted.select("pack_id", "_permitted", "_key", "_shard", F.col("_whole").alias("_piece"), start("_whole").alias("_start"), (F.col("_size") - start("_whole")).alias("_n"))
+    cut = rest.filter("_n > 0 or _piece = 0")
     key_type = items.schema[key].dataType.simpleString()
     schema = f"pack_id long, container_id long, capacity_tokens int, _key {key_type}, piece_no int, start_token long, n_tokens long, container_offset long"
 
@@ -100,7 +104,8 @@ def pack_items(items: DataFrame, packs: DataFrame, key: str, size: str, shard_it
             }
         )
 
-    return cut.groupBy("pack_id", "_shard").applyInPandas(pack, schema).withColumnRenamed("_key", key)
+    packed = cut.groupBy("pack_id", "_shard").applyInPandas(pack, schema)
+    return full.unionByName(packed).withColumnRenamed("_key", key)
 
 
 def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -20,20 +20,37 @@ def test_shards_add_up(quotas, slots, seed):
     total = int(quotas.sum())
     if not total:
         return
-    sizes = np.full(-(-total // slots), slots)
-    sizes[-1] = total - slots * (len(sizes) - 1)
     at = np.zeros_like(quotas)
-    for shard in range(len(sizes)):
-        counts, offsets = mixing.draw_counts(quotas, sizes, shard, seed)
-        assert counts.sum() == sizes[shard] and (offsets == at).all() and (counts >= 0).all()
+    for shard in range(-(-total // slots)):
+        counts, offsets = mixing.draw_counts(quotas, slots, shard, seed)
+        assert counts.sum() == min(slots, total - shard * slots) and (offsets == at).all() and (counts >= 0).all()
         at = at + counts
     assert (at == quotas).all()
 
 
-def test_beyond_numpy_range():
-    quotas = np.array([3 * 10**9, 10**9])
-    counts, offsets = mixing.draw_counts(quotas, np.full(4, 10**9), 2, 1)
-    assert counts.sum() == 10**9 and abs(counts[0] - 75 * 10**7) < 10**6
+def test_draw_follows_the_hypergeometric_law():
+    have, take, n = np.array([60, 90, 250]), 150, 4000
+    rng = np.random.default_rng(1)
+    got = np.array([mixing.draw_without_replacement(have, take, rng) for _ in range(n)])
+    share = have / have.sum()
+    spread = np.sqrt(take * share * (1 - share) * (have.sum() - take) / (have.sum() - 1))
+    assert (got.sum(1) == take).all() and (got <= have).all()
+    assert (abs(got.mean(0) - take * share) < 4 * spread / np.sqrt(n)).all() and (abs(got.std(0) / spread - 1) < 0.06).all()
+
+
+def test_no_switch_at_large_counts():
+    """Just below, at and far above the range of numpy's own generator the draw has the spread of the law."""
+    for size in (9 * 10**8, 10**9, 4 * 10**12):
+        have = np.array([size // 4 * 3, size // 4])
+        rng = np.random.default_rng(2)
+        got = np.array([mixing.draw_without_replacement(have, size // 4, rng)[0] for _ in range(600)], dtype=float)
+        spread = (size / 4 * 0.75 * 0.25 * 0.75) ** 0.5
+        assert abs(got.mean() - size / 4 * 0.75) < 4 * spread / 600**0.5 and 0.85 < got.std() / spread < 1.15
+
+
+def test_shards_cost_no_setup_by_their_number():
+    counts, offsets = mixing.draw_counts(np.array([3 * 10**12, 10**12]), 4096, 700_000_000, 1)
+    assert counts.sum() == 4096 and offsets.sum() == 4096 * 700_000_000
 
 
 def documents(spark):
