@@ -5,21 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extension, language, category.
-REGISTRY = [
-    ("py", "Python", "source"), ("js", "JavaScript", "source"), ("jsx", "JavaScript", "source"), ("mjs", "JavaScript", "source"), ("cjs", "JavaScript", "source"), ("ts", "TypeScript", "source"), ("tsx", "TypeScript", "source"), ("java", "Java", "source"),
-    ("go", "Go", "source"), ("rs", "Rust", "source"), ("c", "C", "source"), ("h", "C", "source"), ("cpp", "C++", "source"), ("sh", "Shell", "source"), ("sql", "SQL", "source"), ("html", "HTML", "source"), ("css", "CSS", "source"),
-    ("json", "JSON", "configuration"), ("yaml", "YAML", "configuration"), ("yml", "YAML", "configuration"), ("toml", "TOML", "configuration"), ("env", "Env", "configuration"), ("ini", "INI", "configuration"), ("md", "Markdown", "documentation"), ("rst", "reStructuredText", "documentation"), ("csv", "CSV", "data"),
+# Language, category, extensions, marks of line comments, marks of block comments.
+LANGUAGES = [
+    ("Python", "source", ["py", "pyi", "pyw"], ["#"], [('"""', '"""'), ("'''", "'''")]),
+    ("TypeScript", "source", ["ts"], ["//"], [("/*", "*/")]),
+    ("TSX", "source", ["tsx"], ["//"], [("/*", "*/"), ("{/*", "*/}")]),
+    ("JavaScript", "source", ["js", "mjs", "cjs", "jsx"], ["//"], [("/*", "*/")]),
+    ("Java", "source", ["java"], ["//"], [("/*", "*/")]),
+    ("C", "source", ["c", "h"], ["//"], [("/*", "*/")]),
+    ("C++", "source", ["cpp", "cc", "cxx", "hpp", "hh"], ["//"], [("/*", "*/")]),
+    ("C#", "source", ["cs"], ["//"], [("/*", "*/")]),
+    ("Go", "source", ["go"], ["//"], [("/*", "*/")]),
+    ("Rust", "source", ["rs"], ["//"], [("/*", "*/")]),
+    ("HTML", "source", ["html", "htm"], [], [("<!--", "-->")]),
+    ("CSS", "source", ["css"], [], [("/*", "*/")]),
+    ("SCSS", "source", ["scss", "sass"], ["//"], [("/*", "*/")]),
+    ("SQL", "source", ["sql"], ["--"], [("/*", "*/")]),
+    ("Shell", "source", ["sh", "bash", "zsh"], ["#"], []),
+    ("CSV", "data", ["csv", "tsv"], [], []),
+    ("Jupyter Notebook", "data", ["ipynb"], [], []),
+    ("Markdown", "documentation", ["md", "markdown"], [], []),
+    ("YAML", "configuration", ["yaml", "yml"], ["#"], []),
+    ("JSON", "configuration", ["json"], [], []),
+    ("XML", "configuration", ["xml", "svg"], [], [("<!--", "-->")]),
 ]
-# Directories that ingestion leaves out.
-IGNORED = ["node_modules", ".git", "dist", "build", "coverage", "venv", ".venv", "env", "__pycache__", "vendor", "target", ".idea", ".vscode", "out", "bin", "obj", ".next", ".cache", "tmp"]
-READABLE = sorted({e for e, _, _ in REGISTRY} | {"txt", "xml", "cfg"})
+# Directories, extensions and file names that ingestion leaves out, extensions that it reads, and those of binary files.
+IGNORED = [".git", ".github", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", "coverage", ".pytest_cache", ".mypy_cache", ".tox", ".idea", ".vscode", ".cache", "eggs", ".eggs"]
+IGNORED_EXTENSIONS = (
+    "pyc pyo pyd so dll dylib exe bin png jpg jpeg gif ico webp bmp tiff mp4 webm mov mp3 wav ogg zip tar gz bz2 xz 7z rar whl woff woff2 ttf otf eot db sqlite sqlite3 pdf parquet pickle pkl"
+).split()
+IGNORED_NAMES = [".DS_Store", "Thumbs.db"]
+READABLE = "py pyi pyw ts tsx js mjs cjs jsx java c h cpp cc cxx hpp hh cs go rs html htm css scss sass sql sh bash zsh json yaml yml xml svg toml ini cfg txt md markdown csv tsv ipynb dockerfile".split()
+BINARY = "png jpg jpeg gif ico webp pdf zip tar gz exe dll so dylib bin pyc pyo pyd db sqlite woff woff2 ttf eot wasm parquet feather".split()
+REGISTRY = [(e, language, category) for language, category, extensions, _, _ in LANGUAGES for e in extensions]
 
 
 def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REGISTRY, "ext string, language string, category string")
 
 
+def comment_marks(spark: SparkSession) -> DataFrame:
+    """The registry with the marks of comments, as :func:`detect_language` joins it."""
+    rows = [(e, language, category, marks, [{"opens": a, "closes": b} for a, b in pairs]) for language, category, extensions, marks, pairs in LANGUAGES for e in extensions]
+    return spark.createDataFrame(rows, "ext string, language string, category string, line_marks array<string>, block_marks array<struct<opens:string,closes:string>>")
+
+
 def basename(path: str | Column) -> Column:
     return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
 
@@ -38,26 +68,36 @@ def safe_path(path: str) -> Column:
     return F.when(c.isNotNull() & ~bad, clean)
 
 
+def file_extension(path: str) -> Column:
+    """:func:`extension`, but empty for a name that begins with its only dot, such as .env."""
+    return F.lower(F.regexp_extract(basename(F.regexp_replace(path, r"\\\\", "/")), r"^.+\.([^.]*)$", 1))
+
+
 def is_ignored(path: str) -> Column:
-    """Whether a directory of the path (not the last segment) is one that ingestion leaves out."""
+    """Whether ingestion leaves the file out: by a directory of its path (not the last segment), its name or its extension."""
     parts = F.split(F.lower(F.col(path)), "/")
-    return F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in IGNORED]))
+    folder = F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in IGNORED]))
+    return folder | basename(path).isin(IGNORED_NAMES) | basename(path).startswith("._") | file_extension(path).isin(IGNORED_EXTENSIONS)
 
 
 def is_readable(path: str) -> Column:
-    return extension(path).isin(READABLE) | F.lower(basename(path)).isin("dockerfile", "makefile")
+    return file_extension(path).isin(READABLE) | (F.lower(basename(path)) == "dockerfile")
 
 
 def detect_language(path: str, names: DataFrame, files: DataFrame) -> DataFrame:
-    """``files`` with detected, category and is_binary by a join with the registry; data files in JSON by their directory."""
-    joined = files.withColumn("_ext", extension(path)).join(names.withColumnRenamed("ext", "_ext"), "_ext", "left")
-    docker = F.lower(basename(path)).endswith("dockerfile")
-    data = (F.col("_ext") == "json") & (F.lower(F.concat(F.lit("/"), path)).rlike("/(data|datasets|records)/") | F.lower(F.col(path)).rlike(r"\.(dataset|records)\.json$"))
+    """``files`` with detected, category and is_binary by a join with the registry; JSON files in data directories or with a data
+    suffix are data; unknown extensions are Text, those of binary files Binary."""
+    joined = files.withColumn("_ext", file_extension(path)).join(names.withColumnRenamed("ext", "_ext"), "_ext", "left")
+    docker = F.lower(basename(path)) == "dockerfile"
+    data = (F.col("_ext") == "json") & F.col(path).rlike(r"/(?:data|datasets|records)/|\.(?:dataset|records)\.json$")
+    binary = F.col("_ext").isin(BINARY)
+    unknown = F.when(binary, "binary").otherwise("unknown")
     return joined.select(
         files["*"],
-        F.when(docker, "Dockerfile").otherwise(F.coalesce("language", F.lit("Text"))).alias("detected"),
-        F.when(docker, "configuration").when(data, "data").otherwise(F.coalesce("category", F.lit("unknown"))).alias("category"),
-        F.col("_ext").isin("png", "jpg", "gif", "ico", "woff", "woff2", "ttf", "zip", "pdf").alias("is_binary"),
+        *([F.when(docker, F.array(F.lit("#"))).otherwise(F.col("line_marks")).alias("line_marks"), "block_marks"] if "line_marks" in names.columns else []),
+        F.when(docker, "Dockerfile").otherwise(F.coalesce("language", F.when(binary, "Binary").otherwise("Text"))).alias("detected"),
+        F.when(docker, "configuration").when(data, "data").otherwise(F.coalesce("category", unknown)).alias("category"),
+        binary.alias("is_binary"),
     )
 
 

@@ -18,20 +18,27 @@ def code_tokens(text: str | Column) -> Column:
 
 def vocabulary_tokens(text: str | Column) -> Column:
     """Tokens of the vocabulary: camel case, acronyms and snake case are all split; distinct, in order of appearance."""
+    return F.array_distinct(_vocabulary_words(text))
+
+
+def _vocabulary_words(text: str | Column) -> Column:
     split = F.regexp_replace(F.regexp_replace(_col(text), "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(split, r"[_\-./\\:@#\s]+", " ")), " +"), lambda t: F.length(t) > 1))
+    return F.filter(F.split(F.lower(F.regexp_replace(split, r"[_\-./\\:@#\s]+", " ")), " +"), lambda t: F.length(t) > 1)
+
+
+def spaced_words(text: str | Column) -> Column:
+    """The words of the vocabulary as they occur, with blanks between them."""
+    return F.array_join(_vocabulary_words(text), " ")
 
 
 def singular(word: str | Column) -> Column:
     """Rule-based singular of an English noun in lower case."""
     w = F.lower(_col(word))
     n = F.length(w)
-    return (
-        F.when((n > 4) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y")))
-        .when((n > 4) & (w.endswith("sses") | w.endswith("ches") | w.endswith("shes") | w.endswith("xes")), F.substring(w, F.lit(1), n - 2))
-        .when((n > 3) & w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us") & ~w.endswith("is"), F.substring(w, F.lit(1), n - 1))
-        .otherwise(w)
-    )
+    less = lambda k: F.left(w, n - k)
+    # Endings and the lengths from which they count.
+    y, es, s = (n > 4) & w.endswith("ies"), w.rlike("(?:sh|ch|ss|x)es$"), (n > 2) & w.rlike("s$") & ~w.rlike("(?:s|i|u)s$")
+    return F.when(y, F.concat(less(3), F.lit("y"))).when(es, less(2)).when(s, less(1)).otherwise(w)
 
 
 def clean_symbol(text: str | Column) -> Column:

@@ -44,8 +44,8 @@ def order_statistics(df: DataFrame, group: str, value: str, buckets: int = 1000)
 
 
 def grounding(evidence: DataFrame, files: DataFrame, tolerance: int = 0) -> DataFrame:
-    """fabricated where the file does not exist, unsupported where the lines do not, else grounded."""
-    known = files.select("file_id", F.size("file_lines").alias("_n"))
+    """``files`` has file_id and n_lines; fabricated where the file does not exist, unsupported where the lines do not, else grounded."""
+    known = files.select("file_id", F.col("n_lines").alias("_n"))
     joined = evidence.join(known, "file_id", "left")
     status = F.when(F.col("_n").isNull(), "fabricated").when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")) | (F.col("end_line") > F.col("_n") + tolerance), "unsupported").otherwise("grounded")
     return joined.withColumn("status", status)

@@ -11,11 +11,26 @@ from pyspark.sql.window import Window
 from coderill.functions import detect, text
 
 
+def latest_files(km_files: DataFrame, **columns: Column | str) -> DataFrame:
+    """file_id and the given columns of the last delivery of every file; ties by line count.  The columns are computed before the
+    shuffle, so that only they are read and moved."""
+    chosen = km_files.select("file_id", F.struct("ingested_at", "line_count").alias("_at"), F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).alias("_f"))
+    return chosen.groupBy("file_id").agg(F.max_by("_f", "_at").alias("f")).select("file_id", "f.*")
+
+
+def clean_lines() -> Column:
+    """The lines of a file without carriage returns at their ends."""
+    return F.transform("file_lines", lambda x: F.regexp_replace(x, "\r$", ""))
+
+
+def paths_of(km_files: DataFrame) -> DataFrame:
+    """Repository and path of the last delivery of every file; no lines are read."""
+    return latest_files(km_files, repo_id="repo_id", file_path="file_path")
+
+
 def files_of(km_files: DataFrame) -> DataFrame:
     """The last delivery of every file; ties by line count.  Line ends keep no carriage return."""
-    row = F.struct("repo_id", "file_path", "file_lines")
-    one = km_files.groupBy("file_id").agg(F.max_by(row, F.struct("ingested_at", "line_count")).alias("f"))
-    return one.select("file_id", "f.repo_id", "f.file_path", F.transform("f.file_lines", lambda x: F.regexp_replace(x, "\r$", "")).alias("file_lines"))
+    return latest_files(km_files, repo_id="repo_id", file_path="file_path", file_lines=clean_lines())
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -36,6 +51,14 @@ def grep(lines: DataFrame, query: str, case_sensitive: bool = False) -> DataFram
     return lines.filter(hay.contains(needle)).select("file_id", "line_no", F.instr(hay, needle).cast("int").alias("column_no"))
 
 
+def grep_files(km_files: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """:func:`grep` over the last delivery of every file; only the hits of a file are moved, not its lines."""
+    needle = query if case_sensitive else query.lower()
+    found = F.transform("file_lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.instr(x if case_sensitive else F.lower(x), needle).cast("int").alias("column_no")))
+    hits = latest_files(km_files, hits=F.filter(found, lambda h: h["column_no"] > 0))
+    return hits.select("file_id", F.explode("hits").alias("h")).select("file_id", "h.*")
+
+
 def first_hits(hits: DataFrame, by: str, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` rows of each group in the given order."""
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
@@ -133,23 +156,36 @@ def chunk_validity(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def line_categories(files: DataFrame) -> DataFrame:
-    """Blank, comment and other lines per file; block comments are followed by a fold over the lines of the file."""
-    ext = detect.extension("file_path")
-    hash_style = ext.isin("py", "sh", "yaml", "yml", "toml", "env")
-    start = F.struct(F.lit(0).alias("blank"), F.lit(0).alias("comment"), F.lit(0).alias("other"), F.lit(False).alias("inside"))
-
-    def step(a: Column, line: Column) -> Column:
-        t = F.regexp_replace(line, r"^\s+|\s+$", "")
-        blank = t == ""
-        opens = ~F.col("_hash") & t.startswith("/*")
-        comment = ~blank & (a["inside"] | opens | F.when(F.col("_hash"), t.startswith("#")).otherwise(t.startswith("//")))
-        inside = ~F.col("_hash") & (a["inside"] | opens) & ~t.endswith("*/")
-        return F.struct(
-            (a["blank"] + blank.cast("int")).alias("blank"), (a["comment"] + comment.cast("int")).alias("comment"), (a["other"] + (~blank & ~comment).cast("int")).alias("other"), (F.when(blank, a["inside"]).otherwise(inside)).alias("inside"),
-        )
-
-    folded = files.withColumn("_hash", hash_style).withColumn("_c", F.aggregate("file_lines", start, step))
-    return folded.select("file_id", "repo_id", ext.alias("ext"), F.col("_c.blank").alias("blank_lines"), F.col("_c.comment").alias("comment_lines"), F.col("_c.other").alias("other_lines"))
+    """Blank, comment, code, data, config and documentation lines per file; the six add up to all lines.
+
+    Lines of data, documentation and configuration files are told by their first characters; in source files block comments, which
+    begin at the start of a line and end on any line that holds the closing mark, are followed by a fold over the lines.  A file of
+    unknown language is documentation."""
+    marked = detect.detect_language("file_path", detect.comment_marks(files.sparkSession), files)
+    trimmed = F.transform("file_lines", lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    rows = marked.select("file_id", "repo_id", "detected", "category", F.coalesce("line_marks", F.array()).alias("_marks"), F.coalesce("block_marks", F.array()).alias("_pairs"), trimmed.alias("_t"))
+    starts = lambda t, marks: F.exists(marks, lambda m: t.startswith(m))
+    zero = F.struct(F.lit("").alias("close"), F.lit(0).alias("comment"), F.lit(0).alias("code"))
+
+    def step(a: Column, t: Column) -> Column:
+        inside, blank = a["close"] != "", t == ""
+        opened = F.get(F.filter("_pairs", lambda p: t.startswith(p["opens"])), F.lit(0))
+        one = ~inside & starts(t, F.col("_marks"))
+        begins = ~inside & ~one & opened.isNotNull()
+        stays = begins & ~F.contains(F.substr(t, F.length(opened["opens"]) + 1), opened["closes"])
+        close = F.when(blank, a["close"]).when(inside, F.when(F.contains(t, a["close"]), "").otherwise(a["close"])).when(stays, opened["closes"]).otherwise("")
+        comment = ~blank & (inside | one | begins)
+        return F.struct(close.alias("close"), (a["comment"] + comment.cast("int")).alias("comment"), (a["code"] + (~blank & ~comment).cast("int")).alias("code"))
+
+    source, blanks = F.col("category") == "source", F.size(F.filter("_t", lambda t: t == ""))
+    plain = F.size(F.filter("_t", lambda t: starts(t, F.col("_marks"))))
+    rows = rows.withColumn("_c", F.when(source, F.aggregate("_t", zero, step)).otherwise(F.struct(F.lit("").alias("close"), plain.alias("comment"), F.lit(0).alias("code"))))
+    rest = F.size("_t") - blanks - F.col("_c.comment") - F.col("_c.code")
+    of = lambda kinds: F.when(F.col("category").isin(*kinds), rest).otherwise(0)
+    return rows.select(
+        "file_id", "repo_id", "detected", blanks.alias("blank_lines"), F.col("_c.comment").alias("comment_lines"), F.col("_c.code").alias("code_lines"), of(["data"]).alias("data_lines"),
+        of(["configuration"]).alias("config_lines"), of(["documentation", "unknown", "binary"]).alias("documentation_lines"),
+    )
 
 
 def brace_chunks(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,10 +12,24 @@ from coderill.functions.text import code_tokens, djb2
 from coderill.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
-# Our own table of concepts: a pair of dimensions each.
+# Sixteen concepts and their terms, a pair of dimensions each.
 CONCEPTS = [
-    ("storage", ["store", "cache", "load", "archive"]), ("network", ["http", "request", "client", "gateway"]), ("time", ["schedule", "hourly", "nightly", "late"]), ("math", ["score", "rank", "estimate", "count"]),
-    ("parse", ["parse", "decode", "encode", "render"]), ("check", ["validate", "inspect", "probe", "audit"]), ("order", ["sorted", "index", "queue", "stack"]), ("change", ["merge", "split", "trim", "filter"]),
+    ("auth_security", "auth login token jwt verify password credential mfa authenticate bearer session oauth"),
+    ("database_storage", "database connection db db_url sql query table store repository connect schema entity"),
+    ("network_http", "middleware request response headers dispatch authorization handler route api http fetch axios endpoint"),
+    ("ml_computation", "predict prediction model inference dataset features train classifier regression estimator calculate"),
+    ("crypto_hashing", "crypto hash salt hmac sha256 secret signature sign digest encrypt decrypt"),
+    ("device_hardware", "device bluetooth hub settings deeplink pairing hardware beacon adapter sensor peripheral"),
+    ("error_handling", "error exception catch raise try throw fault fail fallback validationerror reject"),
+    ("audit_logging", "audit log security_event logging logger trace events monitor record debug console"),
+    ("config_environment", "config settings env environment debug host port url parameter options constants"),
+    ("async_concurrency", "async await promise then observable stream event emit listen subscribe channel"),
+    ("data_parsing", "load read csv parse json dataset records file stream import_data serialize"),
+    ("initialization", "init initialize bootstrap startup main start lifecycle setup index app"),
+    ("class_architecture", "class base inherit subclass mixin constructor prototype extends implements interface"),
+    ("call_graph", "call caller callee calls invoke execute run pipeline dispatch forward"),
+    ("user_management", "user username account profile role scopes permissions admin tenant member"),
+    ("validation_check", "validate_token validate validation check valid expiry authentic assert verify schema"),
 ]
 
 
@@ -24,9 +38,9 @@ def postings_of(items: DataFrame, key: str, text: str) -> DataFrame:
     return spread(items.select(key, text)).select(key, F.explode(code_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(postings: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 10) -> DataFrame:
-    """The k best items per query: query_key, key, score, rank.  ``queries`` has one row per query token; repeated tokens count
-    again.  Statistics cover all items.  Ties go to the smaller key."""
+def bm25_scores(postings: DataFrame, queries: DataFrame, key: str, query_key: str) -> DataFrame:
+    """query_key, key, score of every item that holds a word of the query.  ``queries`` has one row per query token; repeated tokens
+    count again.  Statistics cover all items."""
     postings = cut_lineage(postings)
     lengths = postings.groupBy(key).agg(F.sum("tf").alias("dl"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
@@ -35,10 +49,18 @@ def bm25(postings: DataFrame, queries: DataFrame, key: str, query_key: str, k: i
     asked = queries.groupBy(query_key, "term").agg(F.count("*").alias("qf"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     terms = asked.join(df, "term").withColumn("idf", idf)
-    scored = terms.join(postings, "term").join(lengths, key)
+    # the postings of a term are spread over salts, so that a word that every item holds is no key of one task
+    salts = max(1, min(256, n // 100_000))
+    spread_terms = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = postings.join(lengths, key).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    scored = spread_terms.join(salted, ["term", "_salt"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    total = scored.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(total, query_key, key, "score", k)
+    return scored.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(postings: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 10) -> DataFrame:
+    """The k best items per query by :func:`bm25_scores`: query_key, key, score, rank.  Ties go to the smaller key."""
+    return top_k(bm25_scores(postings, queries, key, query_key), query_key, key, "score", k)
 
 
 def top_k(scored: DataFrame, query_key: str, key: str, score: str, k: int) -> DataFrame:
@@ -47,47 +69,124 @@ def top_k(scored: DataFrame, query_key: str, key: str, score: str, k: int) -> Da
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def embed_tokens(text: str) -> Column:
+    """Tokens of the embedding: lower case, split at all but letters, digits and underscores, single characters dropped."""
+    return F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda t: F.length(t) > 1)
+
+
 def embed(items: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse unit vectors of the hashed embedding: key, dim, weight.  Dimensions 0-47 count token hashes, 48-95 trigram hashes at
-    half weight, from 96 on each concept has two: its weight and log1p of it."""
-    words = items.select(key, F.explode(code_tokens(text)).alias("token"))
+    """Sparse unit vectors of the hashed embedding with 128 dimensions: key, dim, weight.  Dimensions 0-47 count token hashes, 48-95
+    trigram hashes at half weight; from 96 on each concept has two: its weight (2 for each term among the tokens, 1 for each that only
+    occurs within the text) and log1p of it.  Items without tokens and concepts give no rows."""
+    words = items.select(key, F.explode(embed_tokens(text)).alias("token"))
     counted = words.groupBy(key, "token").agg(F.count("*").cast("double").alias("n"))
     by_token = counted.select(key, (djb2("token") % 48).cast("int").alias("dim"), F.col("n").alias("w"))
     grams = counted.filter(F.length("token") >= 3).select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3)))).alias("g"))
     by_gram = grams.select(key, (F.lit(48) + djb2("g") % 48).cast("int").alias("dim"), (F.col("n") * 0.5).alias("w"))
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(t).alias("token")) for i, (_, terms) in enumerate(CONCEPTS) for t in terms])
-    concept = counted.join(items.sparkSession.range(1).select(F.explode(pairs).alias("p")).select("p.*"), "token").groupBy(key, "c").agg((F.sum("n") * 2).alias("m"))
-    by_concept = concept.select(key, F.explode(F.array(F.struct((F.lit(96) + F.col("c") * 2).cast("int").alias("dim"), F.col("m").alias("w")), F.struct((F.lit(97) + F.col("c") * 2).cast("int").alias("dim"), F.log1p("m").alias("w")))).alias("x")).select(key, "x.*")
+    low, tokens = F.lower(F.col(text)), embed_tokens(text)
+    told = lambda t: F.when(F.array_contains(F.col("_tokens"), t), 2.0).when(F.contains(F.col("_low"), F.lit(t)), 1.0).otherwise(0.0)
+    weights = [sum((told(t) for t in terms.split()), F.lit(0.0)) for _, terms in CONCEPTS]
+    pairs = F.array(*[F.struct(F.lit(96 + 2 * c).alias("dim"), m.alias("m")) for c, m in enumerate(weights)])
+    concept = items.select(key, low.alias("_low"), tokens.alias("_tokens")).select(key, F.explode(F.filter(pairs, lambda p: p["m"] > 0)).alias("p")).select(key, "p.*")
+    by_concept = concept.select(key, F.explode(F.array(F.struct("dim", F.col("m").alias("w")), F.struct((F.col("dim") + 1).alias("dim"), F.log1p("m").alias("w")))).alias("x")).select(key, "x.*")
     summed = by_token.unionByName(by_gram).unionByName(by_concept).groupBy(key, "dim").agg(F.sum("w").alias("w"))
     norm = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return summed.join(norm, key).select(key, "dim", F.round(F.col("w") / F.col("_norm"), 6).alias("weight"))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
-    """Exact search of a set of query vectors against all vectors: query_id, vec_id, score, rank; the query itself takes no part.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "vec_id", own: bool = False, block: tuple[int, int] = (2048, 8192)) -> DataFrame:
+    """Exact search of a set of query vectors against all vectors: query_id, the vectors' key, score, rank; unless ``own``, a vector with
+    the query's key takes no part.  Null vectors are left out.
+
+    Queries and vectors are cut into blocks of ``block`` rows; a grid has a cell for each pair of blocks, and both blocks are sent to it
+    by an equi-join on the cell.  A cell multiplies its blocks as matrices and sends on only its k best per query."""
 
-    Both sides are cut into blocks, blocks are multiplied as matrices, and each pair of blocks sends on only its k best per
-    query, which are merged by a window."""
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = df.filter("embedding is not null")
-        parts = max(1, -(-rows.count() // block))
-        return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(f"{name}_no")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
+    def blocks(df: DataFrame, by: str, name: str, size: int) -> tuple[DataFrame, int]:
+        rows = df.filter("embedding is not null").select(F.col(by).alias("id"), "embedding")
+        parts = max(1, -(-rows.count() // size))
+        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(f"{name}_no")).agg(F.collect_list(F.struct("id", "embedding")).alias(name)), parts
 
     def run(batches):
         for b in batches:
             for left, right in zip(b["q"], b["v"]):
-                qi, vi = np.array([x["vec_id"] for x in left]), np.array([x["vec_id"] for x in right])
-                scores = np.round(np.clip(np.array([x["embedding"] for x in left], dtype=np.float64) @ np.array([x["embedding"] for x in right], dtype=np.float64).T, 0, 1), 6)
-                scores[qi[:, None] == vi[None, :]] = -1
-                for i in range(len(qi)):
-                    order = np.lexsort((vi, -scores[i]))[:k]
-                    order = order[scores[i][order] >= 0]
-                    yield pd.DataFrame({"query_id": qi[i], "vec_id": vi[order], "score": scores[i][order]})
-
-    q, v = blocks(queries, "q"), blocks(vectors, "v")
-    met = q.join(v, F.col("q_no") >= 0).select("q", "v")
-    best = met.mapInPandas(run, "query_id long, vec_id long, score double")
-    return top_k(best, "query_id", "vec_id", "score", k)
+                qi, vi = np.array([x["id"] for x in left]), np.array([x["id"] for x in right])
+                a, c = np.array([x["embedding"] for x in left], dtype=np.float64), np.array([x["embedding"] for x in right], dtype=np.float64)
+                for at in range(0, len(qi), 256):
+                    scores = np.round(np.clip(a[at : at + 256] @ c.T, 0, 1), 6)
+                    if not own:
+                        scores[qi[at : at + 256, None] == vi[None, :]] = -1
+                    for i in range(len(scores)):
+                        best = np.flatnonzero(scores[i] >= np.partition(scores[i], -k)[-k]) if len(vi) > k else np.arange(len(vi))
+                        order = best[np.lexsort((vi[best], -scores[i][best]))][:k]
+                        order = order[scores[i][order] >= 0]
+                        yield pd.DataFrame({"query_id": qi[at + i], key: vi[order], "score": scores[i][order]})
+
+    (q, q_parts), (v, v_parts) = blocks(queries, query_key, "q", block[0]), blocks(vectors, key, "v", block[1])
+    cells = q.withColumn("v_no", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1)))).join(v.withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))), ["q_no", "v_no"])
+    kinds = queries.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    best = cells.select("q", "v").mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    return top_k(best, "query_id", key, "score", k)
+
+
+def dense(sparse: DataFrame, key: str, width: int = 128) -> DataFrame:
+    """Sparse vectors (key, dim, weight) as arrays: key, embedding."""
+    pairs = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
+    return pairs.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
+def latest_chunks(chunks: DataFrame) -> DataFrame:
+    """The last delivery of every chunk with what searches need: the text of the lexical index (path, symbol, docstring, source) and that
+    of the embedding (symbol, docstring and the first 300 characters of the source)."""
+    row = F.struct(
+        "repo_id", F.lower("file_path").alias("path"), F.lower("file_language").alias("language"), F.lower(F.coalesce("symbol_name", F.lit(""))).alias("symbol"),
+        F.concat_ws(" ", "file_path", "symbol_name", "docstring", "source_text").alias("lexical_text"), F.concat_ws(" ", "symbol_name", "docstring", F.left("source_text", F.lit(300))).alias("semantic_text"),
+    )
+    return chunks.groupBy("chunk_id").agg(F.max_by(row, F.struct("ingested_at", F.xxhash64("source_text"))).alias("c")).select("chunk_id", "c.*")
+
+
+def chunk_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score, symbol_match: BM25 over the chunks' lexical text, times 1.8 where query and symbol contain one another and
+    times 1.3 where the path contains the query.  ``queries`` has query_id and query_text."""
+    tokens = queries.select("query_id", F.explode(code_tokens("query_text")).alias("term"))
+    raw = bm25_scores(postings_of(items, "chunk_id", "lexical_text"), tokens, "chunk_id", "query_id")
+    asked = queries.select("query_id", F.lower("query_text").alias("_q"))
+    named = raw.join(items.select("chunk_id", "path", "symbol"), "chunk_id").join(asked, "query_id")
+    match = (F.col("symbol") != "") & (F.contains("_q", "symbol") | F.contains("symbol", "_q"))
+    boost = F.when(match, 1.8).otherwise(1.0) * F.when(F.contains("path", "_q"), 1.3).otherwise(1.0)
+    return named.select("query_id", "chunk_id", F.round(F.col("score") * boost, 6).alias("score"), match.alias("symbol_match"))
+
+
+# Weights of the semantic, lexical and structural scores by preset.
+PRESETS = {"hybrid": (0.45, 0.25, 0.20), "semantic": (0.85, 0.10, 0.05), "symbol": (0.10, 0.60, 0.30)}
+
+
+def chunk_candidates(items: DataFrame, queries: DataFrame, definitions: DataFrame, k: int = 5) -> DataFrame:
+    """The pools of 3k best chunks by meaning and by words, joined: query_id, chunk_id and the five scores.
+
+    ``definitions`` has repo_id and name (lower case) of known functions and classes; they give Python chunks of that name a structural
+    score of 0.8.  Meaning counts above 0.05, words at a fifth of their score up to 1."""
+    semantic = cosine_top_k(dense(embed(items, "chunk_id", "semantic_text"), "chunk_id"), dense(embed(queries, "query_id", "query_text"), "query_id"), 3 * k, "chunk_id", "query_id", True)
+    lexical = top_k(chunk_scores(items, queries), "query_id", "chunk_id", "score", 3 * k)
+    s = semantic.filter("score > 0.05").select("query_id", "chunk_id", F.col("score").alias("semantic"))
+    x = lexical.select("query_id", "chunk_id", F.least(F.lit(1.0), F.col("score") / 5).alias("lexical"), F.when(F.col("symbol_match"), 1.0).otherwise(0.0).alias("symbol_score"))
+    both = s.join(x, ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["semantic", "lexical", "symbol_score"])
+    known = definitions.select("repo_id", F.col("name").alias("symbol")).distinct().withColumn("_known", F.lit(True))
+    about = both.join(items.select("chunk_id", "repo_id", "path", "language", "symbol"), "chunk_id").join(known, ["repo_id", "symbol"], "left")
+    about = about.join(queries.select("query_id", F.lower("query_text").alias("_q")), "query_id")
+    structural = F.when((F.col("language") == "python") & F.col("_known"), 0.8).otherwise(0.0)
+    return about.select("query_id", "chunk_id", "semantic", "lexical", structural.alias("structural"), "symbol_score", F.when(F.contains("path", "_q"), 0.5).otherwise(0.0).alias("path_score"))
+
+
+def fuse_chunks(candidates: DataFrame, presets: list[str], k: int = 5) -> DataFrame:
+    """Weighted sums of the five scores, symbol and path at a tenth each, with the kind of match; totals below 0.15 are dropped."""
+    weights = F.array(*[F.struct(F.lit(p).alias("preset"), *[F.lit(w).alias(n) for n, w in zip(("ws", "wl", "wt"), PRESETS[p])]) for p in presets])
+    each = candidates.withColumn("_w", F.explode(weights)).select("*", "_w.*")
+    total = F.col("semantic") * F.col("ws") + F.col("lexical") * F.col("wl") + F.col("structural") * F.col("wt") + F.col("symbol_score") * 0.1 + F.col("path_score") * 0.1
+    s, x, t = F.col("semantic") > 0.25, F.col("lexical") > 0.25, F.col("structural") > 0.3
+    kind = F.when((s & x) | (s & t) | (x & t), "hybrid").when(s, "semantic").when(t, "structural").when(F.col("symbol_score") > 0, "symbol").otherwise("lexical")
+    kept = each.withColumn("total", F.round(total, 6)).filter("total >= 0.15").withColumn("match_type", kind)
+    w = Window.partitionBy("preset", "query_id").orderBy(F.desc("total"), "chunk_id")
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("preset", "query_id", "chunk_id", "total", "match_type", "rank")
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, key: str, k: int = 5) -> DataFrame:

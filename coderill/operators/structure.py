@@ -57,6 +57,103 @@ def imports_of(lines: DataFrame) -> DataFrame:
     return f.select("file_id", "repo_id", "file_path", "line_no", module.alias("source_module"), F.explode(F.split(names, " *, *")).alias("imported_name"), kind.alias("import_type"))
 
 
+# Patterns of imports: files, pattern, group of the module, group of the names, kind.
+IMPORT_RULES = [
+    (("py", "pyi"), r"^\s*from\s+([\w.]+)\s+import\s+\(?([^)#]+)", 1, 2, "from"),
+    (("py", "pyi"), r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)\s*$", 0, 1, "module"),
+    (("js", "jsx", "mjs", "cjs", "ts", "tsx"), r"^\s*import\s+(?:type\s+)?(?:\w+\s*,\s*)?\{([^}]+)\}\s*from\s*['\"]([^'\"]+)['\"]", 2, 1, "named"),
+    (("js", "jsx", "mjs", "cjs", "ts", "tsx"), r"^\s*import\s+(\w+)\s*(?:,\s*\{[^}]*\}\s*)?from\s*['\"]([^'\"]+)['\"]", 2, 1, "default"),
+    (("js", "jsx", "mjs", "cjs", "ts", "tsx"), r"^\s*import\s+\*\s+as\s+(\w+)\s+from\s*['\"]([^'\"]+)['\"]", 2, 1, "namespace"),
+    (("js", "jsx", "mjs", "cjs", "ts", "tsx"), r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\(\s*['\"]([^'\"]+)['\"]", 2, 1, "commonjs"),
+    (("js", "jsx", "mjs", "cjs", "ts", "tsx"), r"(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]", 2, 1, "commonjs"),
+    (("java",), r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", 0, 1, "module"),
+]
+
+
+def all_imports(lines: DataFrame) -> DataFrame:
+    """One row per imported name: source_module, imported_name, alias, import_type, of Python's and Java's imports, ES modules (named,
+    default, namespace) and CommonJS.  A module that is imported as such is its own name; without an alias that is null."""
+    t, ext = F.col("line_text"), detect.extension("file_path")
+    found = []
+    for files, pattern, module, names, kind in IMPORT_RULES:
+        part = F.struct(F.regexp_extract(t, pattern, module or names).alias("module"), F.regexp_extract(t, pattern, names).alias("names"), F.lit(kind).alias("kind"), F.lit(not module).alias("whole"))
+        found.append(F.when(ext.isin(*files) & t.rlike(pattern), part))
+    rows = lines.filter(F.lower(t).rlike("import|require")).select("file_id", "repo_id", "file_path", "line_no", F.explode(F.array_compact(F.array(*found))).alias("r"))
+    each = rows.select("file_id", "repo_id", "file_path", "line_no", "r.module", "r.kind", "r.whole", F.explode(F.split("r.names", ",")).alias("part"))
+    part = F.regexp_replace(F.regexp_replace("part", r"^\s+|\s+$", ""), r"^type\s+", "")
+    name, alias = F.regexp_extract(part, r"^([\w.*$]+)", 1), F.nullif(F.regexp_extract(part, r"(?:\s+as\s+|\s*:\s*)(\w+)$", 1), F.lit(""))
+    return each.select("file_id", "repo_id", "file_path", "line_no", F.when(F.col("whole"), name).otherwise(F.col("module")).alias("source_module"), name.alias("imported_name"), alias.alias("alias"), F.col("kind").alias("import_type")).filter("imported_name <> ''")
+
+
+def exports_of(lines: DataFrame) -> DataFrame:
+    """Names that scripts export, by declaration or in a list: file_id, repo_id, line_no, exported_name."""
+    declared = r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
+    listed = r"^\s*export\s*\{([^}]*)\}"
+    t = F.col("line_text")
+    names = F.concat(F.filter(F.array(F.regexp_extract(t, declared, 1)), lambda x: x != ""), F.transform(F.filter(F.split(F.regexp_extract(t, listed, 1), ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(x, r"(\w+)\s*$", 1)))
+    return lines.filter(_is("js", "jsx", "mjs", "ts", "tsx") & t.rlike(r"^\s*export\b")).select("file_id", "repo_id", "line_no", F.explode(names).alias("exported_name"))
+
+
+def bases_of(lines: DataFrame) -> DataFrame:
+    """Classes and the classes or interfaces they extend or implement: file_id, repo_id, line_no, class_name, base_name (the last
+    segment of a dotted name)."""
+    t = F.col("line_text")
+    py, other = r"^\s*class\s+(\w+)\(([^)]*)\)", r"\bclass\s+(\w+)\b[^{]*?\b(?:extends|implements)\s+([\w., ]+)"
+    pick = lambda n: F.when(_is("py"), F.regexp_extract(t, py, n)).otherwise(F.regexp_extract(t, other, n))
+    rows = lines.filter((_is("py") & t.rlike(py)) | (_is("js", "ts", "java") & t.rlike(other)))
+    each = rows.select("file_id", "repo_id", "line_no", pick(1).alias("class_name"), F.explode(F.split(pick(2), r"[,\s]+")).alias("b"))
+    base = F.regexp_extract("b", r"(\w+)$", 1)
+    return each.select("file_id", "repo_id", "line_no", "class_name", base.alias("base_name")).filter("base_name <> '' and base_name not in ('extends', 'implements') and not contains(b, '=')").distinct()
+
+
+def class_members(symbols: DataFrame) -> DataFrame:
+    """Methods with the class that was last begun above them and has not ended: repo_id, file_id, class_name, symbol_name, symbol_id.
+
+    One sort per file; no method is paired with every class."""
+    order = F.struct("start_line", F.when(F.col("symbol_kind") == "class", 0).otherwise(1), "symbol_id")
+    w = Window.partitionBy("file_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.last(F.when(F.col("symbol_kind") == "class", F.struct("symbol_name", "end_line")), ignorenulls=True).over(w)
+    kept = symbols.filter("symbol_kind in ('class', 'method') and start_line is not null").withColumn("_c", opened)
+    return kept.filter("symbol_kind = 'method' and _c.end_line >= start_line").select("repo_id", "file_id", F.col("_c.symbol_name").alias("class_name"), "symbol_name", "symbol_id")
+
+
+_DEFINING = r"\b(?:def|function|func|class|interface)\s"
+# What mentions a name: the kind of reference, its priority, files, pattern, kinds of symbols that it may name.
+MENTIONS = [
+    ("class_instantiation", 1, ("py", "js", "ts", "java", "go"), r"([A-Za-z_]\w*)\(", ("class",)),
+    ("function_call", 3, ("py", "js", "ts", "java", "go"), r"([A-Za-z_]\w*)\(", ("function", "method")),
+    ("type_hint", 6, ("py", "ts"), r"(?::|->)\s*(?:[A-Za-z_]\w*\[)?([A-Za-z_]\w*)", ("class", "interface")),
+    ("variable_usage", 7, ("py", "js", "ts", "java", "go"), r"([A-Za-z_]\w*)", ("collection",)),
+    ("attribute_reference", 8, ("py", "js", "ts", "java", "go"), r"\.([A-Za-z_]\w*)(?:[^\w(]|$)", ("function", "method", "class", "collection")),
+    ("doc_mention", 9, ("md", "rst", "txt"), r"([A-Za-z_]\w{3,})", ("function", "method", "class", "interface", "collection")),
+]
+
+
+def references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every reference to a known symbol of the repository: repo_id, name (lower case), file_id, line_no, ref_type, priority.
+
+    Nine kinds from seven branches: calls (of functions, or of classes as instantiations), inheritance, imports, exports, type hints,
+    variables and attributes, mentions in documents.  A kind counts once a line and name.  Lines that define something call nothing."""
+    columns = ["repo_id", "name", "file_id", "line_no", "ref_type", "priority"]
+    t = F.col("line_text")
+    found = []
+    for kind, priority, files, pattern, _ in MENTIONS:
+        where = _is(*files) & ~t.rlike(_DEFINING) if kind in ("class_instantiation", "function_call", "variable_usage") else _is(*files)
+        found.append(F.when(where, F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 1)), lambda n, k=kind, p=priority: F.struct(n.alias("exact"), F.lit(k).alias("ref_type"), F.lit(p).alias("priority")))))
+    mentioned = lines.select("repo_id", "file_id", "line_no", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("m")).select("repo_id", "file_id", "line_no", "m.*")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("ref_type"), F.array(*[F.lit(x) for x in of]).alias("of")) for k, _, _, _, of in MENTIONS])).alias("k")
+    known = symbols.select("repo_id", F.col("symbol_name").alias("exact"), "symbol_kind", kinds).filter("array_contains(k.of, symbol_kind)").select("repo_id", "exact", "k.ref_type").distinct()
+    named = mentioned.join(known, ["repo_id", "exact", "ref_type"], "left_semi").select("repo_id", F.lower("exact").alias("name"), "file_id", "line_no", "ref_type", "priority")
+    names = symbols.select("repo_id", F.lower("symbol_name").alias("name")).distinct()
+    told = [
+        (bases_of(lines).withColumnRenamed("base_name", "n"), "class_inheritance", 2), (all_imports(lines).withColumnRenamed("imported_name", "n"), "import", 4), (exports_of(lines).withColumnRenamed("exported_name", "n"), "export", 5),
+    ]
+    for rows, kind, priority in told:
+        rows = rows.select("repo_id", F.lower(F.regexp_extract("n", r"(\w+)$", 1)).alias("name"), "file_id", "line_no", F.lit(kind).alias("ref_type"), F.lit(priority).alias("priority"))
+        named = named.unionByName(rows.join(names, ["repo_id", "name"], "left_semi"))
+    return named.select(*columns).distinct()
+
+
 def enclosing_functions(lines: DataFrame) -> DataFrame:
     """Code lines with the name of the function last opened above or on them."""
     t = F.col("line_text")

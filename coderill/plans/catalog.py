@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 FILES = """files AS (SELECT file_id, repo_id, file_path, list_transform(file_lines, lambda x: regexp_replace(x, '\\r$', '')) AS file_lines
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, line_count DESC) AS rn FROM km_files) WHERE rn = 1),
 exts AS (SELECT *, lower(regexp_extract(list_extract(string_split(file_path, '/'), -1), '\\.([^.]+)$', 1)) AS ext FROM files)"""
+PATHS = """paths AS (SELECT file_id, repo_id, file_path FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, line_count DESC) AS rn FROM km_files) WHERE rn = 1)"""
 LINES = FILES + """, lines AS (SELECT file_id, repo_id, file_path, ext, unnest(file_lines) AS line_text, generate_subscripts(file_lines, 1)::INT AS line_no FROM exts)"""
 SYMBOLS = """symbols AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY ingested_at DESC) AS rn FROM km_symbols) WHERE rn = 1)"""
 
@@ -41,10 +42,18 @@ def _files(s, d):
     return lines.files_of(table(s, d, "km_files"))
 
 
+def _paths(s, d):
+    return lines.paths_of(table(s, d, "km_files"))
+
+
 def _lines(s, d):
     return lines.lines_of(_files(s, d))
 
 
+def _line_counts(s, d):
+    return lines.latest_files(table(s, d, "km_files"), n_lines=F.size("file_lines"))
+
+
 def _symbols(s, d):
     return structure.symbols_of(table(s, d, "km_symbols"))
 
@@ -54,12 +63,15 @@ def _symbols(s, d):
 
 @query(f"WITH {LINES} SELECT file_id, count(*) AS n_lines, sum(length(line_text))::BIGINT AS n_chars FROM lines GROUP BY 1")
 def src_lines(s, d):
-    return _lines(s, d).groupBy("file_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line_text")).alias("n_chars"))
+    chars = F.aggregate(lines.clean_lines(), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
+    counted = lines.latest_files(table(s, d, "km_files"), n_lines=F.size("file_lines").cast("long"), n_chars=chars)
+    return counted.filter("n_lines > 0")
 
 
 @query(f"WITH {FILES} SELECT file_id, array_to_string(file_lines[10:20], chr(10)) AS slice_text FROM files")
 def src_line_slice(s, d):
-    return lines.slice_lines(_files(s, d), 10, 20)
+    part = F.slice("file_lines", 10, 11)
+    return lines.latest_files(table(s, d, "km_files"), slice_text=F.array_join(F.transform(part, lambda x: F.regexp_replace(x, "\r$", "")), "\n"))
 
 
 @query("""SELECT file_id, CASE WHEN file_path = '' OR regexp_matches(file_path, '^([A-Za-z]:)?[/\\\\]') OR list_contains(string_split(file_path, '/'), '..') THEN NULL
@@ -68,18 +80,23 @@ def src_safe_path(s, d):
     return table(s, d, "km_files").select("file_id", detect.safe_path("file_path").alias("safe_path"))
 
 
-_IGNORED_SQL = "[" + ", ".join(f"'{x}'" for x in detect.IGNORED) + "]"
+_NAME_SQL = "list_extract(string_split(file_path, '/'), -1)"
+_EXT_SQL = f"lower(regexp_extract({_NAME_SQL}, '^.+\\.([^.]*)$', 1))"
+_IGNORED_SQL = f"""(list_has_any(string_split(lower(file_path), '/')[1:-2], ['.git', '.github', 'node_modules', '__pycache__', '.venv', 'venv', 'env', '.env', 'dist', 'build', 'coverage', '.pytest_cache', '.mypy_cache', '.tox', '.idea', '.vscode', '.cache', 'eggs', '.eggs'])
+  OR {_NAME_SQL} IN ('.DS_Store', 'Thumbs.db') OR starts_with({_NAME_SQL}, '._') OR {_EXT_SQL} IN ('pyc', 'pyo', 'pyd', 'so', 'dll', 'dylib', 'exe', 'bin', 'png', 'jpg', 'jpeg', 'gif', 'ico', 'webp', 'bmp', 'tiff', 'mp4', 'webm', 'mov', 'mp3', 'wav', 'ogg',
+  'zip', 'tar', 'gz', 'bz2', 'xz', '7z', 'rar', 'whl', 'woff', 'woff2', 'ttf', 'otf', 'eot', 'db', 'sqlite', 'sqlite3', 'pdf', 'parquet', 'pickle', 'pkl'))"""
+_READABLE_SQL = f"""({_EXT_SQL} IN ('py', 'pyi', 'pyw', 'ts', 'tsx', 'js', 'mjs', 'cjs', 'jsx', 'java', 'c', 'h', 'cpp', 'cc', 'cxx', 'hpp', 'hh', 'cs', 'go', 'rs', 'html', 'htm', 'css', 'scss', 'sass', 'sql', 'sh', 'bash', 'zsh', 'json', 'yaml', 'yml', 'xml', 'svg', 'toml', 'ini', 'cfg', 'txt',
+  'md', 'markdown', 'csv', 'tsv', 'ipynb', 'dockerfile') OR lower({_NAME_SQL}) = 'dockerfile')"""
 
 
-@query(f"SELECT file_id, list_has_any(string_split(lower(file_path), '/')[1:-2], {_IGNORED_SQL}) AS ignored FROM file_metadata")
+@query(f"SELECT file_id, {_IGNORED_SQL} AS ignored FROM file_metadata")
 def src_ignore_filter(s, d):
     return table(s, d, "file_metadata").select("file_id", detect.is_ignored("file_path").alias("ignored"))
 
 
-@query(f"""SELECT file_id, lower(regexp_extract(list_extract(string_split(file_path, '/'), -1), '\\.([^.]+)$', 1)) AS ext,
-  lower(regexp_extract(list_extract(string_split(file_path, '/'), -1), '\\.([^.]+)$', 1)) IN ({", ".join(f"'{x}'" for x in detect.READABLE)}) OR lower(list_extract(string_split(file_path, '/'), -1)) IN ('dockerfile', 'makefile') AS readable FROM file_metadata""")
+@query(f"SELECT file_id, {_EXT_SQL} AS ext, {_READABLE_SQL} AS readable FROM file_metadata")
 def src_extension_readable(s, d):
-    return table(s, d, "file_metadata").select("file_id", detect.extension("file_path").alias("ext"), detect.is_readable("file_path").alias("readable"))
+    return table(s, d, "file_metadata").select("file_id", detect.file_extension("file_path").alias("ext"), detect.is_readable("file_path").alias("readable"))
 
 
 @query("""WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, line_count DESC) rn FROM file_metadata) WHERE rn = 1),
@@ -89,10 +106,10 @@ def src_running_bytes(s, d):
     return lines.running_bytes(table(s, d, "file_metadata"), 100_000)
 
 
-@query(f"""WITH {FILES}, p AS (SELECT repo_id, string_split(file_path, '/') AS s FROM files), e AS (SELECT repo_id, s, unnest(generate_series(1, len(s)))::INT AS depth FROM p)
+@query(f"""WITH {PATHS}, p AS (SELECT repo_id, string_split(file_path, '/') AS s FROM paths), e AS (SELECT repo_id, s, unnest(generate_series(1, len(s)))::INT AS depth FROM p)
   SELECT DISTINCT repo_id, array_to_string(s[1:depth], '/') AS path, array_to_string(s[1:depth-1], '/') AS parent, s[depth] AS name, CASE WHEN depth = len(s) THEN 'file' ELSE 'directory' END AS node_type, depth FROM e""")
 def src_tree(s, d):
-    return lines.tree_of(_files(s, d))
+    return lines.tree_of(_paths(s, d))
 
 
 @query("""SELECT repo_id, nullif(regexp_extract(u, '^(?:https?://)?(?:www\\.)?[\\w.-]+/([\\w.-]+)/([\\w.-]+?)(?:\\.git)?(?:/.*)?$', 1), '') AS owner,
@@ -108,7 +125,7 @@ def src_url_parse(s, d):
 
 @query(f"WITH {LINES} SELECT file_id, line_no, instr(lower(line_text), 'returns')::INT AS column_no FROM lines WHERE contains(lower(line_text), 'returns')")
 def prj_grep(s, d):
-    return lines.grep(_lines(s, d), "Returns")
+    return lines.grep_files(table(s, d, "km_files"), "Returns")
 
 
 @query(f"""WITH {LINES}, h AS (SELECT repo_id, file_id, line_no, row_number() OVER (PARTITION BY repo_id ORDER BY file_id, line_no) AS r FROM lines
@@ -118,14 +135,20 @@ def prj_error_sites(s, d):
     return lines.first_hits(hits.select("repo_id", "file_id", "line_no"), "repo_id", 3, ["file_id", "line_no"])
 
 
-_REGISTRY_SQL = "(VALUES " + ", ".join(f"('{e}', '{n}', '{c}')" for e, n, c in detect.REGISTRY) + ") AS g(ext, language, category)"
+_REGISTRY_SQL = """(VALUES ('py', 'Python', 'source'), ('pyi', 'Python', 'source'), ('pyw', 'Python', 'source'), ('ts', 'TypeScript', 'source'), ('tsx', 'TSX', 'source'), ('js', 'JavaScript', 'source'), ('mjs', 'JavaScript', 'source'), ('cjs', 'JavaScript', 'source'),
+  ('jsx', 'JavaScript', 'source'), ('java', 'Java', 'source'), ('c', 'C', 'source'), ('h', 'C', 'source'), ('cpp', 'C++', 'source'), ('cc', 'C++', 'source'), ('cxx', 'C++', 'source'), ('hpp', 'C++', 'source'), ('hh', 'C++', 'source'), ('cs', 'C#', 'source'), ('go', 'Go', 'source'),
+  ('rs', 'Rust', 'source'), ('html', 'HTML', 'source'), ('htm', 'HTML', 'source'), ('css', 'CSS', 'source'), ('scss', 'SCSS', 'source'), ('sass', 'SCSS', 'source'), ('sql', 'SQL', 'source'), ('sh', 'Shell', 'source'), ('bash', 'Shell', 'source'), ('zsh', 'Shell', 'source'),
+  ('csv', 'CSV', 'data'), ('tsv', 'CSV', 'data'), ('ipynb', 'Jupyter Notebook', 'data'), ('md', 'Markdown', 'documentation'), ('markdown', 'Markdown', 'documentation'), ('yaml', 'YAML', 'configuration'), ('yml', 'YAML', 'configuration'), ('json', 'JSON', 'configuration'),
+  ('xml', 'XML', 'configuration'), ('svg', 'XML', 'configuration')) AS g(ext, language, category)"""
+_BINARY_SQL = "('png', 'jpg', 'jpeg', 'gif', 'ico', 'webp', 'pdf', 'zip', 'tar', 'gz', 'exe', 'dll', 'so', 'dylib', 'bin', 'pyc', 'pyo', 'pyd', 'db', 'sqlite', 'woff', 'woff2', 'ttf', 'eot', 'wasm', 'parquet', 'feather')"
+_DETECTED = f"""det AS (SELECT f.*, CASE WHEN lower({_NAME_SQL}) = 'dockerfile' THEN 'Dockerfile' ELSE coalesce(g.language, CASE WHEN {_EXT_SQL} IN {_BINARY_SQL} THEN 'Binary' ELSE 'Text' END) END AS detected,
+  CASE WHEN lower({_NAME_SQL}) = 'dockerfile' THEN 'configuration' WHEN {_EXT_SQL} = 'json' AND regexp_matches(file_path, '/(data|datasets|records)/|\\.(dataset|records)\\.json$') THEN 'data' ELSE coalesce(g.category, CASE WHEN {_EXT_SQL} IN {_BINARY_SQL} THEN 'binary' ELSE 'unknown' END) END AS category,
+  {_EXT_SQL} IN {_BINARY_SQL} AS is_binary FROM {{0}} f LEFT JOIN {_REGISTRY_SQL} ON {_EXT_SQL} = g.ext)"""
 
 
-@query(f"""WITH {FILES} SELECT file_id, CASE WHEN lower(file_path) LIKE '%dockerfile' THEN 'Dockerfile' ELSE coalesce(g.language, 'Text') END AS detected,
-  CASE WHEN lower(file_path) LIKE '%dockerfile' THEN 'configuration' WHEN f.ext = 'json' AND (regexp_matches(lower('/' || file_path), '/(data|datasets|records)/') OR regexp_matches(lower(file_path), '\\.(dataset|records)\\.json$')) THEN 'data' ELSE coalesce(g.category, 'unknown') END AS category,
-  f.ext IN ('png', 'jpg', 'gif', 'ico', 'woff', 'woff2', 'ttf', 'zip', 'pdf') AS is_binary FROM exts f LEFT JOIN {_REGISTRY_SQL} ON f.ext = g.ext""")
+@query(f"WITH {PATHS}, {_DETECTED.format('paths')} SELECT file_id, detected, category, is_binary FROM det")
 def prj_language(s, d):
-    return detect.detect_language("file_path", detect.registry(s), _files(s, d)).select("file_id", "detected", "category", "is_binary")
+    return detect.detect_language("file_path", detect.registry(s), _paths(s, d)).select("file_id", "detected", "category", "is_binary")
 
 
 _KIND_SQL = """CASE WHEN ext IN ('png','jpg','jpeg','gif','svg','ico','woff','woff2','ttf') THEN 'asset' WHEN regexp_matches(lower(file_path), '(^|/)(tests?|__tests__|spec)/|(^|/)test_|_test\\.|\\.test\\.|\\.spec\\.') THEN 'test'
@@ -135,14 +158,14 @@ _KIND_SQL = """CASE WHEN ext IN ('png','jpg','jpeg','gif','svg','ico','woff','wo
 
 @query(f"WITH {FILES} SELECT file_id, {_KIND_SQL} AS file_kind FROM exts")
 def prj_file_type(s, d):
-    return _files(s, d).select("file_id", detect.knowledge_type("file_path").alias("file_kind"))
+    return _paths(s, d).select("file_id", detect.knowledge_type("file_path").alias("file_kind"))
 
 
 @query(f"""WITH {FILES}, k AS (SELECT *, {_KIND_SQL} AS kind FROM exts) SELECT repo_id, sum((kind = 'asset')::INT)::BIGINT AS is_asset, sum((kind = 'documentation')::INT)::BIGINT AS is_doc, sum((kind = 'config')::INT)::BIGINT AS is_config,
   sum(regexp_matches(lower(file_path), '(^|/)tests?/|_test\\.|\\.test\\.')::INT)::BIGINT AS is_test, sum(regexp_matches(lower(file_path), '(^|/)(main|index|app|server|cli)\\.[a-z]+$')::INT)::BIGINT AS is_entry_point,
   sum((ext IN ('py','js','ts','java','go'))::INT)::BIGINT AS is_source FROM k GROUP BY 1""")
 def prj_modal_flags(s, d):
-    flags = _files(s, d).select("repo_id", *detect.modal_flags("file_path"))
+    flags = _paths(s, d).select("repo_id", *detect.modal_flags("file_path"))
     return flags.groupBy("repo_id").agg(*[F.count_if(c).alias(c) for c in flags.columns[1:]])
 
 
@@ -154,8 +177,8 @@ def prj_clean_symbol(s, d):
     return _symbols(s, d).select("symbol_id", text.clean_symbol(F.concat(F.lit("the `"), "symbol_name", F.lit("()` "), "symbol_kind")).alias("cleaned"))
 
 
-_SINGULAR_SQL = """CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND (w LIKE '%sses' OR w LIKE '%ches' OR w LIKE '%shes' OR w LIKE '%xes') THEN substr(w, 1, length(w) - 2)
-  WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN substr(w, 1, length(w) - 1) ELSE w END"""
+_SINGULAR_SQL = """CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN substr(w, 1, length(w) - 3) || 'y' WHEN w LIKE '%sses' OR w LIKE '%ches' OR w LIKE '%shes' OR w LIKE '%xes' THEN substr(w, 1, length(w) - 2)
+  WHEN length(w) > 2 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' THEN substr(w, 1, length(w) - 1) ELSE w END"""
 
 
 @query(f"WITH {SYMBOLS}, n AS (SELECT DISTINCT lower(symbol_name) AS w FROM symbols WHERE symbol_kind = 'collection') SELECT w AS noun, {_SINGULAR_SQL} AS singular_noun FROM n")
@@ -300,7 +323,7 @@ def ext_doc_sections(s, d):
   be AS (SELECT file_id, line_no, source_module, arg_min(CASE WHEN found THEN candidate END, CASE WHEN found THEN prio ELSE 99 END) FILTER (WHERE found) AS r FROM hi GROUP BY 1, 2, 3)
   SELECT file_id, line_no, source_module, CASE WHEN starts_with(source_module, '.') THEN r END AS resolved_path, CASE WHEN NOT starts_with(source_module, '.') THEN 'external' WHEN r IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM be""")
 def ext_module_resolve(s, d):
-    return structure.resolve_modules(structure.imports_of(_lines(s, d)), _files(s, d))
+    return structure.resolve_modules(structure.imports_of(_lines(s, d)), _paths(s, d))
 
 
 @query(f"""WITH {LINES}, k AS (SELECT *, length(line_text) - length(regexp_replace(line_text, '^[ \\t]+', '')) AS i, max(line_no) OVER (PARTITION BY file_id) AS last_line FROM lines WHERE ext = 'py' AND regexp_matches(line_text, '\\S')),
@@ -380,7 +403,7 @@ def join_callees_fallback(s, d):
   i AS (SELECT DISTINCT repo_id, file_id, regexp_extract(source_module, '([^./]+)$', 1) AS stem FROM imports) SELECT t.target_id, count(DISTINCT i.file_id) AS n_importers FROM t JOIN i USING (repo_id, stem) GROUP BY 1""")
 def join_imported_by(s, d):
     stem = F.regexp_replace(detect.basename("file_path"), r"\.[^.]+$", "")
-    t = _files(s, d).select("repo_id", F.col("file_id").alias("target_id"), stem.alias("stem")).distinct()
+    t = _paths(s, d).select("repo_id", F.col("file_id").alias("target_id"), stem.alias("stem")).distinct()
     i = structure.imports_of(_lines(s, d)).select("repo_id", "file_id", F.regexp_extract("source_module", r"([^./]+)$", 1).alias("stem")).distinct()
     return t.join(i, ["repo_id", "stem"]).groupBy("target_id").agg(F.countDistinct("file_id").alias("n_importers"))
 
@@ -397,6 +420,107 @@ def join_references_union(s, d):
     return every.groupBy(*cols[:4]).agg(F.min_by("ref_type", "prio").alias("ref_type"))
 
 
+_SCRIPTS = "ext IN ('js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx')"
+_IMPORT_RULES = [
+    ("ext IN ('py', 'pyi')", r"^\s*from\s+([\w.]+)\s+import\s+\(?([^)#]+)", 1, 2, "from"), ("ext IN ('py', 'pyi')", r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)\s*$", 0, 1, "module"),
+    (_SCRIPTS, r"^\s*import\s+(?:type\s+)?(?:\w+\s*,\s*)?\{([^}]+)\}\s*from\s*[''\"]([^''\"]+)[''\"]", 2, 1, "named"), (_SCRIPTS, r"^\s*import\s+(\w+)\s*(?:,\s*\{[^}]*\}\s*)?from\s*[''\"]([^''\"]+)[''\"]", 2, 1, "default"),
+    (_SCRIPTS, r"^\s*import\s+\*\s+as\s+(\w+)\s+from\s*[''\"]([^''\"]+)[''\"]", 2, 1, "namespace"), (_SCRIPTS, r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\(\s*[''\"]([^''\"]+)[''\"]", 2, 1, "commonjs"),
+    (_SCRIPTS, r"(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*[''\"]([^''\"]+)[''\"]", 2, 1, "commonjs"), ("ext = 'java'", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", 0, 1, "module"),
+]
+_IMPORTED = "im AS (" + " UNION ALL ".join(
+    f"SELECT file_id, repo_id, file_path, line_no, '{kind}' AS import_type, {str(not module).lower()} AS whole, regexp_extract(line_text, '{p}', {module or names}) AS module, unnest(string_split(regexp_extract(line_text, '{p}', {names}), ',')) AS part FROM lines WHERE {where} AND regexp_matches(line_text, '{p}')"
+    for where, p, module, names, kind in _IMPORT_RULES
+) + r"""), ip AS (SELECT *, regexp_replace(regexp_replace(part, '^\s+|\s+$', '', 'g'), '^type\s+', '') AS p FROM im),
+allimports AS (SELECT file_id, repo_id, file_path, line_no, CASE WHEN whole THEN regexp_extract(p, '^([\w.*$]+)', 1) ELSE module END AS source_module, regexp_extract(p, '^([\w.*$]+)', 1) AS imported_name, nullif(regexp_extract(p, '(?:\s+as\s+|\s*:\s*)(\w+)$', 1), '') AS alias, import_type FROM ip WHERE regexp_extract(p, '^([\w.*$]+)', 1) <> '')"""
+_EXPORTED = r"""ex AS (SELECT *, regexp_extract(line_text, '^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)', 1) AS one, regexp_extract(line_text, '^\s*export\s*\{([^}]*)\}', 1) AS listed FROM lines WHERE ext IN ('js', 'jsx', 'mjs', 'ts', 'tsx') AND regexp_matches(line_text, '^\s*export\b')),
+exported AS (SELECT file_id, repo_id, line_no, one AS exported_name FROM ex WHERE one <> '' UNION ALL SELECT file_id, repo_id, line_no, regexp_extract(x, '(\w+)\s*$', 1) FROM (SELECT *, unnest(string_split(listed, ',')) AS x FROM ex) WHERE trim(x) <> '')"""
+_BASES = r"""ba AS (SELECT file_id, repo_id, line_no, CASE WHEN ext = 'py' THEN regexp_extract(line_text, '^\s*class\s+(\w+)\(([^)]*)\)', 1) ELSE regexp_extract(line_text, '\bclass\s+(\w+)\b[^{]*?\b(?:extends|implements)\s+([\w., ]+)', 1) END AS class_name,
+  unnest(regexp_split_to_array(CASE WHEN ext = 'py' THEN regexp_extract(line_text, '^\s*class\s+(\w+)\(([^)]*)\)', 2) ELSE regexp_extract(line_text, '\bclass\s+(\w+)\b[^{]*?\b(?:extends|implements)\s+([\w., ]+)', 2) END, '[,\s]+')) AS b FROM lines
+  WHERE (ext = 'py' AND regexp_matches(line_text, '^\s*class\s+(\w+)\(([^)]*)\)')) OR (ext IN ('js', 'ts', 'java') AND regexp_matches(line_text, '\bclass\s+(\w+)\b[^{]*?\b(?:extends|implements)\s+([\w., ]+)'))),
+bases AS (SELECT DISTINCT file_id, repo_id, line_no, class_name, regexp_extract(b, '(\w+)$', 1) AS base_name FROM ba WHERE regexp_extract(b, '(\w+)$', 1) NOT IN ('', 'extends', 'implements') AND NOT contains(b, '='))"""
+_MEMBERS = """mo AS (SELECT *, last_value(CASE WHEN symbol_kind = 'class' THEN symbol_name END IGNORE NULLS) OVER w AS class_name, last_value(CASE WHEN symbol_kind = 'class' THEN end_line END IGNORE NULLS) OVER w AS class_end FROM symbols WHERE symbol_kind IN ('class', 'method') AND start_line IS NOT NULL
+  WINDOW w AS (PARTITION BY file_id ORDER BY start_line, CASE WHEN symbol_kind = 'class' THEN 0 ELSE 1 END, symbol_id ROWS UNBOUNDED PRECEDING)), members AS (SELECT repo_id, file_id, class_name, symbol_name, symbol_id FROM mo WHERE symbol_kind = 'method' AND class_end >= start_line)"""
+
+
+@query(f"WITH {LINES}, {_IMPORTED} SELECT file_id, line_no, source_module, imported_name, alias, import_type FROM allimports")
+def ext_imports_all(s, d):
+    """Imports of every form; ``ext_imports`` stays at what its SQL states."""
+    return structure.all_imports(_lines(s, d)).select("file_id", "line_no", "source_module", "imported_name", "alias", "import_type")
+
+
+@query(f"WITH {LINES}, {_EXPORTED} SELECT file_id, line_no, exported_name FROM exported")
+def ext_exports(s, d):
+    return structure.exports_of(_lines(s, d)).select("file_id", "line_no", "exported_name")
+
+
+@query(f"WITH {LINES}, {_BASES} SELECT file_id, line_no, class_name, base_name FROM bases")
+def join_inheritance(s, d):
+    """Classes and what they extend or implement."""
+    return structure.bases_of(_lines(s, d)).select("file_id", "line_no", "class_name", "base_name")
+
+
+@query(f"WITH {SYMBOLS}, {_MEMBERS} SELECT file_id, class_name, symbol_id FROM members")
+def join_class_members(s, d):
+    """Methods and their class."""
+    return structure.class_members(_symbols(s, d)).select("file_id", "class_name", "symbol_id")
+
+
+_CODE_SQL = "ext IN ('py', 'js', 'ts', 'java', 'go')"
+_DEFINING = r"NOT regexp_matches(line_text, '\b(?:def|function|func|class|interface)\s')"
+_MENTION_RULES = [
+    ("class_instantiation", 1, f"{_CODE_SQL} AND {_DEFINING}", r"([A-Za-z_]\w*)\(", "'class'"), ("function_call", 3, f"{_CODE_SQL} AND {_DEFINING}", r"([A-Za-z_]\w*)\(", "'function', 'method'"),
+    ("type_hint", 6, "ext IN ('py', 'ts')", r"(?::|->)\s*(?:[A-Za-z_]\w*\[)?([A-Za-z_]\w*)", "'class', 'interface'"), ("variable_usage", 7, f"{_CODE_SQL} AND {_DEFINING}", r"([A-Za-z_]\w*)", "'collection'"),
+    ("attribute_reference", 8, _CODE_SQL, r"\.([A-Za-z_]\w*)(?:[^\w(]|$)", "'function', 'method', 'class', 'collection'"), ("doc_mention", 9, "ext IN ('md', 'rst', 'txt')", r"([A-Za-z_]\w{3,})", "'function', 'method', 'class', 'interface', 'collection'"),
+]
+_REFERENCES = "un AS (" + " UNION ALL ".join(
+    f"SELECT m.repo_id, lower(m.n) AS name, file_id, line_no, '{kind}' AS ref_type, {priority} AS priority FROM (SELECT repo_id, file_id, line_no, unnest(list_distinct(regexp_extract_all(line_text, '{p}', 1))) AS n FROM lines WHERE {where}) m WHERE EXISTS (SELECT 1 FROM symbols k WHERE k.repo_id = m.repo_id AND k.symbol_name = m.n AND k.symbol_kind IN ({kinds}))"
+    for kind, priority, where, p, kinds in _MENTION_RULES
+) + "".join(
+    f" UNION ALL SELECT t.repo_id, lower(regexp_extract({c}, '(\\w+)$', 1)), file_id, line_no, '{kind}', {priority} FROM {source} t WHERE EXISTS (SELECT 1 FROM symbols k WHERE k.repo_id = t.repo_id AND lower(k.symbol_name) = lower(regexp_extract({c}, '(\\w+)$', 1)))"
+    for source, c, kind, priority in (("bases", "base_name", "class_inheritance", 2), ("allimports", "imported_name", "import", 4), ("exported", "exported_name", "export", 5))
+) + ")"
+
+
+@query(f"WITH {LINES}, {SYMBOLS}, {_IMPORTED}, {_EXPORTED}, {_BASES}, {_REFERENCES} SELECT DISTINCT repo_id, name, file_id, line_no, ref_type, priority FROM un")
+def join_references(s, d):
+    """References of all kinds to every symbol; ``join_references_union`` stays at what its SQL states."""
+    return structure.references(_lines(s, d), _symbols(s, d))
+
+
+@query(f"WITH {LINES}, {SYMBOLS}, {_IMPORTED}, {_EXPORTED}, {_BASES}, {_REFERENCES}, r AS (SELECT DISTINCT repo_id, name, file_id, line_no, ref_type FROM un) SELECT repo_id, ref_type, count(*) AS n_references, count(DISTINCT file_id) AS n_files FROM r GROUP BY 1, 2")
+def agg_references_by_type(s, d):
+    r = structure.references(_lines(s, d), _symbols(s, d))
+    return r.groupBy("repo_id", "ref_type").agg(F.count("*").alias("n_references"), F.countDistinct("file_id").alias("n_files"))
+
+
+_QUALIFIED = """qn AS (SELECT DISTINCT file_id, symbol_name, min(class_name) AS class_name FROM members GROUP BY 1, 2), qc AS (SELECT c.repo_id, coalesce(q.class_name || '.' || c.caller, c.caller) AS caller, c.callee FROM calls c LEFT JOIN qn q ON q.file_id = c.file_id AND q.symbol_name = c.caller WHERE c.caller IS NOT NULL)"""
+
+
+@query(f"""WITH {CALLS}, {_MEMBERS}, {_QUALIFIED}, a AS (SELECT DISTINCT repo_id, symbol_name AS asked FROM symbols WHERE symbol_kind IN ('function', 'method')), x AS (SELECT DISTINCT a.repo_id, asked, callee, 'exact' AS how FROM a JOIN qc ON qc.repo_id = a.repo_id AND lower(qc.caller) = lower(asked)),
+  f AS (SELECT DISTINCT a.repo_id, asked, callee, 'suffix' AS how FROM a JOIN qc ON qc.repo_id = a.repo_id AND lower(regexp_extract(qc.caller, '([^.]+)$', 1)) = lower(asked) AND contains(qc.caller, '.')) SELECT * FROM x UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo_id = f.repo_id AND x.asked = f.asked)""")
+def join_callees_suffix(s, d):
+    """Callees of every function and method: those of the caller of that name, or where there are none, of callers that are methods of
+    that name (``Class.name``)."""
+    sy = _symbols(s, d)
+    classes = structure.class_members(sy).groupBy("file_id", F.col("symbol_name").alias("caller")).agg(F.min("class_name").alias("class_name"))
+    calls = _calls(s, d).filter("caller is not null").join(classes, ["file_id", "caller"], "left")
+    calls = calls.select("repo_id", F.lower(F.when(F.col("class_name").isNull(), F.col("caller"))).alias("exact"), F.lower("caller").alias("last"), "class_name", "callee").distinct()
+    asked = sy.filter("symbol_kind in ('function', 'method')").select("repo_id", F.col("symbol_name").alias("asked"), F.lower("symbol_name").alias("_n")).distinct()
+    exact = asked.join(calls.withColumn("_n", F.col("exact")), ["repo_id", "_n"]).select("repo_id", "asked", "callee", F.lit("exact").alias("how")).distinct()
+    suffix = asked.join(calls.filter("class_name is not null").withColumn("_n", F.col("last")), ["repo_id", "_n"]).select("repo_id", "asked", "callee", F.lit("suffix").alias("how")).distinct()
+    return structure.first_non_empty(exact, suffix, ["repo_id", "asked"])
+
+
+@query(f"""WITH {CALLS}, {_IMPORTED}, {_EXPORTED}, {_BASES}, {_MEMBERS}, e AS (SELECT repo_id, 'DEFINES' AS edge_kind, concat('file:', file_id) AS src, concat('sym:', symbol_name) AS dst FROM symbols UNION SELECT repo_id, 'CONTAINS', concat('sym:', class_name), concat('sym:', symbol_name) FROM members
+  UNION SELECT repo_id, 'INHERITS', concat('sym:', class_name), concat('sym:', base_name) FROM bases UNION SELECT repo_id, 'IMPORTS', concat('file:', file_id), concat('mod:', source_module) FROM allimports UNION SELECT repo_id, 'EXPORTS', concat('file:', file_id), concat('sym:', exported_name) FROM exported
+  UNION SELECT repo_id, 'CALLS', concat('sym:', caller), concat('sym:', callee) FROM calls WHERE caller IS NOT NULL) SELECT repo_id, edge_kind, count(*) AS n_edges, count(DISTINCT src) AS n_sources FROM e GROUP BY 1, 2""")
+def gra_edges(s, d):
+    """Edges of all six kinds; ``gra_edge_counts`` stays at what its SQL states."""
+    y, x = _symbols(s, d), _lines(s, d)
+    e = graph.typed_edges(y, structure.class_members(y), structure.bases_of(x), structure.all_imports(x), structure.exports_of(x), _calls(s, d))
+    return e.groupBy("repo_id", "edge_kind").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
+
+
 @query(f"""WITH {LINES}, {SYMBOLS}, h AS (SELECT file_id, line_no FROM lines WHERE regexp_matches(line_text, '\\b(raise|throw|return)\\b')), j AS (SELECT h.file_id, h.line_no, arg_max(s.symbol_name, s.start_line * 1000000 - s.symbol_id % 1000000) AS scope_name FROM h JOIN symbols s ON s.file_id = h.file_id AND h.line_no BETWEEN s.start_line AND s.end_line AND s.symbol_kind IN ('function', 'method') GROUP BY 1, 2)
   SELECT file_id, scope_name, count(*) AS n_lines FROM j GROUP BY 1, 2""")
 def join_enclosing_scope(s, d):
@@ -417,7 +541,7 @@ def join_enrich_anti(s, d):
 @query(f"""WITH {FILES}, c AS (SELECT DISTINCT chunk_id, file_id, start_line, end_line FROM chunks) SELECT chunk_id, CASE WHEN f.file_lines IS NULL THEN 'fabricated' WHEN start_line < 1 OR end_line < start_line OR end_line > len(f.file_lines) THEN 'unsupported' ELSE 'grounded' END AS status FROM c LEFT JOIN files f USING (file_id)""")
 def join_grounding(s, d):
     c = table(s, d, "chunks").select("chunk_id", "file_id", "start_line", "end_line").distinct()
-    return evaluate.grounding(c, _files(s, d)).select("chunk_id", "status")
+    return evaluate.grounding(c, _line_counts(s, d)).select("chunk_id", "status")
 
 
 @query(f"""WITH {FILES}, {SYMBOLS}, b AS (SELECT file_id, len(file_lines) AS n, unnest(generate_series(0, len(file_lines) - 1, 30)) AS i FROM files WHERE len(file_lines) > 0), r AS (SELECT file_id, i + 1 AS s, least(i + 35, n) AS e FROM b)
@@ -432,15 +556,33 @@ def join_relevance_range(s, d):
 # ------------------------------------------------------------------------------------------- aggregates
 
 
-@query()
+_TRIMMED = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+_FOLD = """list_reduce(list_prepend({'t': '', 'close': '', 'comment': 0, 'code': 0}, list_transform(t, lambda x: {'t': x, 'close': '', 'comment': 0, 'code': 0})), lambda a, x: CASE
+  WHEN x.t = '' THEN {'t': '', 'close': a.close, 'comment': a.comment, 'code': a.code}
+  WHEN a.close <> '' THEN {'t': '', 'close': CASE WHEN contains(x.t, a.close) THEN '' ELSE a.close END, 'comment': a.comment + 1, 'code': a.code}
+  WHEN len(list_filter(marks, lambda m: starts_with(x.t, m))) > 0 THEN {'t': '', 'close': '', 'comment': a.comment + 1, 'code': a.code}
+  WHEN len(list_filter(pairs, lambda p: starts_with(x.t, p[1]))) > 0 THEN {'t': '', 'close': CASE WHEN contains(substr(x.t, length(list_filter(pairs, lambda p: starts_with(x.t, p[1]))[1][1]) + 1), list_filter(pairs, lambda p: starts_with(x.t, p[1]))[1][2]) THEN ''
+    ELSE list_filter(pairs, lambda p: starts_with(x.t, p[1]))[1][2] END, 'comment': a.comment + 1, 'code': a.code}
+  ELSE {'t': '', 'close': '', 'comment': a.comment, 'code': a.code + 1} END)"""
+
+
+@query(f"""WITH {FILES}, {_DETECTED.format('files')}, mk AS (SELECT file_id, repo_id, detected, category, list_transform(file_lines, lambda x: {_TRIMMED}) AS t,
+  CASE WHEN detected IN ('Python', 'Shell', 'YAML', 'Dockerfile') THEN ['#'] WHEN detected IN ('TypeScript', 'TSX', 'JavaScript', 'Java', 'C', 'C++', 'C#', 'Go', 'Rust', 'SCSS') THEN ['//'] WHEN detected = 'SQL' THEN ['--'] ELSE []::VARCHAR[] END AS marks,
+  CASE WHEN detected = 'Python' THEN [['\"\"\"', '\"\"\"'], ['\'\'\'\'\'\'', '\'\'\'\'\'\'']] WHEN detected = 'TSX' THEN [['/*', '*/'], ['{{/*', '*/}}']] WHEN detected IN ('TypeScript', 'JavaScript', 'Java', 'C', 'C++', 'C#', 'Go', 'Rust', 'CSS', 'SCSS', 'SQL') THEN [['/*', '*/']]
+  WHEN detected IN ('HTML', 'XML') THEN [['<!--', '-->']] ELSE []::VARCHAR[][] END AS pairs FROM det),
+  fo AS (SELECT *, len(list_filter(t, lambda x: x = ''))::INT AS blank_lines, CASE WHEN category = 'source' THEN {_FOLD} ELSE {{'t': '', 'close': '', 'comment': len(list_filter(t, lambda x: len(list_filter(marks, lambda m: starts_with(x, m))) > 0)), 'code': 0}} END AS c FROM mk)
+  SELECT file_id, repo_id, detected, blank_lines, c.comment::INT AS comment_lines, c.code::INT AS code_lines, (CASE WHEN category = 'data' THEN len(t) - blank_lines - c.comment ELSE 0 END)::INT AS data_lines,
+  (CASE WHEN category = 'configuration' THEN len(t) - blank_lines - c.comment ELSE 0 END)::INT AS config_lines, (CASE WHEN category IN ('documentation', 'unknown', 'binary') THEN len(t) - blank_lines - c.comment ELSE 0 END)::INT AS documentation_lines FROM fo""")
 def agg_line_categories(s, d):
     return lines.line_categories(_files(s, d))
 
 
 @query(f"""WITH {LINES} SELECT file_id, count_if(regexp_matches(line_text, '^\\s*$'))::BIGINT AS blank_lines, count_if(regexp_matches(line_text, '^\\s*#'))::BIGINT AS comment_lines, count_if(NOT regexp_matches(line_text, '^\\s*$') AND NOT regexp_matches(line_text, '^\\s*#'))::BIGINT AS other_lines FROM lines WHERE ext IN ('py','sh','yaml','yml','toml','env') GROUP BY 1""")
 def agg_line_categories_hash(s, d):
-    f = _files(s, d).filter(detect.extension("file_path").isin("py", "sh", "yaml", "yml", "toml", "env") & (F.size("file_lines") > 0))
-    return lines.line_categories(f).select("file_id", *[F.col(c).cast("long").alias(c) for c in ("blank_lines", "comment_lines", "other_lines")])
+    k = table(s, d, "km_files").filter(detect.extension("file_path").isin("py", "sh", "yaml", "yml", "toml", "env") & (F.size("file_lines") > 0))
+    of = lambda pattern: F.size(F.filter("file_lines", lambda x: x.rlike(pattern))).cast("long")
+    blank, comment = of(r"^\s*$"), of(r"^\s*#")
+    return lines.latest_files(k, blank_lines=blank, comment_lines=comment, other_lines=F.size("file_lines") - blank - comment)
 
 
 _META = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ingested_at DESC, line_count DESC) AS rn FROM file_metadata) WHERE rn = 1)"
@@ -539,17 +681,25 @@ def ret_djb2(s, d):
     return table(s, d, "km_symbols").filter("symbol_name <> ''").select("symbol_name", text.djb2("symbol_name").alias("hash")).distinct()
 
 
-_CONCEPT_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, (_, terms) in enumerate(retrieval.CONCEPTS) for t in terms) + ") AS c(c, token)"
+_TERMS_SQL = """['auth login token jwt verify password credential mfa authenticate bearer session oauth', 'database connection db db_url sql query table store repository connect schema entity',
+  'middleware request response headers dispatch authorization handler route api http fetch axios endpoint', 'predict prediction model inference dataset features train classifier regression estimator calculate',
+  'crypto hash salt hmac sha256 secret signature sign digest encrypt decrypt', 'device bluetooth hub settings deeplink pairing hardware beacon adapter sensor peripheral', 'error exception catch raise try throw fault fail fallback validationerror reject',
+  'audit log security_event logging logger trace events monitor record debug console', 'config settings env environment debug host port url parameter options constants', 'async await promise then observable stream event emit listen subscribe channel',
+  'load read csv parse json dataset records file stream import_data serialize', 'init initialize bootstrap startup main start lifecycle setup index app', 'class base inherit subclass mixin constructor prototype extends implements interface',
+  'call caller callee calls invoke execute run pipeline dispatch forward', 'user username account profile role scopes permissions admin tenant member', 'validate_token validate validation check valid expiry authentic assert verify schema']"""
+_EMBEDDED = f"""w AS (SELECT key, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9_]+'), lambda x: length(x) > 1)) AS token FROM i), c AS (SELECT key, token, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+  g AS (SELECT key, n, unnest(list_transform(generate_series(1, length(token) - 2), lambda k: substr(token, k, 3))) AS g FROM c WHERE length(token) >= 3), cn AS (SELECT unnest(generate_series(0, 15)) AS c, unnest({_TERMS_SQL}) AS terms), ct AS (SELECT c, unnest(string_split(terms, ' ')) AS term FROM cn),
+  tk AS (SELECT key, lower(t) AS low, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9_]+'), lambda x: length(x) > 1) AS tokens FROM i),
+  m AS (SELECT key, c, sum(CASE WHEN list_contains(tokens, term) THEN 2e0 ELSE 1e0 END) AS m FROM tk JOIN ct ON list_contains(tokens, term) OR contains(low, term) GROUP BY 1, 2),
+  u AS (SELECT key, ({_DJB.format('token')} % 48)::INT AS dim, n AS w FROM c UNION ALL SELECT key, (48 + {_DJB.format('g')} % 48)::INT, n * 0.5e0 FROM g UNION ALL SELECT key, (96 + c * 2)::INT, m FROM m UNION ALL SELECT key, (97 + c * 2)::INT, ln(1 + m) FROM m),
+  s AS (SELECT key, dim, sum(w) AS w FROM u GROUP BY 1, 2), z AS (SELECT key, sqrt(sum(w * w)) AS z FROM s GROUP BY 1), em AS (SELECT key, dim, round(w / z, 6) AS weight FROM s JOIN z USING (key))"""
 
 
-@query(f"""WITH i AS (SELECT DISTINCT symbol_name AS name FROM km_symbols), w AS (SELECT name, unnest(list_distinct({_VOC.format('name')})) AS token FROM i), c AS (SELECT name, token, count(*)::DOUBLE AS n FROM (SELECT name, token FROM w) GROUP BY 1, 2),
-  g AS (SELECT name, n, unnest(list_transform(generate_series(1, length(token) - 2), lambda k: substr(token, k, 3))) AS g FROM c WHERE length(token) >= 3), m AS (SELECT name, k.c, 2 * sum(n) AS m FROM c JOIN {_CONCEPT_SQL.replace('AS c(c, token)', 'AS k(c, token)')} USING (token) GROUP BY 1, 2),
-  u AS (SELECT name, ({_DJB.format('token')} % 48)::INT AS dim, n AS w FROM c UNION ALL SELECT name, (48 + {_DJB.format('g')} % 48)::INT, n * 0.5e0 FROM g UNION ALL SELECT name, (96 + c * 2)::INT, m FROM m UNION ALL SELECT name, (97 + c * 2)::INT, ln(1 + m) FROM m),
-  s AS (SELECT name, dim, sum(w) AS w FROM u GROUP BY 1, 2), z AS (SELECT name, sqrt(sum(w * w)) AS z FROM s GROUP BY 1) SELECT name, dim, round(w / z, 6) AS weight FROM s JOIN z USING (name)""")
+@query(f"""WITH i AS (SELECT DISTINCT symbol_name AS key, array_to_string(list_distinct_in_order, ' ') AS t FROM (SELECT symbol_name, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(symbol_name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[_\\-./\\\\:@#\\s]+', ' ', 'g')), ' +'), lambda x: length(x) > 1) AS list_distinct_in_order FROM km_symbols)), {_EMBEDDED} SELECT key AS name, dim, weight FROM em""")
 def ret_embed_local(s, d):
+    """The words of symbol names, each as often as it occurs."""
     names = table(s, d, "km_symbols").select(F.col("symbol_name").alias("name")).distinct()
-    items = names.select("name", F.array_join(text.vocabulary_tokens("name"), " ").alias("t"))
-    return retrieval.embed(items, "name", "t")
+    return retrieval.embed(names.select("name", text.spaced_words("name").alias("t")), "name", "t")
 
 
 _COS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, least(1, list_dot_product(q.v, e.v))), 6) AS score FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
@@ -575,6 +725,64 @@ def ret_hybrid(s, d):
     return retrieval.fuse(semantic, _bm25(s, d, 15).select("query_id", "doc_id", "score"), "doc_id").select("query_id", "doc_id", "total", "match_type", "rank")
 
 
+_CHUNKS = """it AS (SELECT chunk_id, repo_id, lower(file_path) AS path, lower(file_language) AS language, lower(coalesce(symbol_name, '')) AS symbol, concat_ws(' ', file_path, symbol_name, docstring, source_text) AS lexical_text, concat_ws(' ', symbol_name, docstring, left(source_text, 300)) AS semantic_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS rn FROM chunks) WHERE rn = 1), qs AS (SELECT symbol_id AS query_id, symbol_name AS query_text FROM symbols WHERE symbol_id % 20 = 0)"""
+_CHUNK_BM25 = _CHUNKS + f""", w AS (SELECT chunk_id, unnest({_TOK.format('lexical_text')}) AS term FROM it), tf AS (SELECT chunk_id, term, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), qw AS (SELECT query_id, unnest({_TOK.format('query_text')}) AS term FROM qs), qf AS (SELECT query_id, term, count(*) AS qf FROM qw GROUP BY 1, 2),
+  rw AS (SELECT query_id, tf.chunk_id, round(sum(qf * ln((n.n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf.tf * 2.2e0 / (tf.tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM qf JOIN df USING (term) JOIN tf USING (term) JOIN l ON l.chunk_id = tf.chunk_id, n GROUP BY 1, 2),
+  sc AS (SELECT rw.query_id, rw.chunk_id, symbol <> '' AND (contains(lower(query_text), symbol) OR contains(symbol, lower(query_text))) AS symbol_match,
+    round(score * CASE WHEN symbol <> '' AND (contains(lower(query_text), symbol) OR contains(symbol, lower(query_text))) THEN 1.8e0 ELSE 1e0 END * CASE WHEN contains(path, lower(query_text)) THEN 1.3e0 ELSE 1e0 END, 6) AS score FROM rw JOIN it USING (chunk_id) JOIN qs USING (query_id)),
+  lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM sc)"""
+
+
+def _chunk_queries(s, d):
+    return _symbols(s, d).filter("symbol_id % 20 = 0").select(F.col("symbol_id").alias("query_id"), F.col("symbol_name").alias("query_text"))
+
+
+@query(f"WITH {SYMBOLS}, {_CHUNK_BM25} SELECT query_id, chunk_id, score, symbol_match, rank FROM lx WHERE rank <= 10")
+def ret_chunk_bm25(s, d):
+    """Chunks for the names of every 20th symbol, by boosted BM25."""
+    scored = retrieval.chunk_scores(retrieval.latest_chunks(table(s, d, "chunks")), _chunk_queries(s, d))
+    return retrieval.top_k(scored, "query_id", "chunk_id", "score", 10)
+
+
+_DENSE = "list_transform(generate_series(0, 127), lambda i: coalesce(ws[list_position(ds, i)], 0e0))"
+
+
+def _embedded(source: str) -> str:
+    """The SQL of the embedding over another table of keys and texts."""
+    return f"WITH i AS ({source}), {_EMBEDDED} SELECT key, dim, weight FROM em"
+
+
+_CHUNK_POOLS = f"""{_CHUNK_BM25}, cv AS (SELECT key AS chunk_id, {_DENSE} AS v FROM (SELECT key, list(weight ORDER BY dim) AS ws, list(dim ORDER BY dim) AS ds FROM ({_embedded('SELECT chunk_id AS key, semantic_text AS t FROM it')}) GROUP BY 1)),
+  qv AS (SELECT key AS query_id, {_DENSE} AS v FROM (SELECT key, list(weight ORDER BY dim) AS ws, list(dim ORDER BY dim) AS ds FROM ({_embedded('SELECT query_id AS key, query_text AS t FROM qs')}) GROUP BY 1)),
+  cs AS (SELECT query_id, chunk_id, round(greatest(0, least(1, list_dot_product(qv.v, cv.v))), 6) AS score FROM qv, cv), sm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs),
+  bo AS (SELECT query_id, chunk_id, coalesce(a.score, 0e0) AS semantic, coalesce(least(1e0, b.score / 5), 0e0) AS lexical, CASE WHEN coalesce(symbol_match, false) THEN 1e0 ELSE 0e0 END AS symbol_score FROM (SELECT * FROM sm WHERE rank <= 15 AND score > 0.05) a FULL JOIN (SELECT * FROM lx WHERE rank <= 15) b USING (query_id, chunk_id)),
+  kn AS (SELECT DISTINCT repo_id, lower(symbol_name) AS symbol FROM symbols WHERE symbol_kind IN ('function', 'method', 'class')),
+  ca AS (SELECT bo.*, CASE WHEN language = 'python' AND kn.symbol IS NOT NULL THEN 0.8e0 ELSE 0e0 END AS structural, CASE WHEN contains(path, lower(query_text)) THEN 0.5e0 ELSE 0e0 END AS path_score FROM bo JOIN it USING (chunk_id) JOIN qs USING (query_id) LEFT JOIN kn ON kn.repo_id = it.repo_id AND kn.symbol = it.symbol),
+  fu AS (SELECT preset, query_id, chunk_id, round(semantic * ws + lexical * wl + structural * wt + symbol_score * 0.1e0 + path_score * 0.1e0, 6) AS total,
+    CASE WHEN (semantic > 0.25)::INT + (lexical > 0.25)::INT + (structural > 0.3)::INT >= 2 THEN 'hybrid' WHEN semantic > 0.25 THEN 'semantic' WHEN structural > 0.3 THEN 'structural' WHEN symbol_score > 0 THEN 'symbol' ELSE 'lexical' END AS match_type
+    FROM ca, (VALUES ('hybrid', 0.45e0, 0.25e0, 0.20e0), ('semantic', 0.85e0, 0.10e0, 0.05e0), ('symbol', 0.10e0, 0.60e0, 0.30e0)) AS pr(preset, ws, wl, wt)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY total DESC, chunk_id)::INT AS rank FROM fu WHERE total >= 0.15)"""
+
+
+def _chunk_candidates(s, d):
+    known = _symbols(s, d).filter("symbol_kind in ('function', 'method', 'class')").select("repo_id", F.lower("symbol_name").alias("name"))
+    return retrieval.chunk_candidates(retrieval.latest_chunks(table(s, d, "chunks")), _chunk_queries(s, d), known)
+
+
+@query(f"WITH {SYMBOLS}, {_CHUNK_POOLS} SELECT query_id, chunk_id, total, match_type, rank FROM rk WHERE preset = 'hybrid' AND rank <= 5")
+def ret_chunk_hybrid(s, d):
+    """Chunks for the names of every 20th symbol, by meaning, words, structure, symbol and path together."""
+    return retrieval.fuse_chunks(_chunk_candidates(s, d), ["hybrid"]).drop("preset")
+
+
+@query(f"WITH {SYMBOLS}, {_CHUNK_POOLS} SELECT preset, query_id, chunk_id, total, match_type, rank FROM rk WHERE preset <> 'hybrid' AND rank <= 5")
+def ret_presets(s, d):
+    """The same with the weights of the semantic and of the symbol search."""
+    return retrieval.fuse_chunks(_chunk_candidates(s, d), ["semantic", "symbol"])
+
+
 @query(f"""WITH {SYMBOLS}, v AS (SELECT symbol_id, unnest(list_distinct({_VOC.format('symbol_name')})) AS token FROM symbols) SELECT token, count(*) AS n_symbols FROM v GROUP BY 1""")
 def ret_vocab_build(s, d):
     return _symbols(s, d).select("symbol_id", F.explode(text.vocabulary_tokens("symbol_name")).alias("token")).groupBy("token").agg(F.count("*").alias("n_symbols"))
@@ -609,6 +817,19 @@ def gra_reach_depth(s, d):
     return r.groupBy("source", "hops").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT DISTINCT p_partkey AS src, unnest([(p_partkey * 7 + 3) % n, (p_partkey * 11 + 5) % n]) AS dst FROM part, n), a AS (SELECT p_partkey AS source, (p_partkey * 49 + 24) % n AS target FROM part, n WHERE p_partkey % 20 = 0),
+  r AS (SELECT source, source AS node, [source] AS chain FROM a UNION ALL SELECT r.source, e.dst, list_append(r.chain, e.dst) FROM r JOIN e ON e.src = r.node WHERE len(r.chain) <= 5 AND NOT list_contains(r.chain, e.dst)),
+  h AS (SELECT a.source, a.target, r.chain FROM a JOIN r ON r.source = a.source AND r.node = a.target), k AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(chain), chain) AS rn FROM h)
+  SELECT source, target, (len(chain) - 1)::INT AS hops, array_to_string(chain, ' > ') AS chain FROM k WHERE rn = 1""")
+def gra_chain_path(s, d):
+    """The shortest chain of parts from every 20th part to another that it is asked about, node by node."""
+    p = table(s, d, "part")
+    n = p.count()
+    asked = p.filter("p_partkey % 20 = 0").select(F.lit(0).alias("repo_id"), F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 49 + 24) % n).alias("target"))
+    c = graph.shortest_chains(_part_edges(s, d), asked, 5)
+    return c.select("source", "target", "hops", F.array_join(F.col("chain").cast("array<string>"), " > ").alias("chain"))
+
+
 @query()
 def gra_chain_shortest(s, d):
     sy = _symbols(s, d).filter("symbol_kind in ('function', 'method') and symbol_id % 20 = 0")
@@ -631,6 +852,18 @@ def eval_precision_recall(s, d):
     return evaluate.precision_recall(ranked, truth.drop("want"), [1, 5, 10])
 
 
+_PR = f"""{_COS}, t AS (SELECT q.vec_id AS query_id, (SELECT count(*) FROM embeddings x WHERE x.label = q.label) - 1 AS n FROM embeddings q WHERE q.vec_id % 20 = 0), h AS (SELECT co.query_id, count_if(rank <= 1 AND q.label = v.label) AS h1, count_if(rank <= 5 AND q.label = v.label) AS h5, count_if(rank <= 10 AND q.label = v.label) AS h10
+  FROM co JOIN embeddings q ON q.vec_id = co.query_id JOIN embeddings v ON v.vec_id = co.vec_id WHERE rank <= 10 GROUP BY 1)"""
+
+
+@query(f"""WITH {_PR} SELECT count(*) AS n_queries, round(avg(coalesce(h1, 0) / 1e0), 4) AS precision_1, round(avg(coalesce(h5, 0) / 5e0), 4) AS precision_5, round(avg(coalesce(h10, 0) / 10e0), 4) AS precision_10, round(avg(coalesce(h1, 0)::DOUBLE / n), 4) AS recall_1, round(avg(coalesce(h5, 0)::DOUBLE / n), 4) AS recall_5,
+  round(avg(coalesce(h10, 0)::DOUBLE / n), 4) AS recall_10 FROM t LEFT JOIN h USING (query_id) WHERE n > 0""")
+def eval_macro(s, d):
+    """Precision and recall averaged over the queries that have ground truth."""
+    per = eval_precision_recall(s, d).filter("precision_1 is not null")
+    return per.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 4).alias(c) for c in per.columns if c != "query_id"])
+
+
 @query(f"""WITH {SYMBOLS}, {FILES}, c AS (SELECT file_id, count(*) AS expected FROM symbols WHERE symbol_kind IN ('function', 'method') GROUP BY 1),
   a AS (SELECT file_id, len(list_filter(file_lines, lambda x: regexp_matches(x, '^ *(?:async +)?def ')))::BIGINT AS actual, ext FROM exts WHERE ext = 'py') SELECT file_id, expected, actual, CASE WHEN expected = actual THEN 1e0 WHEN abs(expected - actual) <= 1 THEN 0.5e0 ELSE 0e0 END AS accuracy FROM c JOIN a USING (file_id)""")
 def eval_struct_accuracy(s, d):
@@ -639,11 +872,22 @@ def eval_struct_accuracy(s, d):
     return expected.join(actual, "file_id").withColumn("accuracy", evaluate.count_accuracy("expected", "actual"))
 
 
+@query(f"""WITH {SYMBOLS}, {FILES}, c AS (SELECT file_id, repo_id, count(*) AS expected FROM symbols WHERE symbol_kind IN ('function', 'method') GROUP BY 1, 2), a AS (SELECT file_id, len(list_filter(file_lines, lambda x: regexp_matches(x, '^ *(?:async +)?def ')))::BIGINT AS actual FROM exts WHERE ext = 'py'),
+  j AS (SELECT repo_id, CASE WHEN expected = actual THEN 1e0 WHEN abs(expected - actual) <= 1 THEN 0.5e0 ELSE 0e0 END AS accuracy FROM c JOIN a USING (file_id)) SELECT repo_id, count(*) AS n_items, round(avg(accuracy), 4) AS accuracy FROM j GROUP BY ROLLUP (repo_id)""")
+def eval_accuracy_by_category(s, d):
+    """Structural accuracy by repository, and over all in the row without one."""
+    expected = _symbols(s, d).filter("symbol_kind in ('function', 'method')").groupBy("file_id", "repo_id").agg(F.count("*").alias("expected"))
+    defs = F.size(F.filter("file_lines", lambda x: x.rlike("^ *(?:async +)?def "))).cast("long")
+    actual = lines.latest_files(table(s, d, "km_files").filter(detect.extension("file_path") == "py"), actual=defs)
+    j = expected.join(actual, "file_id").withColumn("accuracy", evaluate.count_accuracy("expected", "actual"))
+    return j.rollup("repo_id").agg(F.count("*").alias("n_items"), F.round(F.avg("accuracy"), 4).alias("accuracy"))
+
+
 @query(f"""WITH {FILES}, c AS (SELECT DISTINCT chunk_id, file_id, file_language, start_line, end_line FROM chunks), g AS (SELECT file_language, CASE WHEN f.file_lines IS NULL THEN 'fabricated' WHEN start_line < 1 OR end_line < start_line OR end_line > len(f.file_lines) THEN 'unsupported' ELSE 'grounded' END AS status FROM c LEFT JOIN files f USING (file_id))
   SELECT coalesce(file_language, '(all)') AS file_language, count(*) AS n, round(avg((status = 'grounded')::INT), 6) AS grounding_rate FROM g GROUP BY ROLLUP (file_language)""")
 def eval_grounding_rate(s, d):
     c = table(s, d, "chunks").select("chunk_id", "file_id", "file_language", "start_line", "end_line").distinct()
-    g = evaluate.grounding(c, _files(s, d))
+    g = evaluate.grounding(c, _line_counts(s, d))
     return g.rollup("file_language").agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == "grounded").cast("int")), 6).alias("grounding_rate")).withColumn("file_language", F.coalesce("file_language", F.lit("(all)")))
 
 
@@ -684,7 +928,7 @@ def ext_collections(s, d):
 def ext_file_mentions(s, d):
     refs = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]\w*\.(?:py|ts|js|go|java|css|json|md)\b"), 0))).alias("ref"))
     counted = refs.select("doc_id", F.lower("ref").alias("name")).distinct()
-    known = _files(s, d).groupBy(F.lower(detect.basename("file_path")).alias("name")).agg(F.count("*").alias("n_files"))
+    known = _paths(s, d).groupBy(F.lower(detect.basename("file_path")).alias("name")).agg(F.count("*").alias("n_files"))
     return counted.join(known, "name", "left").select("doc_id", "name", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 

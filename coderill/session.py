@@ -23,12 +23,14 @@ def local_session(app: str = "coderill", cores: str = "8", shuffle: int = 8) ->
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so that a lost executor costs a read and
-    not a recomputation.  The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary one is made."""
+    not a recomputation.  The folder is the one that the session names in ``spark.checkpoint.dir``; only in local mode, on one
+    machine, a temporary one is made where that is unset."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="coderill-checkpoint-"))
     return df.checkpoint(eager=True)
 
