@@ -158,21 +158,21 @@ def capture(path: str, above: str, snippet: str) -> dict[str, str]:
 
 
 def _pairs(rows: list[tuple]) -> Iterator[tuple]:
-    for symbol_id, file_id, path, name, params, docstring, snippet, above in rows:
+    for symbol_id, file_id, path, name, params, docstring, snippet, ingested_at, above in rows:
         docstring = docstring or ""
         got = capture(path, "" if docstring.strip() else above or "", snippet)
         doc = docstring if docstring.strip() else got["literal"] or got["comment"]
         params = None if params is None else list(params)
         if doc.strip() and not is_trivial(doc, name or "", params):
-            yield symbol_id, file_id, name, describe(doc), snippet, got["sig"].strip(), bool(got["body"])
+            yield symbol_id, file_id, name, describe(doc), snippet, got["sig"].strip(), bool(got["body"]), ingested_at
 
 
 _SCHEMA = "symbol_id long, file_id long, symbol_name string, description string, code string, signature string, is_balanced boolean"
-_COLUMNS = ["symbol_id", "file_id", "file_path", "symbol_name", "param_names", "docstring", "snippet"]
+_COLUMNS = ["symbol_id", "file_id", "file_path", "symbol_name", "param_names", "docstring", "snippet", "ingested_at"]
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+    return pd.DataFrame(found, columns=[*(c.split()[0] for c in _SCHEMA.split(", ")), "ingested_at"])
 
 
 def _make_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,20 +194,22 @@ def pair_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Code and description of every function and method whose documentation is not trivial, one row per symbol_id.
 
     Rows with a null symbol_id, name, path, snippet or start line are judged by what is left of them; a null file_id or
-    a file without lines means that only the docstring and the body's literal count.  Of repeated deliveries of a symbol the last
+    a file without lines means that only the docstring and the body's literal count.  Of the documented deliveries of a symbol the last
     counts.  Symbols of other kinds, and blank documentation, give none."""
-    columns = [*_COLUMNS[1:], "start_line"]
-    s = symbols.filter(F.col("symbol_kind").isin("function", "method")).select("symbol_id", *columns, "ingested_at")
-    s = s.groupBy("symbol_id").agg(F.max_by(F.struct(*columns), F.struct("ingested_at", F.xxhash64("snippet", "docstring"))).alias("s")).select("symbol_id", "s.*")
+    at = symbols.schema["ingested_at"].dataType.simpleString()
+    s = symbols.filter(F.col("symbol_kind").isin("function", "method")).select(*_COLUMNS, "start_line")
     blank = ~F.coalesce(F.col("docstring"), F.lit("")).rlike(r"\S")
     joins = F.coalesce(blank & F.col("file_id").isNotNull() & (F.col("start_line") > 1), F.lit(False))
     told = s.filter(~joins).select(*_COLUMNS, F.lit(None).cast("string").alias("above"))
     # no more distinct start lines than a file has lines, however many symbols stand on them
-    asked = symbols.filter(F.col("symbol_kind").isin("function", "method") & joins).groupBy("file_id").agg(F.collect_set("start_line").alias("starts"))
+    asked = s.filter(joins).groupBy("file_id").agg(F.collect_set("start_line").alias("starts"))
     ends = F.coalesce(F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1)), F.lit(""))
     lines = files.filter(~ends.isin("json", "md", "csv", "yaml", "yml", "toml", "env", "sql") & F.col("file_lines").isNotNull()).select("file_id", "file_lines", "ingested_at")
     lines = lines.groupBy("file_id").agg(F.max_by("file_lines", "ingested_at").alias("file_lines"))
     walked = lines.join(asked, "file_id").select("file_id", F.array_join("file_lines", "\n", "").alias("text"), "starts")
     above = walked.mapInPandas(_comments, "file_id long, start_line int, above string")
     joined = s.filter(joins).join(above, ["file_id", "start_line"], "left").select(*_COLUMNS, "above")
-    return told.unionByName(joined).mapInPandas(_make_pairs, _SCHEMA)
+    # only documented symbols are left to be told apart by their deliveries
+    pairs = told.unionByName(joined).mapInPandas(_make_pairs, f"{_SCHEMA}, ingested_at {at}")
+    row = F.struct(*[c for c in pairs.columns if c not in ("symbol_id", "ingested_at")])
+    return pairs.groupBy("symbol_id").agg(F.max_by(row, F.struct("ingested_at", F.xxhash64("code", "description"))).alias("p")).select("symbol_id", "p.*")
