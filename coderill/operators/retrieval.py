@@ -74,24 +74,26 @@ def embed_tokens(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda t: F.length(t) > 1)
 
 
-def embed(items: DataFrame, key: str, text: str) -> DataFrame:
+def embed(items: DataFrame, key: str, text: str, digits: int = 6) -> DataFrame:
     """Sparse unit vectors of the hashed embedding with 128 dimensions: key, dim, weight.  Dimensions 0-47 count token hashes, 48-95
     trigram hashes at half weight; from 96 on each concept has two: its weight (2 for each term among the tokens, 1 for each that only
-    occurs within the text) and log1p of it.  Items without tokens and concepts give no rows."""
+    occurs within the text) and log1p of it.  Items without tokens and concepts give no rows.
+
+    Hashes are computed once for each distinct token, not for each of its occurrences."""
     words = items.select(key, F.explode(embed_tokens(text)).alias("token"))
     counted = words.groupBy(key, "token").agg(F.count("*").cast("double").alias("n"))
-    by_token = counted.select(key, (djb2("token") % 48).cast("int").alias("dim"), F.col("n").alias("w"))
-    grams = counted.filter(F.length("token") >= 3).select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3)))).alias("g"))
-    by_gram = grams.select(key, (F.lit(48) + djb2("g") % 48).cast("int").alias("dim"), (F.col("n") * 0.5).alias("w"))
-    low, tokens = F.lower(F.col(text)), embed_tokens(text)
-    told = lambda t: F.when(F.array_contains(F.col("_tokens"), t), 2.0).when(F.contains(F.col("_low"), F.lit(t)), 1.0).otherwise(0.0)
-    weights = [sum((told(t) for t in terms.split()), F.lit(0.0)) for _, terms in CONCEPTS]
-    pairs = F.array(*[F.struct(F.lit(96 + 2 * c).alias("dim"), m.alias("m")) for c, m in enumerate(weights)])
-    concept = items.select(key, low.alias("_low"), tokens.alias("_tokens")).select(key, F.explode(F.filter(pairs, lambda p: p["m"] > 0)).alias("p")).select(key, "p.*")
+    grams = F.when(F.length("token") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1))), lambda i: F.struct((F.lit(48) + djb2(F.substring(F.col("token"), i, F.lit(3))) % 48).cast("int").alias("dim"), F.lit(0.5).alias("w"))))
+    own = F.array(F.struct((djb2("token") % 48).cast("int").alias("dim"), F.lit(1.0).alias("w")))
+    hashed = counted.select("token").distinct().select("token", F.when(grams.isNull(), own).otherwise(F.concat(own, grams)).alias("parts"))
+    by_hash = counted.join(hashed, "token").select(key, "n", F.explode("parts").alias("p")).select(key, "p.dim", (F.col("n") * F.col("p.w")).alias("w"))
+    terms = F.array(*[F.struct(F.lit(96 + 2 * c).alias("dim"), F.lit(t).alias("term")) for c, (_, words) in enumerate(CONCEPTS) for t in words.split()])
+    told = lambda x: F.when(F.array_contains("_tokens", x["term"]), 2.0).when(F.contains(F.col("_low"), x["term"]), 1.0).otherwise(0.0)
+    met = items.select(key, F.lower(F.col(text)).alias("_low"), embed_tokens(text).alias("_tokens")).select(key, F.explode(F.filter(F.transform(terms, lambda x: F.struct(x["dim"].alias("dim"), told(x).alias("m"))), lambda p: p["m"] > 0)).alias("p"))
+    concept = met.groupBy(key, F.col("p.dim").alias("dim")).agg(F.sum("p.m").alias("m"))
     by_concept = concept.select(key, F.explode(F.array(F.struct("dim", F.col("m").alias("w")), F.struct((F.col("dim") + 1).alias("dim"), F.log1p("m").alias("w")))).alias("x")).select(key, "x.*")
-    summed = by_token.unionByName(by_gram).unionByName(by_concept).groupBy(key, "dim").agg(F.sum("w").alias("w"))
+    summed = by_hash.unionByName(by_concept).groupBy(key, "dim").agg(F.sum("w").alias("w"))
     norm = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return summed.join(norm, key).select(key, "dim", F.round(F.col("w") / F.col("_norm"), 6).alias("weight"))
+    return summed.join(norm, key).select(key, "dim", F.round(F.col("w") / F.col("_norm"), digits).alias("weight"))
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "vec_id", own: bool = False, block: tuple[int, int] = (2048, 8192)) -> DataFrame:
@@ -165,7 +167,7 @@ def chunk_candidates(items: DataFrame, queries: DataFrame, definitions: DataFram
 
     ``definitions`` has repo_id and name (lower case) of known functions and classes; they give Python chunks of that name a structural
     score of 0.8.  Meaning counts above 0.05, words at a fifth of their score up to 1."""
-    semantic = cosine_top_k(dense(embed(items, "chunk_id", "semantic_text"), "chunk_id"), dense(embed(queries, "query_id", "query_text"), "query_id"), 3 * k, "chunk_id", "query_id", True)
+    semantic = cosine_top_k(dense(embed(items, "chunk_id", "semantic_text", 12), "chunk_id"), dense(embed(queries, "query_id", "query_text", 12), "query_id"), 3 * k, "chunk_id", "query_id", True)
     lexical = top_k(chunk_scores(items, queries), "query_id", "chunk_id", "score", 3 * k)
     s = semantic.filter("score > 0.05").select("query_id", "chunk_id", F.col("score").alias("semantic"))
     x = lexical.select("query_id", "chunk_id", F.least(F.lit(1.0), F.col("score") / 5).alias("lexical"), F.when(F.col("symbol_match"), 1.0).otherwise(0.0).alias("symbol_score"))
@@ -184,7 +186,8 @@ def fuse_chunks(candidates: DataFrame, presets: list[str], k: int = 5) -> DataFr
     total = F.col("semantic") * F.col("ws") + F.col("lexical") * F.col("wl") + F.col("structural") * F.col("wt") + F.col("symbol_score") * 0.1 + F.col("path_score") * 0.1
     s, x, t = F.col("semantic") > 0.25, F.col("lexical") > 0.25, F.col("structural") > 0.3
     kind = F.when((s & x) | (s & t) | (x & t), "hybrid").when(s, "semantic").when(t, "structural").when(F.col("symbol_score") > 0, "symbol").otherwise("lexical")
-    kept = each.withColumn("total", F.round(total, 6)).filter("total >= 0.15").withColumn("match_type", kind)
+    # a billionth more, so that sums that end on a half do not depend on their binary fractions
+    kept = each.withColumn("total", F.round(total + 1e-9, 6)).filter("total >= 0.15").withColumn("match_type", kind)
     w = Window.partitionBy("preset", "query_id").orderBy(F.desc("total"), "chunk_id")
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("preset", "query_id", "chunk_id", "total", "match_type", "rank")
 

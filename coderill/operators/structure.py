@@ -139,7 +139,8 @@ def references(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     found = []
     for kind, priority, files, pattern, _ in MENTIONS:
         where = _is(*files) & ~t.rlike(_DEFINING) if kind in ("class_instantiation", "function_call", "variable_usage") else _is(*files)
-        found.append(F.when(where, F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 1)), lambda n, k=kind, p=priority: F.struct(n.alias("exact"), F.lit(k).alias("ref_type"), F.lit(p).alias("priority")))))
+        mention = lambda n: F.struct(n.alias("exact"), F.lit(kind).alias("ref_type"), F.lit(priority).alias("priority"))  # noqa: B023, E731
+        found.append(F.when(where, F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 1)), mention)))
     mentioned = lines.select("repo_id", "file_id", "line_no", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("m")).select("repo_id", "file_id", "line_no", "m.*")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("ref_type"), F.array(*[F.lit(x) for x in of]).alias("of")) for k, _, _, _, of in MENTIONS])).alias("k")
     known = symbols.select("repo_id", F.col("symbol_name").alias("exact"), "symbol_kind", kinds).filter("array_contains(k.of, symbol_kind)").select("repo_id", "exact", "k.ref_type").distinct()

@@ -751,16 +751,16 @@ _DENSE = "list_transform(generate_series(0, 127), lambda i: coalesce(ws[list_pos
 
 def _embedded(source: str) -> str:
     """The SQL of the embedding over another table of keys and texts."""
-    return f"WITH i AS ({source}), {_EMBEDDED} SELECT key, dim, weight FROM em"
+    return f"WITH i AS ({source}), {_EMBEDDED.replace('round(w / z, 6)', 'round(w / z, 12)')} SELECT key, dim, weight FROM em"
 
 
 _CHUNK_POOLS = f"""{_CHUNK_BM25}, cv AS (SELECT key AS chunk_id, {_DENSE} AS v FROM (SELECT key, list(weight ORDER BY dim) AS ws, list(dim ORDER BY dim) AS ds FROM ({_embedded('SELECT chunk_id AS key, semantic_text AS t FROM it')}) GROUP BY 1)),
   qv AS (SELECT key AS query_id, {_DENSE} AS v FROM (SELECT key, list(weight ORDER BY dim) AS ws, list(dim ORDER BY dim) AS ds FROM ({_embedded('SELECT query_id AS key, query_text AS t FROM qs')}) GROUP BY 1)),
   cs AS (SELECT query_id, chunk_id, round(greatest(0, least(1, list_dot_product(qv.v, cv.v))), 6) AS score FROM qv, cv), sm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cs),
-  bo AS (SELECT query_id, chunk_id, coalesce(a.score, 0e0) AS semantic, coalesce(least(1e0, b.score / 5), 0e0) AS lexical, CASE WHEN coalesce(symbol_match, false) THEN 1e0 ELSE 0e0 END AS symbol_score FROM (SELECT * FROM sm WHERE rank <= 15 AND score > 0.05) a FULL JOIN (SELECT * FROM lx WHERE rank <= 15) b USING (query_id, chunk_id)),
+  bo AS (SELECT query_id, chunk_id, coalesce(a.score, 0e0) AS semantic, CASE WHEN b.score IS NULL THEN 0e0 ELSE least(1e0, b.score / 5) END AS lexical, CASE WHEN coalesce(symbol_match, false) THEN 1e0 ELSE 0e0 END AS symbol_score FROM (SELECT * FROM sm WHERE rank <= 15 AND score > 0.05) a FULL JOIN (SELECT * FROM lx WHERE rank <= 15) b USING (query_id, chunk_id)),
   kn AS (SELECT DISTINCT repo_id, lower(symbol_name) AS symbol FROM symbols WHERE symbol_kind IN ('function', 'method', 'class')),
   ca AS (SELECT bo.*, CASE WHEN language = 'python' AND kn.symbol IS NOT NULL THEN 0.8e0 ELSE 0e0 END AS structural, CASE WHEN contains(path, lower(query_text)) THEN 0.5e0 ELSE 0e0 END AS path_score FROM bo JOIN it USING (chunk_id) JOIN qs USING (query_id) LEFT JOIN kn ON kn.repo_id = it.repo_id AND kn.symbol = it.symbol),
-  fu AS (SELECT preset, query_id, chunk_id, round(semantic * ws + lexical * wl + structural * wt + symbol_score * 0.1e0 + path_score * 0.1e0, 6) AS total,
+  fu AS (SELECT preset, query_id, chunk_id, round(semantic * ws + lexical * wl + structural * wt + symbol_score * 0.1e0 + path_score * 0.1e0 + 1e-9, 6) AS total,
     CASE WHEN (semantic > 0.25)::INT + (lexical > 0.25)::INT + (structural > 0.3)::INT >= 2 THEN 'hybrid' WHEN semantic > 0.25 THEN 'semantic' WHEN structural > 0.3 THEN 'structural' WHEN symbol_score > 0 THEN 'symbol' ELSE 'lexical' END AS match_type
     FROM ca, (VALUES ('hybrid', 0.45e0, 0.25e0, 0.20e0), ('semantic', 0.85e0, 0.10e0, 0.05e0), ('symbol', 0.10e0, 0.60e0, 0.30e0)) AS pr(preset, ws, wl, wt)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY total DESC, chunk_id)::INT AS rank FROM fu WHERE total >= 0.15)"""
@@ -873,14 +873,14 @@ def eval_struct_accuracy(s, d):
 
 
 @query(f"""WITH {SYMBOLS}, {FILES}, c AS (SELECT file_id, repo_id, count(*) AS expected FROM symbols WHERE symbol_kind IN ('function', 'method') GROUP BY 1, 2), a AS (SELECT file_id, len(list_filter(file_lines, lambda x: regexp_matches(x, '^ *(?:async +)?def ')))::BIGINT AS actual FROM exts WHERE ext = 'py'),
-  j AS (SELECT repo_id, CASE WHEN expected = actual THEN 1e0 WHEN abs(expected - actual) <= 1 THEN 0.5e0 ELSE 0e0 END AS accuracy FROM c JOIN a USING (file_id)) SELECT repo_id, count(*) AS n_items, round(avg(accuracy), 4) AS accuracy FROM j GROUP BY ROLLUP (repo_id)""")
+  j AS (SELECT repo_id, CASE WHEN expected = actual THEN 1e0 WHEN abs(expected - actual) <= 1 THEN 0.5e0 ELSE 0e0 END AS accuracy FROM c JOIN a USING (file_id)) SELECT coalesce(repo_id::VARCHAR, '(all)') AS category, count(*) AS n_items, round(avg(accuracy), 4) AS accuracy FROM j GROUP BY ROLLUP (repo_id)""")
 def eval_accuracy_by_category(s, d):
-    """Structural accuracy by repository, and over all in the row without one."""
+    """Structural accuracy by repository, and over all."""
     expected = _symbols(s, d).filter("symbol_kind in ('function', 'method')").groupBy("file_id", "repo_id").agg(F.count("*").alias("expected"))
     defs = F.size(F.filter("file_lines", lambda x: x.rlike("^ *(?:async +)?def "))).cast("long")
     actual = lines.latest_files(table(s, d, "km_files").filter(detect.extension("file_path") == "py"), actual=defs)
     j = expected.join(actual, "file_id").withColumn("accuracy", evaluate.count_accuracy("expected", "actual"))
-    return j.rollup("repo_id").agg(F.count("*").alias("n_items"), F.round(F.avg("accuracy"), 4).alias("accuracy"))
+    return j.rollup("repo_id").agg(F.count("*").alias("n_items"), F.round(F.avg("accuracy"), 4).alias("accuracy")).select(F.coalesce(F.col("repo_id").cast("string"), F.lit("(all)")).alias("category"), "n_items", "accuracy")
 
 
 @query(f"""WITH {FILES}, c AS (SELECT DISTINCT chunk_id, file_id, file_language, start_line, end_line FROM chunks), g AS (SELECT file_language, CASE WHEN f.file_lines IS NULL THEN 'fabricated' WHEN start_line < 1 OR end_line < start_line OR end_line > len(f.file_lines) THEN 'unsupported' ELSE 'grounded' END AS status FROM c LEFT JOIN files f USING (file_id))
