@@ -85,8 +85,9 @@ def _hash(part: str) -> int:
     return (h * 2654435761 & 0xFFFFFFFF) // (1 << (32 - PATH_BITS))
 
 
-def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int | None, bool]:
-    """Feature vector, weak label (1 not written by hand, 0 written by hand, None unclear) and whether the header says so, of one file."""
+def describe(path: str, text: str, library: Library, labelled: bool = True) -> tuple[np.ndarray, int | None, bool]:
+    """Feature vector, weak label (1 not written by hand, 0 written by hand, None unclear) and whether the header says so, of one file.
+    Labels are looked for only if ``labelled``."""
     path = (path or "").lower()
     lead = _LEAD.match(text)
     header, body = (lead.group(), text[lead.end() :]) if lead else ("", text)
@@ -119,6 +120,8 @@ def describe(path: str, text: str, library: Library) -> tuple[np.ndarray, int |
     run = library.longest_run(text.split("\n"))
     sized = min(1.0, n / 20)  # shares of a few lines say little
     x[WIDTH - len(SHAPES) :] = (min(1.5, longest / 300), min(1.5, mean / 80), max(0.0, 1 - spaces / 0.12) * min(1.0, len(body) / 200), top * sized, max(0.0, 1 - templates / 0.12) * sized, max(0.0, literal - 0.4) * 2 * min(1.0, n / 4), min(1.5, run / RUN))
+    if not labelled:
+        return x, None, False
     marked = bool(header and _MARK.search(header)) and not _DECOY.search(header)
     noticed = bool(header and library.notice.search(header))
     if marked or run >= RUN or library.folder.search(path) or _GIVEAWAY.search(name):
@@ -155,8 +158,11 @@ def train(chosen: DataFrame, library_files: DataFrame):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [describe(p, t, library)[:2] for p, t in zip(b["file_path"], b["text"])]
-            got = [(y, i := np.flatnonzero(x), x[i]) for x, y in got if y is not None]
+            got = []
+            for p, t in zip(b["file_path"], b["text"]):
+                x, y, _ = describe(p, t, library)
+                if y is not None:
+                    got.append((y, i := np.flatnonzero(x), x[i]))
             yield pd.DataFrame(got, columns=["label", "i", "v"]).astype({"label": "int32"})
 
     sparse = F.udf(lambda i, v: Vectors.sparse(WIDTH, i, v), VectorUDT())  # the rows of the bounded sample only
@@ -172,8 +178,9 @@ def train(chosen: DataFrame, library_files: DataFrame):
         rows.unpersist()
 
 
-def score(files: DataFrame, library_files: DataFrame, model) -> DataFrame:
-    """file_id, repo_id, margin, weak_label and header_says of every file; positive margins are files that were not written by hand."""
+def score(files: DataFrame, library_files: DataFrame, model, labelled: bool = True) -> DataFrame:
+    """file_id, repo_id, margin and, if ``labelled``, weak_label and header_says of every file; positive margins are files that were not
+    written by hand."""
     library = _library(library_files)
     weights, bias = model if model is not None else (np.zeros(WIDTH), -1.0)
 
@@ -181,7 +188,7 @@ def score(files: DataFrame, library_files: DataFrame, model) -> DataFrame:
         for b in batches:
             got = []
             for f, r, p, t in zip(b["file_id"], b["repo_id"], b["file_path"], b["text"]):
-                x, y, says = describe(p, t, library)
+                x, y, says = describe(p, t, library, labelled)
                 got.append((f, r, float(x @ weights) + bias, y, says))
             yield pd.DataFrame(got, columns=["file_id", "repo_id", "margin", "weak_label", "header_says"]).astype({"weak_label": "Int32"})
 
@@ -205,4 +212,4 @@ def not_handwritten(files: DataFrame, chosen: DataFrame, library_files: DataFram
 
     Empty files and files of null text are hand-written.  Where the sample shows only one label nothing can be learned, and no
     file is flagged."""
-    return score(files, library_files, train(chosen, library_files)).filter("margin > 0").select("file_id", "margin")
+    return score(files, library_files, train(chosen, library_files), False).filter("margin > 0").select("file_id", "margin")
