@@ -45,7 +45,7 @@ def entity(question: str | Column) -> Column:
 def questions_of(documents: DataFrame) -> DataFrame:
     """Questions in documents: lines that begin with 'Q: '."""
     lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    q = lines.filter(F.col("l").startswith("Q: ")).select("doc_id", F.regexp_replace(F.substring("l", 4, 100_000), r"\s+$", "").alias("question"))
+    q = lines.filter(F.col("l").startswith("Q: ")).select("doc_id", F.regexp_replace("l", r"^Q: |\s+$", "").alias("question"))
     return q.select("doc_id", "question", intent("question").alias("intent"), entity("question").alias("entity"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,12 +13,27 @@ from pyspark.sql import functions as F
 
 from coderill.functions import detect
 
-FILES = "archive string, ord int, file_path string, byte_size long, file_lines array<string>"
+FILES = "archive string, ord int, file_path string, byte_size long, file_lines array<string>, problem string"
 
 
 def read_zip(spark: SparkSession, paths: str | list[str], most_file_bytes: int = 5 << 20) -> DataFrame:
-    """Text files of ZIP archives: a folder that all entries share is taken off, ignored and unsafe paths, binaries and files
-    above the limit are left out, line ends become newlines.  One row a file; archives are spread over tasks."""
+    """Text files of ZIP archives: a folder that all entries share is taken off, ignored and unsafe paths are left out, line ends become
+    newlines.  One row a file; archives are spread over tasks.  :func:`rejected_entries` tells what could not be read."""
+    safe = _unpacked(spark, paths, most_file_bytes).filter("problem is null").drop("problem").withColumn("file_path", detect.safe_path("file_path")).filter("file_path is not null")
+    return safe.filter(~detect.is_ignored("file_path") & detect.is_readable("file_path"))
+
+
+def rejected_entries(spark: SparkSession, paths: str | list[str], most_file_bytes: int = 5 << 20) -> DataFrame:
+    """What :func:`read_zip` gives no row for although its name is that of a text file: archive, file_path, byte_size, problem (too large,
+    binary, unsafe path, or broken archive, without a path)."""
+    rows = _unpacked(spark, paths, most_file_bytes)
+    unsafe = F.when(F.col("file_path").isNotNull() & detect.safe_path("file_path").isNull(), "unsafe path")
+    told = rows.select("archive", "file_path", "byte_size", F.coalesce("problem", unsafe).alias("problem")).filter("problem is not null")
+    return told.filter(F.col("file_path").isNull() | ~detect.is_ignored("file_path") & detect.is_readable("file_path"))
+
+
+def _unpacked(spark: SparkSession, paths: str | list[str], most_file_bytes: int) -> DataFrame:
+    """Every entry of the archives with its lines, or with the reason why it has none."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -29,19 +45,16 @@ def read_zip(spark: SparkSession, paths: str | list[str], most_file_bytes: int =
                         roots = {e.filename.split("/")[0] if "/" in e.filename else "" for e in entries}
                         cut = len(next(iter(roots))) + 1 if len(roots) == 1 and "" not in roots else 0
                         for i, e in enumerate(entries):
-                            if e.file_size <= most_file_bytes:
-                                data = z.read(e)
-                                if b"\0" not in data[:8000]:
-                                    text = data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-                                    rows.append((name, i, e.filename[cut:], len(data), text.split("\n")))
-                except zipfile.BadZipFile:
-                    pass
-                yield pd.DataFrame(rows, columns=["archive", "ord", "file_path", "byte_size", "file_lines"])
+                            data = z.read(e) if e.file_size <= most_file_bytes else None
+                            problem = "too large" if data is None else "binary" if b"\0" in data else None
+                            lines = None if problem else data.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                            rows.append((name, i, e.filename[cut:], e.file_size, lines, problem))
+                except (zipfile.BadZipFile, zlib.error, EOFError):
+                    rows.append((name, None, None, None, None, "broken archive"))
+                yield pd.DataFrame(rows, columns=["archive", "ord", "file_path", "byte_size", "file_lines", "problem"]).astype({"ord": "Int32", "byte_size": "Int64"})
 
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = raw.mapInPandas(unpack, FILES)
-    safe = rows.withColumn("file_path", detect.safe_path("file_path")).filter("file_path is not null")
-    return safe.filter(~detect.is_ignored("file_path") & detect.is_readable("file_path"))
+    return raw.mapInPandas(unpack, FILES)
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -72,8 +85,11 @@ def write_json_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def markdown_report(report: DataFrame, title: str, order: list[str]) -> str:
-    """A Markdown table of a small report; at most 10,000 rows are taken to the driver."""
-    rows = report.orderBy(*order).limit(10_000).collect()
+def markdown_report(report: DataFrame, title: str, order: list[str], most: int = 10_000) -> str:
+    """A Markdown table of a small report; one of more than ``most`` rows is refused rather than cut, and belongs into
+    :func:`write_json_report`."""
+    rows = report.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} rows")
     head = ["| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
     return "\n".join([f"# {title}", "", *head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows), ""])

@@ -59,7 +59,7 @@ def test_block_ends(spark):
 
 def test_line_categories_and_braces(spark):
     f = files(spark, ("a.java", "/* x\ny */\nclass A {\n  // z\n\n  void f() { s(\"}\"); }\n}\nclass B {\n}"), ("b.py", "# c\n\nx"), ("c.py", None))
-    got = {r.file_id: (r.blank_lines, r.comment_lines, r.other_lines) for r in lines.line_categories(f).collect()}
+    got = {r.file_id: (r.blank_lines, r.comment_lines, r.code_lines) for r in lines.line_categories(f).collect()}
     assert got[0] == (1, 3, 5) and got[1] == (1, 1, 1)
     assert [(r.start_line, r.end_line) for r in lines.brace_chunks(f).orderBy("start_line").collect()] == [(3, 7), (8, 9)]
 
@@ -101,7 +101,7 @@ def test_precision_recall_golden(spark):
 
 
 def test_grounding_and_counts(spark):
-    f = files(spark, ("a.py", "\n".join("x" * 80)))
+    f = files(spark, ("a.py", "\n".join("x" * 80))).select("file_id", F.size("file_lines").alias("n_lines"))
     e = spark.createDataFrame([(9, 1, 2), (0, 200, 250), (0, 1, 80), (0, 5, 4)], "file_id long, start_line int, end_line int")
     assert sorted(r.status for r in evaluate.grounding(e, f).collect()) == ["fabricated", "grounded", "unsupported", "unsupported"]
     c = spark.createDataFrame([(5, 5), (5, 1), (5, 4)], "e int, a int").select(evaluate.count_accuracy("e", "a").alias("x"))
@@ -111,7 +111,7 @@ def test_grounding_and_counts(spark):
 def test_top_k_is_nested_and_bm25_empty(spark):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
     q = v.filter("vec_id % 20 = 0")
-    five, ten = (retrieval.cosine_top_k(v, q, k, block=16).select("query_id", "vec_id") for k in (5, 10))
+    five, ten = (retrieval.cosine_top_k(v, q, k, block=(2, 16)).select("query_id", "vec_id") for k in (5, 10))
     assert five.exceptAll(ten).count() == 0 and five.count() == 15
     docs = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "x")], "query_id int, term string")
@@ -125,6 +125,8 @@ def test_zip_and_tree(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"no archive")
     got = [(r.file_path, r.file_lines) for r in ingest.read_zip(spark, str(tmp_path / "*.zip")).collect()]
     assert got == [("a.py", ["x", "y"])]
+    assert sorted((r.file_path or "", r.problem) for r in ingest.rejected_entries(spark, str(tmp_path / "*.zip")).collect()) == [("", "broken archive"), ("../d.py", "unsafe path"), ("e.py", "binary")]
+    assert [(r.file_path, r.problem) for r in ingest.rejected_entries(spark, str(tmp_path / "a.zip"), 3).collect() if r.file_path == "a.py"] == [("a.py", "too large")]
     (tmp_path / "t" / "src").mkdir(parents=True)
     (tmp_path / "t" / "src" / "m.go").write_text("a\nb")
     assert [(r.file_path, r.file_lines) for r in ingest.read_tree(spark, str(tmp_path / "t")).collect()] == [("src/m.go", ["a", "b"])]
@@ -192,3 +194,84 @@ def test_config_entries_hold_the_config_table(spark):
     folder = "/root/testdata/sf0.001"
     got = catalog.QUERIES["ext_config_entries"](spark, folder).select("file_id", "line_no", "config_key")
     assert table(spark, folder, "km_configs").select("file_id", "line_no", "config_key").subtract(got).count() == 0
+
+
+def test_six_line_categories(spark):
+    """The golden counts of configuration and documentation files, and block comments that open and close on one line."""
+    f = files(
+        spark, ("a.yaml", "# one\n# two\n\na: 1\nb: 2"), ("r.md", "# A\n\ntext\nmore"), ("d.csv", "a,b\n1,2\n"), ("x.py", '"""doc"""\nx = 1\n"""open\nstill\nclosed""" \n# c\ny'), ("t.tsx", "{/* a\nb */}\n<A />"), ("Dockerfile", "FROM x\n# c"),
+        ("data/x.json", "{}"), ("a/data/x.json", "{}"), ("u.xyz", "p\n\n"), ("e.py", None),
+    )
+    kinds = ("blank_lines", "comment_lines", "code_lines", "data_lines", "config_lines", "documentation_lines")
+    got = {r.file_id: tuple(r[k] for k in kinds) for r in lines.line_categories(f).collect()}
+    assert got == {0: (1, 2, 0, 0, 2, 0), 1: (1, 0, 0, 0, 0, 3), 2: (1, 0, 0, 2, 0, 0), 3: (0, 5, 2, 0, 0, 0), 4: (0, 2, 1, 0, 0, 0), 5: (0, 1, 0, 0, 1, 0), 6: (0, 0, 0, 0, 1, 0), 7: (0, 0, 0, 1, 0, 0), 8: (2, 0, 0, 0, 0, 1), 9: got[9]}
+
+
+def test_exact_singular_and_ignored(spark):
+    got = spark.createDataFrame([(w,) for w in ("ids", "axes", "is", "ties", "boxes", "as")], "w string").select(text.singular("w")).collect()
+    assert [r[0] for r in got] == ["id", "ax", "is", "tie", "box", "as"]
+    df = spark.createDataFrame([(p,) for p in ("bin/a.py", ".github/x.yml", "a/.DS_Store", "a/._x.py", "a/x.PNG", ".env", "src/.env")], "p string")
+    assert [r[0] for r in df.select(detect.is_ignored("p")).collect()] == [False, True, True, True, True, False, False]
+    assert [r[0] for r in df.select(detect.file_extension("p")).collect()] == ["py", "yml", "", "py", "png", "", ""]
+
+
+def test_imports_exports_and_bases(spark):
+    f = files(
+        spark, ("a.py", "from .x import (a, b as c)\nimport os, sys as s\n  import deep.mod\nclass A(B, m.C, metaclass=M):"),
+        ("b.ts", "import d, { e, type f as g } from './y';\nimport * as ns from 'z';\nconst { h, i: j } = require('k');\nconst l = require(\"m\");\nexport class D extends E implements G, H {\nexport { p, q as r };\nexport default async function t() {}"), ("C.java", "import java.util.List;\nimport static a.B.c;\nclass X extends Y {"),
+    )
+    x = lines.lines_of(f)
+    got = {(r.file_id, r.source_module, r.imported_name, r.alias, r.import_type) for r in structure.all_imports(x).collect()}
+    assert got == {
+        (0, ".x", "a", None, "from"), (0, ".x", "b", "c", "from"), (0, "os", "os", None, "module"), (0, "sys", "sys", "s", "module"), (0, "deep.mod", "deep.mod", None, "module"), (1, "./y", "e", None, "named"), (1, "./y", "f", "g", "named"),
+        (1, "./y", "d", None, "default"), (1, "z", "ns", None, "namespace"), (1, "k", "h", None, "commonjs"), (1, "k", "i", "j", "commonjs"), (1, "m", "l", None, "commonjs"), (2, "java.util.List", "java.util.List", None, "module"), (2, "a.B.c", "a.B.c", None, "module"),
+    }
+    assert sorted(r.exported_name for r in structure.exports_of(x).collect()) == ["D", "p", "r", "t"]
+    assert sorted((r.class_name, r.base_name) for r in structure.bases_of(x).collect()) == [("A", "B"), ("A", "C"), ("D", "E"), ("D", "G"), ("D", "H"), ("X", "Y")]
+
+
+def test_references_of_every_kind(spark):
+    f = files(spark, ("a.py", "from m import Gate\nclass Sub(Gate):\ng = Gate(1)\nopen_it(g)\ndef h(x: Gate):\n    return GATES\ny = x.open_it"), ("b.ts", "export class Gate {"), ("r.md", "The Gate opens."))
+    sy = spark.createDataFrame([(1, "Gate", "class"), (1, "open_it", "function"), (1, "GATES", "collection")], "repo_id long, symbol_name string, symbol_kind string")
+    got = {(r.name, r.file_id, r.line_no, r.ref_type) for r in structure.references(lines.lines_of(f), sy).collect()}
+    assert got == {
+        ("gate", 0, 1, "import"), ("gate", 0, 2, "class_inheritance"), ("gate", 0, 3, "class_instantiation"), ("open_it", 0, 4, "function_call"), ("gate", 0, 5, "type_hint"), ("gates", 0, 6, "variable_usage"), ("open_it", 0, 7, "attribute_reference"),
+        ("gate", 1, 1, "export"), ("gate", 2, 1, "doc_mention"),
+    }
+
+
+def test_chain_with_its_nodes(spark):
+    e = spark.createDataFrame([(1, *x) for x in [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "x"), ("x", "c"), ("d", "e")]], "repo_id long, src string, dst string")
+    asked = spark.createDataFrame([(1, "a", "d"), (1, "a", "a"), (1, "d", "a"), (1, "b", "e"), (2, "a", "d")], "repo_id long, source string, target string")
+    got = {(r.source, r.target): (r.hops, r.chain) for r in graph.shortest_chains(e, asked).collect()}
+    assert got == {("a", "d"): (3, ["a", "b", "c", "d"]), ("a", "a"): (0, ["a"]), ("b", "e"): (3, ["b", "c", "d", "e"])}
+    assert ("b", "e") not in {(r.source, r.target) for r in graph.shortest_chains(e, asked, 2).collect()}
+
+
+def test_presets_and_labels(spark):
+    c = spark.createDataFrame([(1, "a", 0.9, 0.0, 0.0, 0.0, 0.0), (1, "b", 0.0, 1.0, 0.8, 1.0, 0.5), (1, "c", 0.0, 0.2, 0.0, 1.0, 0.0), (1, "d", 0.06, 0.0, 0.0, 0.0, 0.0)], "query_id long, chunk_id string, semantic double, lexical double, structural double, symbol_score double, path_score double")
+    got = {(r.preset, r.chunk_id): (round(r.total, 3), r.match_type) for r in retrieval.fuse_chunks(c, ["hybrid", "symbol"]).collect()}
+    assert got == {("hybrid", "a"): (0.405, "semantic"), ("hybrid", "b"): (0.56, "hybrid"), ("hybrid", "c"): (0.15, "symbol"), ("symbol", "b"): (0.99, "hybrid"), ("symbol", "c"): (0.22, "symbol")}
+
+
+def test_report_is_refused_rather_than_cut(spark):
+    with pytest.raises(ValueError):
+        ingest.markdown_report(spark.range(5), "T", ["id"], most=4)
+
+
+def test_checkpoint_folder_is_required_on_clusters(spark, monkeypatch):
+    from coderill import session
+
+    class Context:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class Frame:
+        class sparkSession:
+            sparkContext, conf = Context(), spark.conf
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(ValueError):
+            session.cut_lineage(Frame)
