@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coderill.functions.text import code_tokens, djb2
+from coderill.functions.text import code_tokens, djb2, vocabulary_tokens
 from coderill.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
@@ -201,3 +201,41 @@ def fuse(semantic: DataFrame, lexical: DataFrame, key: str, k: int = 5) -> DataF
     both = both.withColumn("total", F.round(F.col("semantic") * 0.55 + F.col("lexical") * 0.35, 6)).filter("total >= 0.15")
     kind = F.when((F.col("semantic") > 0.25) & (F.col("lexical") > 0.25), "hybrid").when(F.col("semantic") > 0.25, "semantic").when(F.col("lexical") > 0.25, "lexical").otherwise("weak")
     return top_k(both.withColumn("match_type", kind), "query_id", key, "total", k)
+
+
+# Weights of symbols in the vocabulary by kind; what a raw name, a later exact hit and a prefix hit weigh more or less.
+KIND_WEIGHTS, OTHER_KIND = {"class": 1.0, "function": 0.95, "route": 0.95}, 0.85
+RAW_NAME, AGAIN, PREFIX = 1.2, 1.5, 0.7
+
+
+def vocabulary(symbols: DataFrame) -> DataFrame:
+    """token, symbol_id, weight, repo_id: every symbol under its words and, weighing more, under its raw name; the first of equal tokens of
+    a symbol counts."""
+    kind = F.lit(OTHER_KIND)
+    for name, weight in KIND_WEIGHTS.items():
+        kind = F.when(F.col("symbol_kind") == name, weight).otherwise(kind)
+    raw = F.lower("symbol_name")
+    words = F.filter(vocabulary_tokens("symbol_name"), lambda t: t != raw)
+    tokens = F.concat(F.array(F.struct(raw.alias("token"), F.lit(RAW_NAME).alias("more"))), F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("more"))))
+    rows = symbols.select("repo_id", "symbol_id", kind.alias("_w"), F.explode(tokens).alias("t"))
+    return rows.select("repo_id", "symbol_id", "t.token", (F.col("_w") * F.col("t.more")).alias("weight")).filter(F.length("token") >= 2)
+
+
+def vocabulary_search(entries: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """The k best symbols per query: query_id, symbol_id, score, rank.  ``asked`` has query_id, repo_id, token_no and token.
+
+    In the order of the query's tokens, exact hits before prefix hits, a symbol's first hit counts once (a prefix hit at 0.7), each
+    later exact hit half as much again and each later prefix hit 0.7.  Prefixes, of tokens of four letters and more, either way, are
+    met by an equi-join on the shorter token: the longer one is looked up under each of its beginnings."""
+    e = entries.select("repo_id", "symbol_id", "token", "weight")
+    exact = asked.join(e, ["repo_id", "token"]).select("query_id", "token_no", F.lit(0).alias("phase"), "symbol_id", "weight", F.col("token").alias("met"))
+    starts = lambda least: F.transform(F.sequence(least, F.greatest(F.length("token") - 1, least)), lambda n: F.left(F.col("token"), n))
+    longer_entry = e.filter(F.length("token") > 4).select("repo_id", "symbol_id", "weight", F.col("token").alias("met"), F.explode(starts(F.lit(4))).alias("token"))
+    longer_query = asked.filter(F.length("token") >= 4).select("query_id", "repo_id", "token_no", F.explode(starts(F.lit(2))).alias("token"))
+    by_query = asked.filter(F.length("token") >= 4).join(longer_entry, ["repo_id", "token"]).select("query_id", "token_no", F.lit(1).alias("phase"), "symbol_id", "weight", "met")
+    by_entry = longer_query.join(e, ["repo_id", "token"]).select("query_id", "token_no", F.lit(1).alias("phase"), "symbol_id", "weight", F.col("token").alias("met"))
+    hits = exact.unionByName(by_query).unionByName(by_entry)
+    first = Window.partitionBy("query_id", "symbol_id").orderBy("token_no", "phase", "met")
+    part = F.when(F.col("phase") == 1, PREFIX).when(F.row_number().over(first) == 1, 1.0).otherwise(AGAIN)
+    scored = hits.withColumn("part", F.col("weight") * part).groupBy("query_id", "symbol_id").agg(F.round(F.sum("part") + 1e-9, 6).alias("score"))
+    return top_k(scored, "query_id", "symbol_id", "score", k)

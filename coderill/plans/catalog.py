@@ -954,6 +954,19 @@ def ret_vocab_search(s, d):
     return retrieval.top_k(h, "query_id", "symbol_id", "n", 5)
 
 
+@query(f"""WITH {SYMBOLS}, vt AS (SELECT repo_id, symbol_id, lower(symbol_name) AS raw, CASE symbol_kind WHEN 'class' THEN 1e0 WHEN 'function' THEN 0.95e0 WHEN 'route' THEN 0.95e0 ELSE 0.85e0 END AS w, list_distinct({_VOC.format('symbol_name')}) AS words FROM symbols),
+  en AS (SELECT repo_id, symbol_id, raw AS token, w * 1.2e0 AS weight FROM vt WHERE length(raw) >= 2 UNION ALL SELECT repo_id, symbol_id, t, w FROM (SELECT *, unnest(words) AS t FROM vt) WHERE t <> raw AND length(t) >= 2),
+  qt AS (SELECT symbol_id AS query_id, repo_id, unnest(tl) AS token, generate_subscripts(tl, 1) AS token_no FROM (SELECT *, {_VOC.format('symbol_name')} AS tl FROM symbols WHERE symbol_id % 20 = 0)), qd AS (SELECT query_id, repo_id, token, min(token_no) AS token_no FROM qt GROUP BY 1, 2, 3),
+  hi AS (SELECT query_id, token_no, CASE WHEN q.token = e.token THEN 0 ELSE 1 END AS phase, e.symbol_id, weight, e.token AS met FROM qd q JOIN en e ON e.repo_id = q.repo_id AND (e.token = q.token OR (length(q.token) >= 4 AND (starts_with(e.token, q.token) OR starts_with(q.token, e.token))))),
+  nu AS (SELECT *, row_number() OVER (PARTITION BY query_id, symbol_id ORDER BY token_no, phase, met) AS k FROM hi), sc AS (SELECT query_id, symbol_id, round(sum(weight * CASE WHEN phase = 1 THEN 0.7e0 WHEN k = 1 THEN 1e0 ELSE 1.5e0 END) + 1e-9, 6) AS score FROM nu GROUP BY 1, 2),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id)::INT AS rank FROM sc) SELECT query_id, symbol_id, score, rank FROM rk WHERE rank <= 5""")
+def ret_vocab_weighted(s, d):
+    """Symbols of the same repository for the words of every 20th symbol's name, exact and by prefix, weighed."""
+    sy = _symbols(s, d)
+    asked = sy.filter("symbol_id % 20 = 0").select(F.col("symbol_id").alias("query_id"), "repo_id", F.posexplode(text.vocabulary_tokens("symbol_name")).alias("token_no", "token"))
+    return retrieval.vocabulary_search(retrieval.vocabulary(sy), asked)
+
+
 @query(f"""WITH {_QUESTIONS}, {SYMBOLS}, c AS (SELECT qi.doc_id, s.symbol_id, CASE WHEN s.symbol_name = qi.entity THEN 1e0 ELSE 0.9e0 END + CASE WHEN s.symbol_kind = 'class' THEN 0.25e0 WHEN s.symbol_kind = 'function' THEN 0.2e0 ELSE 0e0 END AS confidence FROM qi JOIN symbols s ON lower(s.symbol_name) = lower(qi.entity)),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, symbol_id) AS k, lead(confidence) OVER (PARTITION BY doc_id ORDER BY confidence DESC, symbol_id) AS second FROM c)
   SELECT doc_id, symbol_id, round(confidence, 6) AS confidence, coalesce(confidence - second < 0.35e0, false) AS ambiguous FROM r WHERE k = 1""")
