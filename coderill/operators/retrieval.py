@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coderill.functions.text import code_tokens, djb2, vocabulary_tokens
+from coderill.functions.text import code_tokens, djb2, singular, vocabulary_tokens
 from coderill.session import cut_lineage, spread
 
 K1, B = 1.2, 0.75
@@ -239,3 +239,39 @@ def vocabulary_search(entries: DataFrame, asked: DataFrame, k: int = 5) -> DataF
     part = F.when(F.col("phase") == 1, PREFIX).when(F.row_number().over(first) == 1, 1.0).otherwise(AGAIN)
     scored = hits.withColumn("part", F.col("weight") * part).groupBy("query_id", "symbol_id").agg(F.round(F.sum("part") + 1e-9, 6).alias("score"))
     return top_k(scored, "query_id", "symbol_id", "score", k)
+
+
+# What else to look for when a term is asked for.
+THESAURUS = {
+    "auth": "auth authenticate login jwt session token credentials password user", "authentication": "auth authenticate login jwt session token credentials password user", "login": "login authenticate credentials password session token auth",
+    "predict": "predict prediction predictor model inference forecast regression pipeline", "prediction": "predict prediction predictor model inference forecast regression pipeline", "logo": "logo icon brand favicon banner mark asset image png svg",
+    "asset": "asset logo icon image static public resource svg png", "favicon": "favicon icon logo", "server": "server express listen port host http app routes", "entry": "entry main index app __main__ start run",
+    "database": "database db sql sqlite postgres postgresql mongo redis datasource connection", "db": "database db sql sqlite postgres datasource connection", "redis": "redis redis_client redis_url redis_host cache_redis",
+    "install": "install installation setup requirements package.json pip", "test": "test tests spec __tests__ pytest unittest assert describe it", "tests": "test tests spec __tests__ pytest unittest assert",
+    "error": "error exception catch raise throw fail failure handler try", "exception": "exception error catch raise throw handler",
+}
+
+
+def keywords(entities: DataFrame, entity: str) -> DataFrame:
+    """Keywords to search for an entity, a row each: its name and singular, its words, its spellings with underscores and hyphens, and the
+    terms of the thesaurus under every key that contains the entity or is contained in it.  Null and empty entities give none."""
+    e = F.col(entity)
+    low = F.lower(e)
+    words = F.filter(F.split(low, r"\s+"), lambda t: F.length(t) > 2)
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(t) for t in v.split()]).alias("v")) for k, v in THESAURUS.items()])
+    terms = F.flatten(F.transform(F.filter(table, lambda x: F.contains(low, x["k"]) | F.contains(x["k"], low)), lambda x: x["v"]))
+    others = F.concat(F.array(e, F.regexp_replace(low, r"\s+", "_"), F.regexp_replace(low, r"\s+", "-")), terms)
+    kept = entities.filter(F.length(e) > 0).select(e.alias("entity"), F.concat(F.array(low), words).alias("_w"), others.alias("_o"))
+    plain = kept.select("entity", F.explode("_w").alias("w")).select("entity", F.explode(F.array("w", singular("w"))).alias("keyword"))
+    return plain.unionByName(kept.select("entity", F.explode("_o").alias("keyword"))).distinct()
+
+
+def explain(fused: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A line about each fused row: what matched and how much."""
+    both = fused.join(candidates, ["query_id", "chunk_id"])
+    percent = lambda c: F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
+    parts = [
+        F.when(F.col("semantic") > 0, F.concat(F.lit("semantic "), percent("semantic"))), F.when(F.col("lexical") > 0, F.concat(F.lit("lexical "), percent("lexical"))), F.when(F.col("structural") > 0, F.lit("known definition")),
+        F.when(F.col("symbol_score") > 0, F.lit("symbol match")), F.when(F.col("path_score") > 0, F.lit("path match")),
+    ]
+    return both.select("query_id", "chunk_id", "rank", F.concat_ws("; ", *parts).alias("explanation"))

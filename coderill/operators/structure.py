@@ -37,11 +37,21 @@ def regex_symbols(lines: DataFrame) -> DataFrame:
         (_is("js", "ts"), r"^(?:export +)?const +([A-Za-z_]\w*) *= *(?:async +)?\(", "function"), (_is("ts"), r"^(?:export +)?interface +([A-Za-z_]\w*)", "interface"),
         (_is("go"), r"^func +(?:\([^)]*\) +)?([A-Za-z_]\w*)", "function"), (_is("go"), r"^type +([A-Za-z_]\w*) +struct", "class"), (_is("java"), r"^(?:public +)?(?:final +)?class +([A-Za-z_]\w*)", "class"),
     ]
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for where, pattern, what in reversed(rules):
-        hit = where & t.rlike(pattern)
-        kind, name = F.when(hit, what).otherwise(kind), F.when(hit, F.regexp_extract(t, pattern, 1)).otherwise(name)
-    return lines.withColumn("symbol_kind", kind).withColumn("symbol_name", name).filter("symbol_kind is not null").select("file_id", "repo_id", "file_path", "line_no", "symbol_kind", "symbol_name")
+    # one look at each rule of the line's language, after one look at the line for any of their words
+    found = F.coalesce(*[F.when(where & t.rlike(pattern), F.struct(F.lit(what).alias("kind"), F.regexp_extract(t, pattern, 1).alias("name"))) for where, pattern, what in rules])
+    likely = lines.filter(_is(*CODE) & t.rlike(r"class|def |function|const|interface|func|type|^[A-Z][A-Z0-9_]* *="))
+    return likely.withColumn("_s", found).filter("_s is not null").select("file_id", "repo_id", "file_path", "line_no", F.col("_s.kind").alias("symbol_kind"), F.col("_s.name").alias("symbol_name"))
+
+
+def imports_naming(imports: DataFrame, names: DataFrame) -> DataFrame:
+    """Imports that name what is asked for, as their module (whole, or its last segment after a dot or slash), as the imported name or as
+    its alias: repo_id, name, file_id, line_no, matched_by; once an import and name, the module first.  ``names`` has repo_id and
+    name (lower case).  Suffixes are exploded, so that all of it is one equi-join."""
+    module, last = F.lower("source_module"), F.regexp_extract(F.lower("source_module"), r"([^./]+)$", 1)
+    keys = F.array(F.struct(module.alias("name"), F.lit("1 module").alias("how")), F.struct(last.alias("name"), F.lit("2 suffix").alias("how")), F.struct(F.lower("imported_name").alias("name"), F.lit("3 symbol").alias("how")), F.struct(F.lower("alias").alias("name"), F.lit("4 alias").alias("how")))
+    rows = imports.select("repo_id", "file_id", "line_no", F.explode(F.filter(keys, lambda k: k["name"] != "")).alias("k")).select("repo_id", "file_id", "line_no", "k.*")
+    found = rows.join(names.select("repo_id", "name").distinct(), ["repo_id", "name"], "left_semi").groupBy("repo_id", "name", "file_id", "line_no").agg(F.min("how").alias("how"))
+    return found.select("repo_id", "name", "file_id", "line_no", F.substring("how", 3, 6).alias("matched_by"))
 
 
 def imports_of(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from coderill.functions import detect, text
 from coderill.operators import evaluate, graph, lines, retrieval, structure
 from coderill.plans import route
+from coderill.session import cut_lineage
 from coderill.sources.ingest import parse_repository_url
 from coderill.sources.tables import table
 from coderill.streaming import update
@@ -448,6 +449,16 @@ def ext_imports_all(s, d):
     return structure.all_imports(_lines(s, d)).select("file_id", "line_no", "source_module", "imported_name", "alias", "import_type")
 
 
+@query(f"""WITH {LINES}, {SYMBOLS}, {_IMPORTED}, na AS (SELECT DISTINCT repo_id, lower(symbol_name) AS name FROM symbols UNION SELECT DISTINCT repo_id, lower(regexp_replace({_NAME_SQL}, '\\.[^.]+$', '')) FROM files),
+  ke AS (SELECT repo_id, file_id, line_no, lower(source_module) AS name, 1 AS p FROM allimports UNION ALL SELECT repo_id, file_id, line_no, regexp_extract(lower(source_module), '([^./]+)$', 1), 2 FROM allimports UNION ALL SELECT repo_id, file_id, line_no, lower(imported_name), 3 FROM allimports UNION ALL SELECT repo_id, file_id, line_no, lower(alias), 4 FROM allimports WHERE alias IS NOT NULL),
+  be AS (SELECT ke.repo_id, ke.name, file_id, line_no, min(p) AS p FROM ke JOIN na ON na.repo_id = ke.repo_id AND na.name = ke.name WHERE ke.name <> '' GROUP BY 1, 2, 3, 4) SELECT repo_id, name, file_id, line_no, CASE p WHEN 1 THEN 'module' WHEN 2 THEN 'suffix' WHEN 3 THEN 'symbol' ELSE 'alias' END AS matched_by FROM be""")
+def join_imports_naming(s, d):
+    """Imports that name a symbol or a file of their repository."""
+    symbols = _symbols(s, d).select("repo_id", F.lower("symbol_name").alias("name"))
+    stems = _paths(s, d).select("repo_id", F.lower(F.regexp_replace(detect.basename("file_path"), r"\.[^.]+$", "")).alias("name"))
+    return structure.imports_naming(structure.all_imports(_lines(s, d)), symbols.unionByName(stems))
+
+
 @query(f"WITH {LINES}, {_EXPORTED} SELECT file_id, line_no, exported_name FROM exported")
 def ext_exports(s, d):
     return structure.exports_of(_lines(s, d)).select("file_id", "line_no", "exported_name")
@@ -954,6 +965,30 @@ def ret_vocab_search(s, d):
     return retrieval.top_k(h, "query_id", "symbol_id", "n", 5)
 
 
+_THESAURUS_SQL = """(VALUES ('auth', 'auth authenticate login jwt session token credentials password user'), ('authentication', 'auth authenticate login jwt session token credentials password user'), ('login', 'login authenticate credentials password session token auth'),
+  ('predict', 'predict prediction predictor model inference forecast regression pipeline'), ('prediction', 'predict prediction predictor model inference forecast regression pipeline'), ('logo', 'logo icon brand favicon banner mark asset image png svg'),
+  ('asset', 'asset logo icon image static public resource svg png'), ('favicon', 'favicon icon logo'), ('server', 'server express listen port host http app routes'), ('entry', 'entry main index app __main__ start run'),
+  ('database', 'database db sql sqlite postgres postgresql mongo redis datasource connection'), ('db', 'database db sql sqlite postgres datasource connection'), ('redis', 'redis redis_client redis_url redis_host cache_redis'), ('install', 'install installation setup requirements package.json pip'),
+  ('test', 'test tests spec __tests__ pytest unittest assert describe it'), ('tests', 'test tests spec __tests__ pytest unittest assert'), ('error', 'error exception catch raise throw fail failure handler try'), ('exception', 'exception error catch raise throw handler')) AS th(k, v)"""
+
+
+@query(f"""WITH {SYMBOLS}, en AS (SELECT DISTINCT array_to_string({_VOC.format('symbol_name')}, ' ') AS entity FROM symbols), wd AS (SELECT entity, unnest(list_filter(string_split(lower(entity), ' '), lambda t: length(t) > 2)) AS w FROM en),
+  ws AS (SELECT entity, w FROM wd UNION SELECT entity, {_SINGULAR_SQL} FROM wd), sp AS (SELECT entity, lower(entity) AS w FROM en)
+  SELECT entity, entity AS keyword FROM en WHERE entity <> '' UNION SELECT entity, lower(entity) FROM en WHERE entity <> '' UNION SELECT entity, {_SINGULAR_SQL} FROM sp WHERE entity <> '' UNION SELECT entity, replace(w, ' ', '_') FROM sp WHERE entity <> '' UNION SELECT entity, replace(w, ' ', '-') FROM sp WHERE entity <> ''
+  UNION SELECT entity, w FROM ws UNION SELECT entity, unnest(string_split(v, ' ')) FROM sp JOIN {_THESAURUS_SQL} ON contains(w, k) OR contains(k, w) WHERE entity <> ''""")
+def ret_keywords(s, d):
+    """Keywords for the spaced name of every symbol."""
+    return retrieval.keywords(_symbols(s, d).select(text.spaced_words("symbol_name").alias("entity")).distinct(), "entity")
+
+
+@query(f"""WITH {SYMBOLS}, {_CHUNK_POOLS} SELECT query_id, chunk_id, rank, concat_ws('; ', CASE WHEN semantic > 0 THEN concat('semantic ', round(semantic * 100)::INT, '%') END, CASE WHEN lexical > 0 THEN concat('lexical ', round(lexical * 100)::INT, '%') END, CASE WHEN structural > 0 THEN 'known definition' END,
+  CASE WHEN symbol_score > 0 THEN 'symbol match' END, CASE WHEN path_score > 0 THEN 'path match' END) AS explanation FROM rk JOIN ca USING (query_id, chunk_id) WHERE preset = 'hybrid' AND rank <= 5""")
+def ret_explanations(s, d):
+    """Why each chunk of ``ret_chunk_hybrid`` was found."""
+    candidates = cut_lineage(_chunk_candidates(s, d))
+    return retrieval.explain(retrieval.fuse_chunks(candidates, ["hybrid"]), candidates)
+
+
 @query(f"""WITH {SYMBOLS}, vt AS (SELECT repo_id, symbol_id, lower(symbol_name) AS raw, CASE symbol_kind WHEN 'class' THEN 1e0 WHEN 'function' THEN 0.95e0 WHEN 'route' THEN 0.95e0 ELSE 0.85e0 END AS w, list_distinct({_VOC.format('symbol_name')}) AS words FROM symbols),
   en AS (SELECT repo_id, symbol_id, raw AS token, w * 1.2e0 AS weight FROM vt WHERE length(raw) >= 2 UNION ALL SELECT repo_id, symbol_id, t, w FROM (SELECT *, unnest(words) AS t FROM vt) WHERE t <> raw AND length(t) >= 2),
   qt AS (SELECT symbol_id AS query_id, repo_id, unnest(tl) AS token, generate_subscripts(tl, 1) AS token_no FROM (SELECT *, {_VOC.format('symbol_name')} AS tl FROM symbols WHERE symbol_id % 20 = 0)), qd AS (SELECT query_id, repo_id, token, min(token_no) AS token_no FROM qt GROUP BY 1, 2, 3),
