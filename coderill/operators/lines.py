@@ -194,7 +194,7 @@ def brace_chunks(files: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.expr("cast(array() as array<struct<start_line:int,end_line:int>>)").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        bare = F.regexp_replace(x["t"], "\"(\\\\\\\\.|[^\"\\\\\\\\])*\"|'[^']*'|//.*$", "")
+        bare = F.regexp_replace(x["t"], r""""(?:\\.|[^"\\])*"|'[^']*'|//.*$""", "")
         opens = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
         closes = F.length(bare) - F.length(F.replace(bare, F.lit("}"), F.lit("")))
         depth = F.greatest(a["depth"] + opens - closes, F.lit(0))

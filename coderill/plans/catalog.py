@@ -373,7 +373,12 @@ def chk_csv_sample(s, d):
     return lines.csv_sample(_files(s, d))
 
 
-@query()
+_BARE = """regexp_replace(x, '"(?:\\\\.|[^"\\\\])*"|''[^'']*''|//.*$', '', 'g')"""
+
+
+@query(f"""WITH {FILES}, el AS (SELECT file_id, list_transform(file_lines, lambda x, i: {{'o': (length({_BARE}) - length(replace({_BARE}, '{{', '')))::INT, 'c': (length({_BARE}) - length(replace({_BARE}, '}}', '')))::INT, 'i': i::INT, 'depth': 0, 'begin': 0, 'out': []::STRUCT(s INT, e INT)[]}}) AS l FROM exts WHERE ext IN ('java', 'go')),
+  fo AS (SELECT file_id, list_reduce(list_prepend({{'o': 0, 'c': 0, 'i': 0, 'depth': 0, 'begin': 0, 'out': []::STRUCT(s INT, e INT)[]}}, l), lambda a, x: {{'o': 0, 'c': 0, 'i': x.i, 'depth': greatest(a.depth + x.o - x.c, 0), 'begin': CASE WHEN a.depth = 0 AND x.o > 0 THEN x.i ELSE a.begin END,
+    'out': CASE WHEN greatest(a.depth + x.o - x.c, 0) = 0 AND (a.depth > 0 OR x.o > 0) THEN list_append(a.out, {{'s': CASE WHEN a.depth = 0 AND x.o > 0 THEN x.i ELSE a.begin END, 'e': x.i}}) ELSE a.out END}}) AS r FROM el), un AS (SELECT file_id, unnest(r.out) AS b FROM fo) SELECT file_id, b.s AS start_line, b.e AS end_line FROM un""")
 def chk_brace_blocks(s, d):
     return lines.brace_chunks(_files(s, d))
 
