@@ -934,7 +934,15 @@ def win_greedy_dedupe(s, d):
     return lines.greedy_spaced(lines.grep(_lines(s, d), "ledger").select("file_id", "line_no"))
 
 
-@query()
+_UNQUOTED = """regexp_replace(x, '"[^"]*"', '', 'g')"""
+
+
+@query(f"""WITH {FILES}, el AS (SELECT file_id, list_transform(file_lines, lambda x, i: {{'o': length(regexp_replace({_UNQUOTED}, '[^\\[{{(]', '', 'g'))::INT, 'c': length(regexp_replace({_UNQUOTED}, '[^\\]}})]', '', 'g'))::INT, 'op': regexp_matches(x, '^[A-Z][A-Z0-9_]* *= *[\\[{{(]\\s*$'), 'full': regexp_matches(x, '\\S'),
+  'i': i::INT, 'depth': 0, 'begin': 0, 'items': 0, 'out': []::STRUCT(s INT, e INT, n INT)[]}}) AS l FROM exts WHERE ext = 'py'),
+  fo AS (SELECT file_id, list_reduce(list_prepend({{'o': 0, 'c': 0, 'op': false, 'full': false, 'i': 0, 'depth': 0, 'begin': 0, 'items': 0, 'out': []::STRUCT(s INT, e INT, n INT)[]}}, l), lambda a, x: {{'o': 0, 'c': 0, 'op': false, 'full': false, 'i': x.i,
+    'depth': CASE WHEN (a.depth = 0 AND x.op) OR a.depth > 0 THEN greatest(a.depth + x.o - x.c, 0) ELSE 0 END, 'begin': CASE WHEN a.depth = 0 AND x.op THEN x.i ELSE a.begin END,
+    'items': CASE WHEN a.depth = 0 AND x.op THEN 0 ELSE a.items + (a.depth > 0 AND greatest(a.depth + x.o - x.c, 0) > 0 AND x.full)::INT END,
+    'out': CASE WHEN a.depth > 0 AND greatest(a.depth + x.o - x.c, 0) = 0 THEN list_append(a.out, {{'s': a.begin, 'e': x.i, 'n': greatest(a.items, 1)}}) ELSE a.out END}}) AS r FROM el), un AS (SELECT file_id, unnest(r.out) AS b FROM fo) SELECT file_id, b.s AS start_line, b.e AS end_line, b.n AS item_count FROM un""")
 def ext_collections(s, d):
     return lines.bracket_ends(_files(s, d).filter(detect.extension("file_path") == "py"))
 
