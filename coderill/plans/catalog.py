@@ -846,7 +846,8 @@ def gra_chain_path(s, d):
     return c.select("source", "target", "hops", F.array_join(F.col("chain").cast("array<string>"), " > ").alias("chain"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CALLS}, ed AS (SELECT DISTINCT repo_id, caller AS src, callee AS dst FROM calls WHERE caller IS NOT NULL), so AS (SELECT DISTINCT repo_id, symbol_name AS source FROM symbols WHERE symbol_kind IN ('function', 'method') AND symbol_id % 20 = 0),
+  re AS (SELECT repo_id, source, source AS node, 0 AS hops FROM so UNION SELECT re.repo_id, re.source, ed.dst, re.hops + 1 FROM re JOIN ed ON ed.repo_id = re.repo_id AND ed.src = re.node WHERE re.hops < 8) SELECT repo_id, source, node, min(hops)::INT AS hops FROM re GROUP BY 1, 2, 3 HAVING min(hops) > 0""")
 def gra_chain_shortest(s, d):
     sy = _symbols(s, d).filter("symbol_kind in ('function', 'method') and symbol_id % 20 = 0")
     edges = _calls(s, d).filter("caller is not null").select("repo_id", F.col("caller").alias("src"), F.col("callee").alias("dst"))
