@@ -302,7 +302,7 @@ _ENTRY_RULES = [
 _ENTRY = {n: "CASE " + " ".join(f"WHEN {w} AND regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', {n})" for w, p in _ENTRY_RULES) + " END" for n in (1, 2)}
 
 
-@query(f"""WITH {LINES}, tr AS (SELECT *, trim(regexp_replace(line_text, '^\s+|\s+$', '', 'g')) AS t FROM lines WHERE line_text IS NOT NULL), kv AS (SELECT file_id, file_path, ext, line_no, {_ENTRY[1]} AS k, {_ENTRY[2]} AS v FROM tr WHERE NOT regexp_matches(t, '^(?:#|//|$)')),
+@query(rf"""WITH {LINES}, tr AS (SELECT *, trim(regexp_replace(line_text, '^\s+|\s+$', '', 'g')) AS t FROM lines WHERE line_text IS NOT NULL), kv AS (SELECT file_id, file_path, ext, line_no, {_ENTRY[1]} AS k, {_ENTRY[2]} AS v FROM tr WHERE NOT regexp_matches(t, '^(?:#|//|$)')),
   cl AS (SELECT file_id, line_no, ext, CASE WHEN lower(file_path) LIKE '%dockerfile' AND lower(k) = 'expose' THEN 'port' ELSE k END AS config_key, regexp_replace(trim(CASE WHEN ext = 'json' THEN regexp_replace(v, '[,}}]$', '') ELSE v END), '^["'']|["'']$', '', 'g') AS v FROM kv WHERE k IS NOT NULL)
   SELECT file_id, line_no, config_key, CASE WHEN ext IN ('yaml', 'yml') AND v = '' THEN '(section)' ELSE v END AS config_value FROM cl""")
 def ext_config_entries(s, d):
