@@ -1,5 +1,9 @@
 import json
+import math
+import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +122,35 @@ def test_top_k_is_nested_and_bm25_empty(spark):
     assert retrieval.bm25(retrieval.postings_of(docs, "doc_id", "text"), asked, "doc_id", "query_id").count() == 0
 
 
+def bm25_by_hand(docs, asked, k, boost=lambda q, d: 1.0):
+    tokens = {d: re.findall("[a-z0-9_]{2,}", re.sub("([a-z])([A-Z])", r"\1 \2", t).lower()) for d, t in docs.items()}
+    n, avgdl = len(docs), sum(map(len, tokens.values())) / len(docs)
+    df = Counter(t for x in tokens.values() for t in set(x))
+    out = {}
+    for q, words in asked.items():
+        scores = {}
+        for d, x in tokens.items():
+            s = sum(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / avgdl)) for t in words if t in df)
+            if s > 0:
+                scores[d] = round(round(s, 6) * boost(q, d), 6)
+        for r, (d, s) in enumerate(sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:k], 1):
+            out[q, r] = d, s
+    return out
+
+
+def test_bm25_sends_on_only_the_best(spark):
+    rng = random.Random(5)
+    docs = {d: " ".join(["common"] + rng.choices(["alpha", "betaGamma", "delta_one", "zeta", "x", "eta9"], k=rng.randrange(1, 5))) for d in range(3000)}
+    asked = {1: ["common"], 2: ["common", "zeta", "zeta"], 3: ["alpha", "eta9", "none"], 4: ["common"]}
+    d = spark.createDataFrame([(i, t) for i, t in docs.items() if i] + [(0, docs[0][: len("common")]), (0, docs[0][len("common") :])], "doc_id long, text string")  # doc 0 in two rows
+    q = spark.createDataFrame([(i, t) for i, x in asked.items() for t in x], "query_id int, term string")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.bm25(retrieval.postings_of(d, "doc_id", "text"), q, "doc_id", "query_id", 5).collect()}
+    want = bm25_by_hand(docs, asked, 5)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    one = spark.createDataFrame([("common", ["common"])], "asked string, terms array<string>")
+    assert retrieval._bm25_best(retrieval.postings_of(d, "doc_id", "text"), one, "doc_id", 5).count() <= 5 * 8 * 21  # of 3,000 pairs: for a cell at most k of each score near the k-th
+
+
 def test_zip_and_tree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, data in [("root/a.py", "x\r\ny"), ("root/node_modules/b.js", "z"), ("root/c.png", "q"), ("root/../d.py", "z"), ("root/e.py", b"\0\1")]:
