@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 import random
@@ -151,6 +152,24 @@ def test_bm25_sends_on_only_the_best(spark):
     assert retrieval._bm25_best(retrieval.postings_of(d, "doc_id", "text"), one, "doc_id", 5).count() <= 5 * 8 * 21  # of 3,000 pairs: for a cell at most k of each score near the k-th
 
 
+def test_chunk_search_keeps_the_best_after_boosts(spark):
+    rng = random.Random(6)
+    names = ["", "get_user", "get_user_name", "user", "name", "load"]
+    chunks = [(i, 1, rng.choice(["src/user.py", "src/get_user.py", "lib/a.py", None]), "Python", rng.choice(names), "", " ".join(["user"] + rng.choices(["get_user", "name", "other", "load"], k=rng.randrange(1, 6))), datetime.datetime(2024, 1, 1)) for i in range(3000)]
+    c = spark.createDataFrame(chunks, "chunk_id long, repo_id long, file_path string, file_language string, symbol_name string, docstring string, source_text string, ingested_at timestamp")
+    q = spark.createDataFrame([(1, "user"), (2, "get_user"), (3, "userName"), (4, "user"), (5, None)], "query_id int, query_text string")
+    texts = {i: " ".join(x for x in (path, symbol, "", source) if x is not None) for i, _, path, _, symbol, _, source, _ in chunks}
+
+    def boost(q, d):
+        low, symbol, path = {1: "user", 2: "get_user", 3: "username", 4: "user"}[q], chunks[d][4], chunks[d][2] or ""
+        return (1.8 if symbol and (symbol in low or low in symbol) else 1.0) * (1.3 if low in path else 1.0)
+
+    want = bm25_by_hand(texts, {1: ["user"], 2: ["get_user"], 3: ["user", "name"], 4: ["user"]}, 7, boost)
+    got = {(r.query_id, r["rank"]): r for r in retrieval.chunk_search(retrieval.latest_chunks(c), q, 7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k].score - want[k][1]) < 3e-6 for k in want)
+    assert all(r.symbol_match == (boost(r.query_id, r.chunk_id) in (1.8, 1.8 * 1.3)) for r in got.values())
+
+
 def test_zip_and_tree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, data in [("root/a.py", "x\r\ny"), ("root/node_modules/b.js", "z"), ("root/c.png", "q"), ("root/../d.py", "z"), ("root/e.py", b"\0\1")]:
