@@ -170,6 +170,16 @@ def test_chunk_search_keeps_the_best_after_boosts(spark):
     assert all(r.symbol_match == (boost(r.query_id, r.chunk_id) in (1.8, 1.8 * 1.3)) for r in got.values())
 
 
+def test_meaning_search_embeds_as_the_columns_do(spark):
+    texts = ["loadUser token", "jwt_auth error error", "Grüße an alle x", "a", "", "query the database for a table", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for r in retrieval.embed(t, "id", "t", 12).collect():
+        assert abs(retrieval.embed_texts([(texts[r.id] or "").lower()])[0][r.dim] - r.weight) < 2e-12
+    q = spark.createDataFrame([("Token", "token"), ("!", "!")], "asked string, low string")
+    got = retrieval.meaning_top_k(t, q, "id", "t", 3, 7).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3] and {r.asked for r in got} == {"Token"} and next(r.id for r in got if r["rank"] == 1) == 0
+
+
 def test_zip_and_tree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, data in [("root/a.py", "x\r\ny"), ("root/node_modules/b.js", "z"), ("root/c.png", "q"), ("root/../d.py", "z"), ("root/e.py", b"\0\1")]:
