@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coderill.functions import detect, text
 from coderill.operators import evaluate, graph, lines, retrieval, structure
-from coderill.plans import route
+from coderill.plans import catalog, route
 from coderill.sources import ingest
 from coderill.sources.tables import latest
 from coderill.streaming import update
@@ -180,6 +180,14 @@ def test_meaning_search_embeds_as_the_columns_do(spark):
     assert sorted(r["rank"] for r in got) == [1, 2, 3] and {r.asked for r in got} == {"Token"} and next(r.id for r in got if r["rank"] == 1) == 0
 
 
+def test_hybrid_scores_both_lists_in_cells(spark, tmp_path):
+    spark.createDataFrame([(i, f"word{i % 3} common", f"word{i % 3}") for i in range(40)], "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(40)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["ret_hybrid"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("CoGroupsInArrow") == 2  # neither list is cut from a table of all pairs
+    assert {r.query_id for r in got.collect()} == {0, 20}
+
+
 def test_zip_and_tree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, data in [("root/a.py", "x\r\ny"), ("root/node_modules/b.js", "z"), ("root/c.png", "q"), ("root/../d.py", "z"), ("root/e.py", b"\0\1")]:
