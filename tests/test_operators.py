@@ -188,6 +188,40 @@ def test_hybrid_scores_both_lists_in_cells(spark, tmp_path):
     assert {r.query_id for r in got.collect()} == {0, 20}
 
 
+def chunk_tables(spark, folder):
+    day = datetime.datetime(2024, 1, 1)
+    chunks = [(f"c{i}", i, 1, f"src/load{i % 3}.py", "python", "function", "loadUser" if i % 4 else "save", 1, 2, None, f"def load_user(): return token {i}", None, day) for i in range(30)]
+    chunks += [("c1", 1, 1, "src/load1.py", "python", "function", "gone", 1, 2, None, "nothing of it is left", None, day - datetime.timedelta(days=1)), (None, 9, 1, None, None, None, None, 1, 2, None, "loadUser", None, None)]
+    spark.createDataFrame(chunks, "chunk_id string, file_id long, repo_id long, file_path string, file_language string, symbol_type string, symbol_name string, start_line int, end_line int, parent_class string, source_text string, docstring string, ingested_at timestamp").write.parquet(f"{folder}/chunks.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/km_symbols.parquet").limit(1).withColumns({"symbol_id": F.lit(20).cast("long"), "repo_id": F.lit(1).cast("long"), "symbol_name": F.lit("loadUser"), "symbol_kind": F.lit("function")}).write.parquet(f"{folder}/km_symbols.parquet")
+
+
+@pytest.mark.parametrize("name,rows", [("ret_chunk_hybrid", 5)])
+def test_chunk_pools_shuffle_texts_once(spark, tmp_path, monkeypatch, name, rows):
+    chunk_tables(spark, str(tmp_path))
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: pytest.fail("candidates are written"), raising=False)
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroupsInArrow") == 1 and not re.search("max_by[^\n]*(source_text|_text)", plan)  # words and meaning share their cells; deliveries are told apart there
+    found = got.collect()
+    assert len(found) == rows and {r.query_id for r in found} == {20} and all(r.chunk_id is not None for r in found)
+
+
+def test_chunks_count_once_in_their_cells(spark, tmp_path):
+    chunk_tables(spark, str(tmp_path))
+    chunks = spark.read.parquet(f"{tmp_path}/chunks.parquet")
+    q = spark.createDataFrame([(1, "loadUser"), (2, "gone"), (3, "nothing left")], "query_id int, query_text string")
+    all_rows, last = (sorted(map(tuple, retrieval.chunk_search(x, q, 40).collect())) for x in (retrieval.delivered_chunks(chunks), retrieval.latest_chunks(chunks)))
+    assert all_rows == last and len(last) == 22 and {r[0] for r in last} == {1}
+    cells = retrieval.item_cells(spark.range(5000).withColumnRenamed("id", "key"), "key", (2, 6)).select("_cell", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(cells) == 12 == len({r.p for r in cells})
+
+
+def test_contained():
+    needles, texts = ["a", "ab", "abc", "abcdefgh", "b_cdefghi", "é", "abcdefg"], ["", "a", "xabcdefghy", "b_cdefghi", "éab"]
+    assert list(retrieval.contained(needles, texts)) == [[i for i, x in enumerate(needles) if x in t] for t in texts]
+
+
 def test_zip_and_tree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, data in [("root/a.py", "x\r\ny"), ("root/node_modules/b.js", "z"), ("root/c.png", "q"), ("root/../d.py", "z"), ("root/e.py", b"\0\1")]:
