@@ -196,7 +196,7 @@ def chunk_tables(spark, folder):
     spark.read.parquet("/root/testdata/sf0.001/km_symbols.parquet").limit(1).withColumns({"symbol_id": F.lit(20).cast("long"), "repo_id": F.lit(1).cast("long"), "symbol_name": F.lit("loadUser"), "symbol_kind": F.lit("function")}).write.parquet(f"{folder}/km_symbols.parquet")
 
 
-@pytest.mark.parametrize("name,rows", [("ret_chunk_hybrid", 5), ("ret_explanations", 5)])
+@pytest.mark.parametrize("name,rows", [("ret_chunk_hybrid", 5), ("ret_presets", 10), ("ret_explanations", 5)])
 def test_chunk_pools_shuffle_texts_once(spark, tmp_path, monkeypatch, name, rows):
     chunk_tables(spark, str(tmp_path))
     monkeypatch.setattr(catalog, "cut_lineage", lambda df: pytest.fail("candidates are written"), raising=False)
