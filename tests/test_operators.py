@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,29 @@ def test_chunk_pools_shuffle_texts_once(spark, tmp_path, monkeypatch, name, rows
     assert len(found) == rows and {r.query_id for r in found} == {20} and all(r.chunk_id is not None for r in found)
 
 
+TEXTS_MOVE = r"Repartition[^\n]*\n[^\n]*(_text|\bwords#|\btokens#)"
+
+
+@pytest.mark.parametrize("name", ["ret_presets"])
+def test_chunk_texts_leave_no_task_but_in_packs(spark, tmp_path, name):
+    chunk_tables(spark, str(tmp_path))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pack#" in plan and not re.search(TEXTS_MOVE, plan)
+    assert "_to#" in plan  # what cells found goes on in packs too
+
+
+def test_packs_keep_every_row_in_less(spark):
+    texts = [(i if i else None, f"load user number {i % 50} of the table and save it " * 5) for i in range(5000)]
+    t = spark.createDataFrame(texts, "id long, words string")
+    packs = retrieval.packed_cells(t, "id", (2, 3)).collect()
+    assert {r["_block"] for r in packs} == {0, 1} and len({r["_cell"] for r in packs}) == 6
+    one = [pa.scalar(bytes(r["_pack"]), pa.binary()) for r in packs if r["_block"] == 0]
+    rows = retrieval._unpacked(one)
+    assert sorted(zip((x or 0 for x in rows["id"].to_pylist()), rows["words"].to_pylist())) == [(i or 0, x) for i, x in texts]
+    assert sum(len(x.as_py()) for x in one) < sum(len(x) for _, x in texts) / 10
+
+
 def test_chunks_count_once_in_their_cells(spark, tmp_path):
     chunk_tables(spark, str(tmp_path))
     chunks = spark.read.parquet(f"{tmp_path}/chunks.parquet")
