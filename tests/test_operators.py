@@ -211,7 +211,7 @@ def test_chunk_pools_shuffle_texts_once(spark, tmp_path, monkeypatch, name, rows
 TEXTS_MOVE = r"Repartition[^\n]*\n[^\n]*(_text|\bwords#|\btokens#)"
 
 
-@pytest.mark.parametrize("name", ["ret_presets"])
+@pytest.mark.parametrize("name", ["ret_explanations", "ret_presets"])
 def test_chunk_texts_leave_no_task_but_in_packs(spark, tmp_path, name):
     chunk_tables(spark, str(tmp_path))
     got = catalog.QUERIES[name](spark, str(tmp_path))
