@@ -189,6 +189,13 @@ def test_hybrid_scores_both_lists_in_cells(spark, tmp_path):
     assert {r.query_id for r in got.collect()} == {0, 20}
 
 
+def test_hybrid_texts_leave_no_task_but_in_packs(spark, tmp_path):
+    spark.createDataFrame([(i, f"word{i % 3} common", f"word{i % 3}") for i in range(40)], "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(40)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = catalog.QUERIES["ret_hybrid"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pack#" in plan and not re.search(r"Repartition[^\n]*\n[^\n]*\b(text|words)#", plan)
+
+
 def chunk_tables(spark, folder):
     day = datetime.datetime(2024, 1, 1)
     chunks = [(f"c{i}", i, 1, f"src/load{i % 3}.py", "python", "function", "loadUser" if i % 4 else "save", 1, 2, None, f"def load_user(): return token {i}", None, day) for i in range(30)]
