@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,30 @@ def test_hybrid_texts_leave_no_task_but_in_packs(spark, tmp_path):
     assert "_pack#" in plan and not re.search(r"Repartition[^\n]*\n[^\n]*\b(text|words)#", plan)
 
 
+def test_hybrid_counts_and_questions_leave_no_task_but_in_packs(spark, tmp_path):
+    spark.createDataFrame([(i, f"word{i % 3} common", f"word{i % 3}") for i in range(40)], "doc_id long, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(40)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = catalog.QUERIES["ret_hybrid"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(df#" not in plan and not re.search(r"Repartition[^\n]*_cell[^\n]*\n[^\n]*\bterms#", plan)
+
+
+def test_counts_of_words_are_sums_over_cells_of_what_is_asked(spark):
+    d = spark.createDataFrame([(i // 2 if i < 40 else None, f"both word{i % 3} both") for i in range(60)] + [(99, "")], "doc_id long, words string")
+    asked = spark.createDataFrame([("x", ["both", "word1", "unknown"])], "asked string, terms array<string>")
+    got = retrieval._weighed(asked, retrieval.packed_cells(d, "doc_id", (1, 5), bags=("words",)), "doc_id", (1, 5)).collect()[0]
+    n, df = 21, {"both": 21, "word1": len({i // 2 if i < 40 else None for i in range(60) if i % 3 == 1})}
+    assert abs(got.avgdl - 180 / 21) < 1e-9 and {t.term: round(t.weight, 9) for t in got.terms} == {t: round(math.log((n - x + 0.5) / (x + 0.5) + 1), 9) for t, x in df.items()}
+
+
+def test_bags_keep_every_word_in_less():
+    words = [None, "", *(" ".join(f"w{i * j % 97} load" for j in range(i % 40)) for i in range(3000))]
+    t, to = pa.table({"id": range(len(words)), "words": words}), np.arange(len(words)) % 3
+    bags, texts = (retrieval._packs(t, to, "_to", *x)["_pack"] for x in ([("words",)], []))
+    rows, terms = retrieval._opened(bags)
+    assert [sorted(terms["words"][c] for c in x) for _, x in sorted(zip(rows["id"].to_pylist(), rows["words"].to_pylist()))] == [sorted((x or "").split()) for x in words]
+    assert sum(len(x.as_py()) for x in bags) < 0.8 * sum(len(x.as_py()) for x in texts)
+
+
 def chunk_tables(spark, folder):
     day = datetime.datetime(2024, 1, 1)
     chunks = [(f"c{i}", i, 1, f"src/load{i % 3}.py", "python", "function", "loadUser" if i % 4 else "save", 1, 2, None, f"def load_user(): return token {i}", None, day) for i in range(30)]
