@@ -252,6 +252,24 @@ def test_chunk_texts_leave_no_task_but_in_packs(spark, tmp_path, name):
     assert "_to#" in plan  # what cells found goes on in packs too
 
 
+def test_explanations_move_words_as_bags(spark, tmp_path, monkeypatch):
+    chunk_tables(spark, str(tmp_path))
+    bagged, real = [], retrieval.packed_cells
+    monkeypatch.setattr(retrieval, "packed_cells", lambda *a, **k: bagged.append(k.get("bags") or a[4:]) or real(*a, **k))
+    plan = catalog.QUERIES["ret_explanations"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert [set(*x) if len(x) == 1 else set(x) for x in bagged] == [{"words", "tokens"}]
+    assert "sum(df#" not in plan and not re.search(r"Repartition[^\n]*_cell[^\n]*\n[^\n]*\b(terms|low)#", plan)  # counts and questions go in packs too
+
+
+def test_bags_have_the_same_meaning():
+    texts = ["load_user token tokens", "jwt_auth error error validationerror", "", "a query the database for db_url dburl", "xx"]
+    t = pa.table({"id": range(5), "tokens": [" ".join(re.findall("[a-z0-9_]{2,}", x)) for x in texts]})
+    rows, words = retrieval._opened(retrieval._packs(t, np.array([0, 1, 0, 1, 1]), "_to", ("tokens",))["_pack"])
+    of, codes = retrieval._tokens(rows, "tokens")
+    got = retrieval.embed_tokens_of(words["tokens"], codes, np.bincount(of, minlength=5))
+    assert (got == retrieval.embed_texts([texts[i] for i in rows["id"].to_pylist()])).all() and got[:, 96:].any()
+
+
 def test_packs_keep_every_row_in_less(spark):
     texts = [(i if i else None, f"load user number {i % 50} of the table and save it " * 5) for i in range(5000)]
     t = spark.createDataFrame(texts, "id long, words string")
